@@ -23,8 +23,8 @@ def line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, label, score, value) over every line item: heavy score ties."""
     li = table(spark, sf_dir, "lineitem")
     return li.select(
-        F.concat_ws("-", F.col("l_orderkey").cast("string"),
-                    F.col("l_linenumber").cast("string")).alias("id"),
+        F.concat_ws("-", *[F.col(c).cast("string") for c in
+                           ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("id"),
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).cast("int").alias("label"),
         F.round(F.col("l_discount") * 5.0 + F.col("l_tax") * 5.0, 4).alias("score"),
         F.col("l_quantity").alias("value"),

@@ -51,7 +51,8 @@ SCORED_SQL = f"SELECT *, {FORMULA_SCORE_SQL} AS score FROM model"
 
 # Line-item score table (heavy ties): label = returned, score in [0, 0.9].
 LINE_SCORES_SQL = """
-SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS id,
+SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-'
+       || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS id,
        CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS INTEGER) AS label,
        round(l_discount * 5e0 + l_tax * 5e0, 4) AS score,
        l_quantity AS value
