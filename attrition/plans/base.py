@@ -3,6 +3,8 @@ formula-scored table, and the line-item score table."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,17 +12,36 @@ from ..operators import clean
 from .subscribers import formula_score, subscribers, table
 
 
+_PLANS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _memo(name: str, spark: SparkSession, sf_dir: str,
+          build: Callable[[], DataFrame]) -> DataFrame:
+    """Reuse the analysed plan object of a shared input within one
+    application (DataFrames are immutable; only the plan is shared, no
+    data is cached)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    if key not in _PLANS:
+        _PLANS[key] = build()
+    return _PLANS[key]
+
+
 def model_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.model_table(subscribers(spark, sf_dir))
+    return _memo("model", spark, sf_dir, lambda: clean.model_table(subscribers(spark, sf_dir)))
 
 
 def scored_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model table + formula score (label = target, value = monthly charge)."""
-    return model_df(spark, sf_dir).withColumn("score", formula_score())
+    return _memo("scored", spark, sf_dir,
+                 lambda: model_df(spark, sf_dir).withColumn("score", formula_score()))
 
 
 def line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, label, score, value) over every line item: heavy score ties."""
+    return _memo("lines", spark, sf_dir, lambda: _line_scores(spark, sf_dir))
+
+
+def _line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(
         F.concat_ws("-", *[F.col(c).cast("string") for c in
