@@ -32,5 +32,5 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 def load_all() -> dict[str, Query]:
     # importing the modules registers their queries
-    from . import queries_core, queries_econ, queries_eval, queries_profile  # noqa: F401
+    from . import queries_core, queries_econ, queries_eval, queries_model, queries_profile  # noqa: F401
     return REGISTRY
