@@ -291,3 +291,62 @@ def q_model_store(spark, sf):
 
 def scratch_exists(path: str) -> bool:
     return os.path.exists(path)
+
+
+# ---------------------------------------------------------------- explanation (§2.9)
+
+from ..operators import explain as xp  # noqa: E402
+
+# The linear terms of the formula score (logit scale).
+FORMULA_TERMS_SQL = [
+    ("contract_m2m", "CASE WHEN contract = 'Month-to-month' THEN 1.2e0 ELSE 0e0 END"),
+    ("tenure", "-0.03e0 * tenure"),
+    ("monthlycharges", "0.01e0 * monthlycharges"),
+    ("total_services", "-0.15e0 * total_services"),
+]
+
+
+def _formula_terms():
+    return [("contract_m2m", F.when(F.col("contract") == "Month-to-month", 1.2).otherwise(0.0)),
+            ("tenure", F.lit(-0.03) * F.col("tenure")),
+            ("monthlycharges", F.lit(0.01) * F.col("monthlycharges")),
+            ("total_services", F.lit(-0.15) * F.col("total_services"))]
+
+
+_TERMS_UNION = " UNION ALL ".join(
+    f"SELECT customerid, '{n}' AS feature, CAST({e} AS DOUBLE) AS contribution FROM model"
+    for n, e in FORMULA_TERMS_SQL)
+
+
+@query("top_factors", with_views("""
+SELECT customerid, CAST(rk AS INTEGER) AS rank, feature, round(contribution, 6) AS contribution,
+       CASE WHEN contribution > 0 THEN '↑ aumenta churn' ELSE '↓ reduz churn' END AS direction
+FROM (SELECT *, row_number() OVER (PARTITION BY customerid ORDER BY abs(contribution) DESC, feature) AS rk
+      FROM lc) WHERE rk <= 3""", ("lc", _TERMS_UNION)))
+def q_top_factors(spark, sf):
+    long = xp.formula_contributions(model_df(spark, sf), id_col="customerid", terms=_formula_terms())
+    return xp.top_factors(long, id_col="customerid", n=3)
+
+
+@query("contributions_local")
+def q_contributions_local(spark, sf):
+    model, _ = fitted(spark, sf)
+    return xp.contributions(model_df(spark, sf), model, id_col="customerid") \
+        .select("customerid", "feature", F.round("contribution", 9).alias("contribution"))
+
+
+@query("contributions_global")
+def q_contributions_global(spark, sf):
+    model, _ = fitted(spark, sf)
+    return xp.contributions_global(model_df(spark, sf), model, id_col="customerid", sample=1500, top=15) \
+        .select("feature", F.round("mean_abs", 9).alias("mean_abs"), "rank")
+
+
+@query("feature_space")
+def q_feature_space(spark, sf):
+    model, _ = fitted(spark, sf)
+    names = ml.feature_names(model)
+    x = xp._features_frame(model_df(spark, sf), model, "customerid")
+    return x.select("customerid", F.posexplode("_x").alias("i", "value")).withColumn(
+        "feature", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1)).select(
+        "customerid", "feature", "value")
