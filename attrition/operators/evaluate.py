@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .primitives import (
     exact_quantiles,
+    materialize,
     prefix_sums,
     running_rows,
     score_histogram,
@@ -39,7 +40,7 @@ def score_curve(df: DataFrame, label: str = "label", score: str = "score",
 
     Columns: by..., threshold, n, pos, neg, tp, fp, tot_pos, tot_neg.
     """
-    h0 = score_histogram(df, score, label, by=by)
+    h0 = materialize(score_histogram(df, score, label, by=by))
     h = prefix_sums(h0, [(score, False)], ["pos", "neg"], by=by, bucket=bucket)
     h = with_totals(h, h0, {"tot_pos": F.sum("pos"), "tot_neg": F.sum("neg")}, by)
     return h.select(*by, F.col(score).alias("threshold"), "n", "pos", "neg",
@@ -126,7 +127,7 @@ def ks_abs(df: DataFrame, label: str = "label", score: str = "score",
            by: Sequence[str] = ()) -> DataFrame:
     """max |CDF+ - CDF-| over ascending distinct scores, and the smallest
     score where it is reached; NULLs when a class is empty."""
-    h0 = score_histogram(df, score, label, by=by)
+    h0 = materialize(score_histogram(df, score, label, by=by))
     h = prefix_sums(h0, [(score, True)], ["pos", "neg"], by=by)
     h = with_totals(h, h0, {"tot_pos": F.sum("pos"), "tot_neg": F.sum("neg")}, by)
     d = F.abs(_div(F.col("cum_pos"), F.col("tot_pos")) - _div(F.col("cum_neg"), F.col("tot_neg")))
@@ -292,14 +293,36 @@ def quantile_bins(df: DataFrame, score: str = "score", n_bins: int = 10, by: Seq
     return j.withColumn(out, (nb - b).cast("int")).withColumn("_bin", b.cast("int")).drop("edges")
 
 
+def binned_histogram(df: DataFrame, label: str = "label", score: str = "score", n_bins: int = 10,
+                     by: Sequence[str] = (), strict: bool = False) -> DataFrame:
+    """Quantile bins computed on the score histogram: a bin depends only on
+    the score, so (score -> n, pos) rows carry everything. The histogram is
+    materialised once; edges, bins and totals read it, not the raw rows.
+
+    Columns: by..., score, n, pos, _sv (score * n), edges, _bin."""
+    h = materialize(score_histogram(df, score, label, by=by)
+                    .withColumn("_sv", F.col(score) * F.col("n")))
+    probs = [i / n_bins for i in range(n_bins + 1)]
+    q = exact_quantiles(h, score, probs, by=by, weight="n")
+    e = q.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pi", "q"))).alias("_e")) \
+        .select(*by, F.transform("_e", lambda s: s["q"]).alias("edges"))
+    if strict:
+        e = e.withColumn("edges", F.when(
+            F.size(F.array_distinct("edges")) == F.size("edges"), F.col("edges"))
+            .otherwise(F.raise_error(F.lit("quantile edges are not unique")).cast("array<double>")))
+    e = e.withColumn("edges", F.array_distinct("edges"))
+    j = h.join(e, list(by)) if by else with_totals(h, e, {"edges": F.first("edges")})
+    inner = F.slice(F.col("edges"), 2, F.greatest(F.size("edges") - 2, F.lit(0)))
+    return j.withColumn("_bin", F.size(F.filter(inner, lambda x: x < F.col(score))).cast("int"))
+
+
 def lift_deciles(df: DataFrame, label: str = "label", score: str = "score", n_bins: int = 10,
                  by: Sequence[str] = (), strict: bool = False) -> DataFrame:
     """Per bin (0 = riskiest): total, churn, churn_rate, lift, baseline.
     A zero baseline divides by 1e-9."""
-    binned = quantile_bins(df, score, n_bins, by, strict=strict)
+    binned = binned_histogram(df, label, score, n_bins, by, strict=strict)
     # The highest observed bin index is the reference point for "max - bin".
-    t = binned.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("total"),
-                                        F.sum(F.col(label).cast("long")).alias("churn"))
+    t = binned.groupBy(*by, "_bin").agg(F.sum("n").alias("total"), F.sum("pos").alias("churn"))
     t = with_totals(t, t, {"_T": F.sum("total"), "_C": F.sum("churn"), "_mb": F.max("_bin")}, by)
     base = _div(F.col("_C"), F.col("_T"))
     rate = _div(F.col("churn"), F.col("total"))
@@ -315,18 +338,12 @@ def decile_table(df: DataFrame, label: str = "label", score: str = "score",
     """Decile report, riskiest first: label, probability range, customers,
     churners, avg score, rate, cumulative churners / gain / customers, lift.
     The window runs over at most ``n_bins`` summary rows."""
-    e = _quantile_edges(df, score, n_bins, ())
-    e = e.withColumn("edges", F.array_distinct("edges"))
-    j = with_totals(df, e, {"edges": F.first("edges")})
-    inner = F.slice(F.col("edges"), 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    b = F.size(F.filter(inner, lambda x: x < F.col(score)))
-    j = j.withColumn("_bin", b).withColumn(
-        "_lo", F.element_at("edges", F.col("_bin") + 1)).withColumn(
+    j = binned_histogram(df, label, score, n_bins)
+    j = j.withColumn("_lo", F.element_at("edges", F.col("_bin") + 1)).withColumn(
         "_hi", F.element_at("edges", F.col("_bin") + 2))
-    g = j.groupBy("_bin").agg(F.count(F.lit(1)).alias("customers"),
-                              F.sum(F.col(label).cast("long")).alias("churners"),
-                              F.avg(score).alias("avg_score"), F.first("_lo").alias("lo"),
-                              F.first("_hi").alias("hi"))
+    g = j.groupBy("_bin").agg(F.sum("n").alias("customers"), F.sum("pos").alias("churners"),
+                              (F.sum("_sv") / F.sum("n")).alias("avg_score"),
+                              F.first("_lo").alias("lo"), F.first("_hi").alias("hi"))
     w = Window.orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
     tot = Window.partitionBy(F.lit(0))
     g = g.select("*",

@@ -173,16 +173,28 @@ def hex_bucket(col: str, digits: int = 4) -> Column:
 
 # ----------------------------------------------------------------- quantiles
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage of a small derived table (a histogram, a bucket table)
+    that later passes read several times: a reliable checkpoint into the
+    session's checkpoint folder. Without a configured folder the plan is
+    returned unchanged (recomputed per pass)."""
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        return df
+    return df.checkpoint(eager=True)
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
-                    by: Sequence[str] = ()) -> DataFrame:
+                    by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (the rule of ``percentile`` /
     ``quantile_cont``) without one task holding every value: a histogram of
     distinct values gets a distributed running count; each histogram row
     then picks, by a narrow array filter, the requested positions it covers.
 
+    ``weight`` names a count column when ``df`` is already a histogram.
     Returns (by..., pi, p, q).
     """
-    h = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n"))
+    cnt = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    h = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(cnt.alias("_n"))
     h = prefix_sums(h, [(col, True)], ["_n"], by=by, bucket="quantile")
     h = with_totals(h, h, {"_tot": F.max("cum__n")}, by)
     plist = F.array(*[F.lit(float(p)) for p in probs])
