@@ -194,7 +194,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
     Returns (by..., pi, p, q).
     """
     cnt = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    h = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(cnt.alias("_n"))
+    h = materialize(df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(cnt.alias("_n")))
     h = prefix_sums(h, [(col, True)], ["_n"], by=by, bucket="quantile")
     h = with_totals(h, h, {"_tot": F.max("cum__n")}, by)
     plist = F.array(*[F.lit(float(p)) for p in probs])
