@@ -13,6 +13,7 @@ from ..operators import evaluate as ev
 from ..operators import model as ml
 from ..operators import split as sp
 from ..operators.clean import FORM_CODE_MAPS, align_to_schema, feature_view, map_codes
+from ..operators.primitives import materialize
 from ..operators.scoring import risk_band, score_customers, score_with_model
 from ..schemas import CATEGORICAL_COLUMNS, MODEL, NUMERIC_COLUMNS
 from ..session import scratch_path
@@ -138,7 +139,9 @@ def metrics_bundle(df, *, label: str = "label", score: str = "score", split: str
                    min_recall: float = 0.8):
     """One record: validation threshold, AUC / AP per split, test KS,
     precision, recall and confusion counts — joins of one-row frames."""
-    d = df.select(F.col(split).alias("split"), F.col(label).alias("label"), F.col(score).alias("score"))
+    # narrow (split, label, score) frame read by every metric below: materialise once
+    d = materialize(df.select(F.col(split).alias("split"), F.col(label).alias("label"),
+                              F.col(score).alias("score")))
     auc = ev.roc_auc(d, by=["split"])
     ap = ev.average_precision(d, by=["split"])
     ks = ev.ks_signed(d.where(F.col("split") == "test"))
