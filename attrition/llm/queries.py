@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, shard
+from . import exact_dedup, pii, quality_rules, shard
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op8_pii": pii.op8_pii,
     "op10_shard": shard.op10_shard,
 }
 
