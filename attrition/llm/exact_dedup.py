@@ -84,17 +84,17 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     groups = duplicate_groups(docs, id_col, text_col, salts)
     keep = groups.where("kept").groupBy("doc_id", "text_sha256").agg(
-        F.count(F.lit(1)).alias("_copies"))
+        F.count(F.lit(1)).alias("__copies"))
     norm = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = docs.withColumns({"_sha": F.sha2(norm, 256), "_id": F.col(id_col)})
-    stay = rows.join(keep, rows["_id"].eqNullSafe(keep["doc_id"])
-                     & (rows["_sha"] == keep["text_sha256"])).select(
-        *[rows[c] for c in rows.columns], "_copies")
-    one = stay.where("_copies = 1")
-    again = stay.where("_copies > 1").withColumn("_row", F.row_number().over(
-        Window.partitionBy("_id", "_sha").orderBy(F.to_json(F.struct(*docs.columns)))))
+    rows = docs.withColumns({"__sha": F.sha2(norm, 256), "__id": F.col(id_col)})
+    stay = rows.join(keep, rows["__id"].eqNullSafe(keep["doc_id"])
+                     & (rows["__sha"] == keep["text_sha256"])).select(
+        *[rows[c] for c in rows.columns], "__copies")
+    one = stay.where("__copies = 1")
+    again = stay.where("__copies > 1").withColumn("__row", F.row_number().over(
+        Window.partitionBy("__id", "__sha").orderBy(F.to_json(F.struct(*docs.columns)))))
     return one.select(*docs.columns).unionByName(
-        again.where("_row = 1").select(*docs.columns))
+        again.where("__row = 1").select(*docs.columns))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ SHARE = 1.5                # of all words that the mix holds
 MOST = 2.0                 # times that a source is used at most
 SHARDS = 16
 SEED = "mix-1"
-BLOCK_WORDS = 1 << 16      # words of a block, as long as a source has at most
+BLOCK_WORDS = 1 << 13      # words of a block, as long as a source has at most
 BLOCKS = 4096              # this many blocks; larger sources have larger blocks
 
 
@@ -72,14 +72,17 @@ def _key(seed: str, *cols: Column) -> Column:
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE,
          most: float = MOST, shards: int = SHARDS, seed: str = SEED,
-         block_words: int = BLOCK_WORDS, blocks: int = BLOCKS) -> DataFrame:
+         block_words: int = BLOCK_WORDS, blocks: int = BLOCKS,
+         whole_documents: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target,
-    taken, whole (times taken in full) and shards (one for each time it is taken).
+    taken, drawn (words of it in the last pass) and shards (one for each time
+    it is taken).
 
     Sources stand by code point, null last, and have the weights in turn. The
-    last document of a quota may be taken in part: ``taken`` counts its words
-    as far as the quota goes, so the words taken of a source add up to its target, rounded.
-    Null, empty and blank texts have no words and take no part of a quota. Rows that
+    last document of a quota is taken in part: ``taken`` counts its words as far
+    as the quota goes, so the words taken of a source add up to its target,
+    rounded. With ``whole_documents`` it is taken whole if at least half of it
+    is inside, else not at all. Null, empty and blank texts have no words and take no part of a quota. Rows that
     repeat an id are told apart by size; equal rows may swap. Ties of a hash go by id.
     Other columns are ignored; an empty table gives no rows. Runs jobs when
     called: narrow rows (no text) are written to the shared folder, and one row
@@ -108,10 +111,10 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         _key(seed + "/doc", F.col("doc_id")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("before", F.coalesce(before, F.lit(0)))
     # at most `blocks` rows for each source
-    sized = narrow_blocks = rows.groupBy("source", "block", "whole", "rest").agg(F.sum("size").alias("words"))
+    words = rows.groupBy("source", "block", "whole", "rest").agg(F.sum("size").alias("words"))
     earlier = F.sum("words").over(Window.partitionBy("source").orderBy(
         _key(seed + "/quota", F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1))
-    sized = checkpointed(narrow_blocks.withColumn("quota", F.greatest(F.lit(0), F.least(
+    sized = checkpointed(words.withColumn("quota", F.greatest(F.lit(0), F.least(
         "words", F.col("rest") - F.coalesce(earlier, F.lit(0))))).drop("rest"))
     # block units: every whole pass and the part that the quota draws
     units = sized.select("source", "block", "quota", F.explode(F.concat(
@@ -138,24 +141,36 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     b = by_block.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "quota", "dealt")
     joined = rows.join(b, rows["source"].eqNullSafe(b["_s"]) & (rows["block"] == b["_b"]), "left")
     drawn = F.greatest(F.lit(0), F.least("size", F.coalesce("quota", F.lit(0)) - F.col("before")))
-    got = joined.withColumn("drawn", drawn)
-    return got.select(
+    if whole_documents:
+        drawn = F.when((drawn > 0) & (drawn * 2 >= F.col("size")), F.col("size")).otherwise(F.lit(0))
+    dealt_to = F.coalesce("dealt", F.array().cast("array<struct<pass:int,shard:int>>"))
+    return joined.withColumn("drawn", drawn.cast("long")).select(
         "doc_id", "source", "size", "source_size", "target",
-        (F.col("whole") * F.col("size") + F.col("drawn")).alias("taken"), "whole", "drawn",
-        F.transform(F.filter(F.coalesce("dealt", F.array().cast("array<struct<pass:int,shard:int>>")),
-                             lambda x: (x["pass"] > 0) | (F.col("drawn") > 0)),
+        (F.col("whole") * F.col("size") + F.col("drawn")).alias("taken"), "drawn",
+        F.transform(F.filter(dealt_to, lambda x: (F.col("size") > 0)
+                             & ((x["pass"] > 0) | (F.col("drawn") > 0))),
                     lambda x: x["shard"]).alias("shards"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", seed: str = SEED, **kinds) -> DataFrame:
-    """The mix itself: the columns of ``docs`` and ``mix_shard``, a row for each
+    """The mix itself: the columns of ``docs`` and ``mix_shard``, one row for each
     time that a document is taken, shuffled inside its shard.
 
-    Documents come whole: the one at the end of a quota is taken if at least
-    half of its words are inside. Parameters and cases as in ``plan``; rows
-    that repeat an id all stand for the first of them by size.
+    Documents come whole. Parameters and cases as in ``plan``; all rows that
+    repeat an id are taken as often as the one of them that is taken most.
     """
-    took = plan(docs, id_col, seed=seed, **kinds).where("taken > 0").withColumn(
-        "_at", F.explode(F.expr("slice(shards, 1, size(shards) - int(2 * drawn < size AND drawn > 0))")))
-    once = took.groupBy("doc_id", "shards").agg(F.first("_at").alias("_x")).drop("_x")
-    raise NotImplementedError(once)
+    took = plan(docs, id_col, seed=seed, whole_documents=True, **kinds).where("size(shards) > 0")
+    by_id = took.groupBy(F.col("doc_id").alias("__id")).agg(
+        F.max_by("shards", F.struct("taken", "shards")).alias("__shards"))
+    rows = docs.drop("mix_shard").join(by_id, docs[id_col].eqNullSafe(by_id["__id"]))
+    each = rows.select(*[docs[c] for c in docs.columns if c != "mix_shard"],
+                       F.posexplode("__shards").alias("__time", "mix_shard"))
+    each = each.withColumn("__at", _key(seed + "/row", F.col(id_col), F.col("__time")))
+    return each.repartition("mix_shard", F.pmod("__at", F.lit(64))).sortWithinPartitions(
+        "mix_shard", "__at").drop("__time", "__at")
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = plan(read_table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "size", "source_size", "target", "taken", "source",
+                      F.concat_ws(",", F.col("shards").cast("array<string>")).alias("shards"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, pii, quality_rules, shard
+from . import exact_dedup, mixing, pii, quality_rules, shard
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op8_pii": pii.op8_pii,
