@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pii, quality_rules, shard
+from . import exact_dedup, mixing, pii, quality_rules, shard, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_warc": warc.op6_warc,
     "op8_pii": pii.op8_pii,
     "op10_shard": shard.op10_shard,
 }
 
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op6_warc": warc.SQL,
 }
