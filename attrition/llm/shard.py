@@ -17,11 +17,12 @@ from .common import checkpointed, read_table
 
 SHARDS = 16
 SEED = "shard-1"
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 500      # rows of a bucket, up to so many
+BUCKETS = 65_536       # buckets; beyond that they grow, and are sorted on disk where needed
 
 
 def _rank(rows: DataFrame, by: list[str], bucket: str, order: list[Column], name: str) -> DataFrame:
-    """Rank from 0 by (bucket, order) within ``by``; buckets hold a bounded number of rows."""
+    """Rank from 0 by (bucket, order) within ``by``; buckets are even by hash or by fraction."""
     counts = rows.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*by).orderBy(bucket).rowsBetween(
         Window.unboundedPreceding, -1))
@@ -57,7 +58,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
                           ).cast("binary")).alias("_key")))
     sources = narrow.groupBy("source").agg(F.count(F.lit(1)).alias("_rows"))
     n_rows = narrow.count()
-    buckets = max(1, -(-n_rows // bucket_rows))
+    buckets = min(BUCKETS, max(1, -(-n_rows // bucket_rows)))
     hashed = narrow.withColumn("_b", (F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
                                       * F.lit(buckets) / F.lit(2 ** 32)).cast("long"))
     order = [F.col("_key"), F.col("doc_id"), F.col("size"), F.col("text_crc32")]
