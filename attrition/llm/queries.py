@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pii, quality_rules, shard, warc
+from . import exact_dedup, mixing, pieces, pii, quality_rules, shard, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_warc": warc.op6_warc,
     "op8_pii": pii.op8_pii,
+    "op9_pieces": pieces.op9_pieces,
     "op10_shard": shard.op10_shard,
 }
 
