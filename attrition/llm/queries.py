@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, mixing, pieces, pii, quality_rules, shard, warc
+from . import exact_dedup, html_text, jaccard_join, mixing, pieces, pii, quality_rules, shard, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_html_text": html_text.op3_html_text,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_warc": warc.op6_warc,
     "op8_pii": pii.op8_pii,
     "op9_pieces": pieces.op9_pieces,
