@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, jaccard_join, mixing, pieces, pii, quality_rules, shard, warc
+from . import (
+    exact_dedup,
+    html_text,
+    jaccard_join,
+    mixing,
+    pieces,
+    pii,
+    quality_rules,
+    shard,
+    substring_dedup,
+    warc,
+)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +22,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_warc": warc.op6_warc,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_pii": pii.op8_pii,
     "op9_pieces": pieces.op9_pieces,
     "op10_shard": shard.op10_shard,
