@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import checkpointed, read_table
 
 MIN_PAGES = 10          # different pages of a host that its tree needs
 LOW = 0.3               # importance at or below which a branch goes
@@ -183,7 +183,8 @@ def _nodes(found: list[tuple[tuple[str, ...], str]]) -> Iterator[tuple[int, int,
 
 
 def style_tree(pages: DataFrame, presentation: float = PRESENTATION) -> DataFrame:
-    """host, node, pages, importance of the style nodes of every host."""
+    """host, node, pages, importance of the style nodes of every host. Runs a job
+    when called: pages are parsed once, their nodes go to the shared folder."""
     def parse(batches):
         for batch in batches:
             rows = []
@@ -195,8 +196,8 @@ def style_tree(pages: DataFrame, presentation: float = PRESENTATION) -> DataFram
 
     rows = _hosted(pages).select("host", "html").mapInPandas(
         parse, "host string, node long, whole long, content long, shape long")
-    once = rows.groupBy("host", "node", "whole").agg(
-        F.min("content").alias("content"), F.min("shape").alias("shape"))
+    once = checkpointed(rows.groupBy("host", "node", "whole").agg(
+        F.min("content").alias("content"), F.min("shape").alias("shape")))
 
     def entropy(kind: str) -> DataFrame:
         counts = once.groupBy("host", "node", kind).agg(F.count(F.lit(1)).alias("c"))
