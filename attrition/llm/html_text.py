@@ -31,6 +31,7 @@ from .common import checkpointed, read_table
 MIN_PAGES = 10          # different pages of a host that its tree needs
 LOW = 0.3               # importance at or below which a branch goes
 PRESENTATION = 0.1      # weight of presentation against content
+SALTS = 64              # pieces that the pages of a host are dealt to
 
 # HTML elements by what they do to text.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr "
@@ -215,7 +216,8 @@ def _hosted(pages: DataFrame) -> DataFrame:
         F.regexp_extract("url", HOST, 1), F.lit(""))).alias("host"))
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW,
+            salts: int = SALTS) -> DataFrame:
     """page_id, url and the main text of every row of ``pages`` (page_id, url, html).
 
     Null or empty pages, and pages without main text, give an empty text; a null
@@ -223,7 +225,9 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> D
     never cut; other columns are ignored.
     """
     poor = style_tree(pages).where((F.col("pages") >= min_pages) & (F.col("importance") <= low))
-    by_host = poor.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("poor"))
+    # the low nodes of one host's tree; spread, as a host may have a third of all pages
+    by_host = poor.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("poor")).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def text(batches):
         for batch in batches:
@@ -235,7 +239,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> D
                 texts.append(" ".join(kept))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts})
 
-    rows = _hosted(pages).join(by_host, "host", "left").select("page_id", "url", "html", "poor")
+    salted = _hosted(pages).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+    rows = salted.join(by_host, ["host", "salt"], "left").select("page_id", "url", "html", "poor")
     kind = rows.schema["page_id"].dataType.simpleString()
     return rows.mapInPandas(text, f"page_id {kind}, url string, text string")
 
