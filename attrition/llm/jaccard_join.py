@@ -210,9 +210,9 @@ def _verified(families: DataFrame, classes: DataFrame, docs: DataFrame, words: i
     spark = docs.sparkSession
     path = new_path(spark, "families")
     families.join(classes.select("set", "doc_id"), "set").write.parquet(path)
-    members = spark.read.parquet(path)  # its size is known, so a small one is broadcast
+    members = spark.read.parquet(path)
     # rows that repeat an id have different texts: the class tells which is meant
-    texts = docs.join(members, "doc_id").select("family", "set", "text")
+    texts = docs.join(members.hint("shuffle_hash"), "doc_id").select("family", "set", "text")
     return texts.repartition("family").sortWithinPartitions("family", "set").mapInArrow(
         run, "a long, b long")
 
@@ -319,7 +319,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", **kinds) -> DataFrame:
     path = new_path(docs.sparkSession, "near-copies")
     gone.write.parquet(path)
     gone = docs.sparkSession.read.parquet(path)
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
