@@ -88,14 +88,15 @@ def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _tokens(docs: DataFrame, words: int, percent: int, last: np.ndarray) -> DataFrame:
-    """(token, set) of the prefix of every set; ``last`` (sorted) come behind all
-    other tokens."""
+    """(token, set, n, rest) of the prefix of every set; ``last`` (sorted) come
+    behind all other tokens. ``rest`` is how many tokens of the set there are from
+    this one on."""
     last = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches):
         behind = last.value
         for _, sets in _texts(batches, words):
-            lead, own = [], []
+            lead, own, sizes = [], [], []
             for which, s in {_class_of(s): s for s in sets if len(s)}.items():
                 need = _prefix(len(s), percent)
                 if len(behind):
@@ -103,12 +104,16 @@ def _tokens(docs: DataFrame, words: int, percent: int, last: np.ndarray) -> Data
                     s = s[np.argsort(behind[at] == s, kind="stable")]
                 lead.append(s[:need])
                 own.append(which)
+                sizes.append(len(s))
             if lead:
+                counts = [len(s) for s in lead]
+                first = np.concatenate([np.arange(n, n - k, -1) for n, k in zip(sizes, counts)])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(lead).view(np.int64)),
-                    pa.array(np.repeat(np.array(own, np.int64), [len(s) for s in lead]))],
-                    names=["token", "set"])
-    return docs.select("text").mapInArrow(run, "token long, set long")
+                    pa.array(np.repeat(np.array(own, np.int64), counts)),
+                    pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(first.astype(np.int32))],
+                    names=["token", "set", "n", "rest"])
+    return docs.select("text").mapInArrow(run, "token long, set long, n int, rest int")
 
 
 def _blocks(docs: DataFrame, signatures: DataFrame, words: int, percent: int) -> DataFrame:
@@ -121,9 +126,16 @@ def _blocks(docs: DataFrame, signatures: DataFrame, words: int, percent: int) ->
     path = new_path(spark, "prefix-tokens")
     _tokens(docs, words, percent, last).write.parquet(path)
     rows = spark.read.parquet(path)
-    shared = rows.groupBy("token").agg(F.min("set").alias("block"), F.max("set").alias("other")).where(
-        "block < other").select("token", "block")
-    return rows.join(shared, "token").select("block", "set").distinct()
+    found = rows.groupBy("token").agg(
+        F.min("set").alias("block"), F.max("set").alias("other"), F.count(F.lit(1)).alias("times"),
+        F.min("n").alias("small"), F.max("n").alias("large"), F.min("rest").alias("rest"))
+    # Where only two rows have a token, their sizes must fit, and what follows in
+    # both must suffice for the overlap. (Of a linked pair the first common token passes.)
+    fit = ((F.col("small") * 100 >= F.col("large") * percent)
+           & (F.col("rest") * (100 + percent) >= (F.col("small") + F.col("large")) * percent))
+    shared = found.where((F.col("block") < F.col("other")) & ((F.col("times") > 2) | fit))
+    return rows.select("token", "set").join(shared.select("token", "block"), "token").select(
+        "block", "set").distinct()
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int):
