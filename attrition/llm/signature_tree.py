@@ -17,7 +17,7 @@ import numpy as np
 
 from .shingles import mix
 
-BITS_PER_TOKEN = 4
+BITS_PER_TOKEN = 2
 SALT = np.uint64(0x5851F42D4C957F2D)
 
 
