@@ -83,18 +83,17 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns as JSON). Nulls and ties as in ``duplicate_groups``.
     """
     groups = duplicate_groups(docs, id_col, text_col, salts)
-    keep = groups.where("kept").groupBy("doc_id", "text_sha256").agg(
+    keep = groups.where("kept").groupBy(_key(F.col("doc_id"), F.col("text_sha256")).alias("__key")).agg(
         F.count(F.lit(1)).alias("__copies"))
     norm = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = docs.withColumns({"__sha": F.sha2(norm, 256), "__id": F.col(id_col)})
-    stay = rows.join(keep, rows["__id"].eqNullSafe(keep["doc_id"])
-                     & (rows["__sha"] == keep["text_sha256"])).select(
-        *[rows[c] for c in rows.columns], "__copies")
-    one = stay.where("__copies = 1")
-    again = stay.where("__copies > 1").withColumn("__row", F.row_number().over(
-        Window.partitionBy("__id", "__sha").orderBy(F.to_json(F.struct(*docs.columns)))))
-    return one.select(*docs.columns).unionByName(
-        again.where("__row = 1").select(*docs.columns))
+    rows = docs.withColumn("__key", _key(F.col(id_col), F.sha2(norm, 256))).join(keep, "__key")
+    order = F.when(F.col("__copies") > 1, F.to_json(F.struct(*docs.columns)))
+    return rows.withColumn("__row", F.row_number().over(Window.partitionBy("__key").orderBy(order))).where(
+        "__row = 1").select(*docs.columns)
+
+
+def _key(row_id: Column, sha: Column) -> Column:
+    return F.concat_ws(":", sha, row_id.cast("string"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
