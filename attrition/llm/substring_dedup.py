@@ -38,7 +38,7 @@ LENGTH = 200
 GRAM = 64
 PART_BYTES = 1 << 20      # text that is scanned at once; a longer text goes in pieces
 PORTION = 1 << 20         # text that gets one suffix order
-GROUP = 2_048             # runs of one anchor in a portion
+GROUP = 8_192             # runs of one anchor in a portion (of 336 bytes at most, so under 3 MB)
 PLACE = np.uint64((1 << 24) - 1)
 
 RUN = "doc_id {id}, text_hash long, start long, windows long"
