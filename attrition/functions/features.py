@@ -73,13 +73,20 @@ def lifecycle_stage(tenure: str = "tenure", newbie_max: int = 6, stable_max: int
             .otherwise("Loyal"))
 
 
+# A decimal number, with or without exponent, or a special value.
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:nan|inf|infinity)$"
+
+
 def numeric_text_to_double(col: str | Column, strict: bool = True) -> Column:
     """Trim, blank -> NULL, then cast text to double.
 
-    strict: a malformed value raises (ANSI cast), as the SQL view does.
-    lenient: malformed values become NULL (``try_cast``).
+    strict: a malformed value raises, as the SQL view does; lenient: it becomes
+    NULL. The pattern keeps out what Spark's cast takes besides plain numbers,
+    such as a type suffix ('1.0d').
     """
     trimmed = F.nullif(F.trim(_c(col)), F.lit(""))
+    number = trimmed.rlike(NUMBER)
     if strict:
-        return trimmed.cast("double")
-    return trimmed.try_cast("double")
+        return F.when(trimmed.isNull() | number, trimmed).otherwise(F.raise_error(F.concat(
+            F.lit("not a number: "), trimmed)).cast("string")).cast("double")
+    return F.when(number, trimmed).try_cast("double")

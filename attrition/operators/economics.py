@@ -13,11 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .primitives import running_rows, score_histogram, with_totals
-
-
-def _r(c: Column, d: int = 6) -> Column:
-    return F.round(c, d)
+from .primitives import materialize, running_rows, score_histogram, top_sums, valid, with_totals
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -31,7 +27,7 @@ def revenue_by(df: DataFrame, *, key: str, revenue: str = "monthlycharges",
     if score is not None and threshold is not None:
         df = df.where(F.col(score) >= F.lit(float(threshold)))
     return df.groupBy(key).agg(
-        F.round(F.sum(revenue), 6).alias("revenue_at_risk" if threshold is not None else "revenue"),
+        F.sum(revenue).alias("revenue_at_risk" if threshold is not None else "revenue"),
         F.count(F.lit(1)).alias("customers"),
     )
 
@@ -42,7 +38,7 @@ def risk_revenue_share(df: DataFrame, *, key: str, revenue: str = "monthlycharge
     g = revenue_by(df, key=key, revenue=revenue, score=score, threshold=threshold)
     g = with_totals(g, g, {"_tot": F.sum("revenue_at_risk")})
     return g.select(key, "revenue_at_risk", "customers",
-                    _r(_div(F.col("revenue_at_risk"), F.col("_tot")) * 100).alias("percent"))
+                    (_div(F.col("revenue_at_risk"), F.col("_tot")) * 100).alias("percent"))
 
 
 def risk_waterfall(df: DataFrame, *, key: str, revenue: str = "monthlycharges",
@@ -59,8 +55,8 @@ def risk_waterfall(df: DataFrame, *, key: str, revenue: str = "monthlycharges",
                   (F.count(F.lit(1)) + 1).cast("int").alias("sort_key"),
                   F.sum("amount").alias("running"))
     return steps.unionByName(total).select(
-        "step", _r(F.col("amount")).alias("amount"), F.col("sort_key").cast("int").alias("sort_key"),
-        _r(F.col("running")).alias("running"))
+        "step", F.col("amount").alias("amount"), F.col("sort_key").cast("int").alias("sort_key"),
+        F.col("running").alias("running"))
 
 
 def executive_kpis(df: DataFrame, *, label: str = "target", score: str = "score",
@@ -79,10 +75,10 @@ def executive_kpis(df: DataFrame, *, label: str = "target", score: str = "score"
     saved = F.col("rev") * float(months) * float(success)
     cost = F.col("customers_at_risk") * float(cost_per_customer)
     return k.select(
-        "customers", _r(F.col("churn_rate")).alias("churn_rate"), "customers_at_risk",
-        _r(F.col("rev")).alias("revenue_at_risk_month"), _r(F.col("rev") * 12.0).alias("revenue_at_risk_year"),
-        _r(saved).alias("potential_saved"), _r(cost).alias("campaign_cost"),
-        _r(_div(saved - cost, cost)).alias("roi"))
+        "customers", F.col("churn_rate").alias("churn_rate"), "customers_at_risk",
+        F.col("rev").alias("revenue_at_risk_month"), (F.col("rev") * 12.0).alias("revenue_at_risk_year"),
+        saved.alias("potential_saved"), cost.alias("campaign_cost"),
+        _div(saved - cost, cost).alias("roi"))
 
 
 def campaign_roi(df: DataFrame, *, score: str = "score", revenue: str = "monthlycharges",
@@ -96,42 +92,36 @@ def campaign_roi(df: DataFrame, *, score: str = "score", revenue: str = "monthly
     saved = F.col("rev") * float(months) * float(success)
     cost = F.col("customers_at_risk") * float(cost_per_customer)
     roi = _div(saved - cost, cost)
-    return k.select("customers_at_risk", _r(F.col("rev")).alias("revenue_at_risk"),
-                    _r(saved).alias("saved"), _r(cost).alias("cost"), _r(roi).alias("roi"),
-                    _r(roi * 100).alias("roi_pct"))
+    return k.select("customers_at_risk", F.col("rev").alias("revenue_at_risk"),
+                    saved.alias("saved"), cost.alias("cost"), roi.alias("roi"),
+                    (roi * 100).alias("roi_pct"))
 
 
 def priority_curve(df: DataFrame, *, id_col: str, score: str = "score",
                    revenue: str = "monthlycharges") -> DataFrame:
     """Per row by score desc: cumulative share of customers and revenue."""
-    src = df.select(id_col, score, F.col(revenue).alias("_v"))
+    src = materialize(df.where(valid(df, score)).select(id_col, score, F.col(revenue).alias("_v")))
     r = running_rows(src, order=score, id_col=id_col, values=["_v"])
     r = with_totals(r, src, {"_n": F.count(F.lit(1)), "_tv": F.sum("_v")})
-    return r.select(id_col, score, "pos", _r(_div(F.col("pos"), F.col("_n"))).alias("cum_clients_pct"),
-                    _r(_div(F.col("cum__v"), F.col("_tv"))).alias("cum_revenue_pct"))
+    return r.select(id_col, score, "pos", _div(F.col("pos"), F.col("_n")).alias("cum_clients_pct"),
+                    _div(F.col("cum__v"), F.col("_tv")).alias("cum_revenue_pct"))
 
 
 def roi_by_depth(df: DataFrame, *, id_col: str, score: str = "score", revenue: str = "monthlycharges",
                  depths: Sequence[float] = (0.1, 0.2, 0.3, 0.4, 0.5), success: float = 0.30,
                  cost_per_customer: float = 50.0, months: int = 6) -> DataFrame:
     """For each depth p: the top floor(n * p) customers by score, saved
-    revenue, cost and ROI. One ranking pass, then one aggregate with a
-    conditional sum per depth (no join against the depth list)."""
+    revenue, cost and ROI. Only rows tied on a boundary score are ranked."""
     src = df.select(id_col, score, F.col(revenue).alias("_v"))
-    r = running_rows(src, order=score, id_col=id_col, values=[])
-    r = with_totals(r, src, {"_n": F.count(F.lit(1))})
-    ks = {i: F.floor(F.col("_n") * F.lit(float(p))) for i, p in enumerate(depths)}
-    wide = r.agg(*[F.coalesce(F.sum(F.when(F.col("pos") <= k, F.col("_v"))), F.lit(0.0)).alias(f"r{i}")
-                   for i, k in ks.items()],
-                 *[F.first(k).alias(f"k{i}") for i, k in ks.items()])
-    parts = ", ".join(f"{int(round(p * 100))}, k{i}, r{i}" for i, p in enumerate(depths))
-    long = wide.selectExpr(f"stack({len(depths)}, {parts}) AS (pct_clients, clients, revenue)")
+    top = top_sums(src, order=score, id_col=id_col, values=["_v"], fractions=depths)
+    long = top.select(F.round(F.col("p") * 100).alias("pct_clients"), F.col("k").alias("clients"),
+                      F.col("top__v").alias("revenue"))
     saved = F.col("revenue") * float(months) * float(success)
     cost = F.col("clients") * float(cost_per_customer)
     return long.select(F.col("pct_clients").cast("int").alias("pct_clients"),
                        F.col("clients").cast("long").alias("clients"),
-                       _r(saved).alias("saved"), _r(cost).alias("cost"),
-                       _r(_div(saved - cost, cost)).alias("roi"))
+                       saved.alias("saved"), cost.alias("cost"),
+                       _div(saved - cost, cost).alias("roi"))
 
 
 def slider(lo: float = 0.05, hi: float = 0.95, step: float = 0.01) -> list[float]:
@@ -151,7 +141,7 @@ def threshold_counts(df: DataFrame, *, label: str = "target", score: str = "scor
     b = Bucketizer(splits=[float("-inf"), *ts, float("inf")], inputCol=score, outputCol="_j",
                    handleInvalid="keep")
     # _j = number of thresholds <= score
-    per = b.transform(h.where(F.col(score).isNotNull())).groupBy("_j").agg(
+    per = b.transform(h).groupBy("_j").agg(
         F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     spark = df.sparkSession
     tdf = spark.createDataFrame([(k, float(t)) for k, t in enumerate(ts)], "k int, threshold double")
@@ -180,11 +170,11 @@ def threshold_simulation(df: DataFrame, *, label: str = "target", score: str = "
     benefit = retained * float(revenue_per_retained)
     cost = F.col("contacted") * float(contact_cost) + retained * float(incentive_cost)
     roi = F.when(cost > 0, (benefit - cost) / cost).otherwise(F.lit(0.0))
-    return c.select("threshold", "contacted", "tp", _r(retained).alias("retained"),
-                    _r(benefit).alias("benefit"), _r(cost).alias("cost"),
-                    _r(benefit - cost).alias("profit"), _r(roi).alias("roi"),
+    return c.select("threshold", "contacted", "tp", retained.alias("retained"),
+                    benefit.alias("benefit"), cost.alias("cost"),
+                    (benefit - cost).alias("profit"), roi.alias("roi"),
                     ((benefit - cost) < 0).cast("int").alias("loss"),
-                    _r(roi + 1).alias("return_per_unit"))
+                    (roi + 1).alias("return_per_unit"))
 
 
 def strategy_efficiency(df: DataFrame, *, label: str = "target", score: str = "score",
@@ -192,11 +182,12 @@ def strategy_efficiency(df: DataFrame, *, label: str = "target", score: str = "s
     """Share of the base contacted, share of churn captured and their ratio
     at every slider threshold."""
     c = threshold_counts(df, label=label, score=score, thresholds=thresholds)
-    c = with_totals(c, df, {"_n": F.count(F.lit(1)), "_p": F.sum(F.col(label).cast("long"))})
+    c = with_totals(c, df.where(valid(df, score)), {
+        "_n": F.count(F.lit(1)), "_p": F.sum(F.col(label).cast("long"))})
     base = _div(F.col("contacted"), F.col("_n"))
     cap = _div(F.col("tp"), F.col("_p"))
-    return c.select("threshold", _r(base).alias("pct_base_contacted"),
-                    _r(cap).alias("pct_churn_captured"), _r(_div(cap, base)).alias("efficiency"))
+    return c.select("threshold", base.alias("pct_base_contacted"),
+                    cap.alias("pct_churn_captured"), _div(cap, base).alias("efficiency"))
 
 
 def impact_projection(df: DataFrame, *, segment: str, label: str = "target",
@@ -207,8 +198,8 @@ def impact_projection(df: DataFrame, *, segment: str, label: str = "target",
                                 F.avg(F.col(label).cast("double")).alias("rate"),
                                 F.avg(revenue).alias("ticket"))
     at_risk = F.col("base") * F.col("rate") * F.col("ticket") * 12.0
-    return g.select(segment, "base", _r(F.col("rate")).alias("churn_rate"), _r(F.col("ticket")).alias("ticket"),
-                    _r(at_risk, 4).alias("annual_at_risk"), _r(at_risk * float(recovery), 4).alias("saved"))
+    return g.select(segment, "base", F.col("rate").alias("churn_rate"), F.col("ticket").alias("ticket"),
+                    at_risk.alias("annual_at_risk"), (at_risk * float(recovery)).alias("saved"))
 
 
 def segment_alert(df: DataFrame, *, segment: str, label: str = "target", limit: float = 0.25) -> DataFrame:
@@ -216,15 +207,14 @@ def segment_alert(df: DataFrame, *, segment: str, label: str = "target", limit:
     g = df.groupBy(segment).agg(F.avg(F.col(label).cast("double")).alias("churn_rate"),
                                 F.count(F.lit(1)).alias("customers"))
     return g.where(F.col("churn_rate") > float(limit)).select(
-        segment, _r(F.col("churn_rate")).alias("churn_rate"), "customers")
+        segment, F.col("churn_rate").alias("churn_rate"), "customers")
 
 
 def revenue_risk_change(df: DataFrame, *, time_col: str, amount: str) -> DataFrame:
-    """Monthly amount and its change versus the previous month (lag over
-    the monthly rows — one row per month, a bounded table)."""
-    m = df.groupBy(F.date_trunc("month", F.col(time_col)).alias("month")).agg(
+    """Monthly amount and its change versus the calendar month before; NULL where
+    that month has no rows. The window runs over one row per month."""
+    m = df.groupBy(F.date_trunc("month", F.col(time_col)).cast("date").alias("month")).agg(
         F.sum(amount).alias("amount"))
     w = Window.orderBy("month")
-    prev = F.lag("amount").over(w)
-    return m.select(F.col("month").cast("date").alias("month"), _r(F.col("amount"), 2).alias("amount"),
-                    _r(_div(F.col("amount") - prev, prev)).alias("change"))
+    prev = F.when(F.lag("month").over(w) == F.add_months("month", -1), F.lag("amount").over(w))
+    return m.select("month", "amount", _div(F.col("amount") - prev, prev).alias("change"))

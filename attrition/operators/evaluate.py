@@ -14,20 +14,16 @@ from pyspark.sql import functions as F
 
 from .primitives import (
     exact_quantiles,
+    join_groups,
     materialize,
     prefix_sums,
     running_rows,
     score_histogram,
+    top_sums,
+    valid,
     with_totals,
 )
 
-R6 = 6  # output rounding (decimal places) for derived ratios
-
-
-def _r(c: Column) -> Column:
-    return F.round(c, R6)
-
-
 def _div(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
@@ -35,13 +31,13 @@ def _div(a: Column, b: Column) -> Column:
 # ----------------------------------------------------------------- curves
 
 def score_curve(df: DataFrame, label: str = "label", score: str = "score",
-                by: Sequence[str] = (), bucket: str = "unit") -> DataFrame:
+                by: Sequence[str] = ()) -> DataFrame:
     """H in descending score order with cumulative tp / fp and class totals.
 
     Columns: by..., threshold, n, pos, neg, tp, fp, tot_pos, tot_neg.
     """
     h0 = materialize(score_histogram(df, score, label, by=by))
-    h = prefix_sums(h0, [(score, False)], ["pos", "neg"], by=by, bucket=bucket)
+    h = prefix_sums(h0, [(score, False)], ["pos", "neg"], by=by)
     h = with_totals(h, h0, {"tot_pos": F.sum("pos"), "tot_neg": F.sum("neg")}, by)
     return h.select(*by, F.col(score).alias("threshold"), "n", "pos", "neg",
                     F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"), "tot_pos", "tot_neg")
@@ -58,8 +54,8 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
     """(threshold, fpr, tpr) for every distinct score, plus the (0, 0) start
     at threshold +inf. All points are kept."""
     c = score_curve(df, label, score, by)
-    pts = c.select(*by, "threshold", _r(_div(F.col("fp"), F.col("tot_neg"))).alias("fpr"),
-                   _r(_div(F.col("tp"), F.col("tot_pos"))).alias("tpr"))
+    pts = c.select(*by, "threshold", _div(F.col("fp"), F.col("tot_neg")).alias("fpr"),
+                   _div(F.col("tp"), F.col("tot_pos")).alias("tpr"))
     start = c.select(*by).distinct().select(
         *by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return pts.unionByName(start)
@@ -75,8 +71,8 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
     below = F.col("tot_neg") - F.col("fp")  # negatives with a lower score
     contrib = F.col("pos") * (below + F.col("neg") / 2.0)
     return c.groupBy(*by).agg(
-        _r(_div(F.sum(contrib),
-                F.first("tot_pos").cast("double") * F.first("tot_neg").cast("double"))).alias("auc"))
+        _div(F.sum(contrib),
+                F.first("tot_pos").cast("double") * F.first("tot_neg").cast("double")).alias("auc"))
 
 
 def pr_curve(df: DataFrame, label: str = "label", score: str = "score",
@@ -86,8 +82,8 @@ def pr_curve(df: DataFrame, label: str = "label", score: str = "score",
     all thresholds when there is no positive."""
     c = score_curve(df, label, score, by)
     recall = F.when(F.col("tot_pos") == 0, F.lit(1.0)).otherwise(_div(F.col("tp"), F.col("tot_pos")))
-    pts = c.select(*by, "threshold", _r(_div(F.col("tp"), F.col("tp") + F.col("fp"))).alias("precision"),
-                   _r(recall).alias("recall"))
+    pts = c.select(*by, "threshold", _div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
+                   recall.alias("recall"))
     end = c.select(*by).distinct().select(
         *by, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),
         F.lit(0.0).alias("recall"))
@@ -100,14 +96,14 @@ def average_precision(df: DataFrame, label: str = "label", score: str = "score",
     interpolation)."""
     c = score_curve(df, label, score, by)
     step = F.col("pos") * _div(F.col("tp"), F.col("tp") + F.col("fp"))
-    return c.groupBy(*by).agg(_r(_div(F.sum(step), F.first("tot_pos"))).alias("average_precision"))
+    return c.groupBy(*by).agg(_div(F.sum(step), F.first("tot_pos")).alias("average_precision"))
 
 
 def ks_curve(df: DataFrame, label: str = "label", score: str = "score",
              by: Sequence[str] = ()) -> DataFrame:
     """ROC points with gap = tpr - fpr (the table behind the KS plot)."""
     r = roc_curve(df, label, score, by)
-    return r.withColumn("gap", _r(F.col("tpr") - F.col("fpr")))
+    return r.withColumn("gap", F.col("tpr") - F.col("fpr"))
 
 
 def ks_signed(df: DataFrame, label: str = "label", score: str = "score",
@@ -120,7 +116,7 @@ def ks_signed(df: DataFrame, label: str = "label", score: str = "score",
     best = pts.groupBy(*by).agg(F.max(F.struct(F.col("gap"), F.col("threshold"))).alias("b"))
     ks = F.greatest(F.col("b.gap"), F.lit(0.0))
     thr = F.when(F.col("b.gap") > 0, F.col("b.threshold")).otherwise(F.lit(float("inf")))
-    return best.select(*by, _r(ks).alias("ks"), thr.alias("ks_threshold"))
+    return best.select(*by, ks.alias("ks"), thr.alias("ks_threshold"))
 
 
 def ks_abs(df: DataFrame, label: str = "label", score: str = "score",
@@ -136,7 +132,7 @@ def ks_abs(df: DataFrame, label: str = "label", score: str = "score",
         F.max(F.struct(F.col("d").alias("d"), (-F.col("s")).alias("ns"))).alias("b"), F.first("tot_pos").alias("tot_pos"),
         F.first("tot_neg").alias("tot_neg"))
     ok = (F.col("tot_pos") > 0) & (F.col("tot_neg") > 0)
-    return best.select(*by, F.when(ok, _r(F.col("b.d"))).alias("ks"),
+    return best.select(*by, F.when(ok, F.col("b.d")).alias("ks"),
                        F.when(ok, -F.col("b.ns")).alias("ks_at"))
 
 
@@ -178,17 +174,19 @@ def pr_balance_point(df: DataFrame, label: str = "label", score: str = "score",
     cand = j2.where(target & (F.col("tj").isNull() | (F.col("threshold") < F.col("tj"))))
     pick = cand.groupBy(*by).agg(F.max("threshold").alias("threshold"))
     return (pick.join(pts, [*by, "threshold"])
-            .select(*by, "threshold", _r(F.col("precision")).alias("precision"),
-                    _r(F.col("recall")).alias("recall")))
+            .select(*by, "threshold", F.col("precision").alias("precision"),
+                    F.col("recall").alias("recall")))
 
 
 # ----------------------------------------------------------------- thresholded
 
 def apply_threshold(df: DataFrame, score: str = "score", threshold: float | Column = 0.5,
                     out: str = "pred", strict: bool = False) -> DataFrame:
+    """Prediction 1 at or above (``strict``: above) the threshold, else 0; NULL
+    without a valid score, which no count below takes in."""
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     cmp = F.col(score) > t if strict else F.col(score) >= t
-    return df.withColumn(out, cmp.cast("int"))
+    return df.withColumn(out, F.when(valid(df, score), cmp.cast("int")))
 
 
 def _counts(df: DataFrame, label: str, pred: str, by: Sequence[str]) -> DataFrame:
@@ -211,7 +209,7 @@ def confusion_normalized(df: DataFrame, label: str = "label", pred: str = "pred"
     """Row-normalised matrix (share of each actual class)."""
     c = _counts(df, label, pred, by)
     neg, pos = F.col("tn") + F.col("fp"), F.col("fn") + F.col("tp")
-    c = c.select(*by, *[_r(_div(F.col(k), d)).alias(k) for k, d in
+    c = c.select(*by, *[_div(F.col(k), d).alias(k) for k, d in
                         [("tn", neg), ("fp", neg), ("fn", pos), ("tp", pos)]])
     return c.selectExpr(*by, "stack(4, 0, 0, tn, 0, 1, fp, 1, 0, fn, 1, 1, tp)"
                         " AS (actual, predicted, share)")
@@ -223,8 +221,8 @@ def precision_recall_at(df: DataFrame, label: str = "label", score: str = "score
     c = _counts(apply_threshold(df, score, threshold), label, "pred", by)
     prec = F.coalesce(_div(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
     rec = F.coalesce(_div(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
-    return c.select(*by, F.lit(float(threshold)).alias("threshold"), _r(prec).alias("precision"),
-                    _r(rec).alias("recall"), "tp", "fp", "fn", "tn")
+    return c.select(*by, F.lit(float(threshold)).alias("threshold"), prec.alias("precision"),
+                    rec.alias("recall"), "tp", "fp", "fn", "tn")
 
 
 def classification_report(df: DataFrame, label: str = "label", pred: str = "pred",
@@ -259,40 +257,13 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
             " 'macro avg', mp, mr, mf, n, 'weighted avg', wp, wr, wf, n)"
             " AS (class, precision, recall, f1, support)")
     out = m.selectExpr(*by, rows)
-    return out.select(*by, "class", _r(F.col("precision")).alias("precision"),
-                      _r(F.col("recall")).alias("recall"), _r(F.col("f1")).alias("f1"),
+    return out.select(*by, "class", F.col("precision").alias("precision"),
+                      F.col("recall").alias("recall"), F.col("f1").alias("f1"),
                       F.col("support").cast("long").alias("support"))
 
 
 # ----------------------------------------------------------------- bins
 
-def _quantile_edges(df: DataFrame, score: str, n_bins: int, by: Sequence[str]) -> DataFrame:
-    probs = [i / n_bins for i in range(n_bins + 1)]
-    q = exact_quantiles(df, score, probs, by=by)
-    return q.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pi", "q"))).alias("_e")) \
-        .select(*by, F.transform("_e", lambda s: s["q"]).alias("edges"))
-
-
-def quantile_bins(df: DataFrame, score: str = "score", n_bins: int = 10, by: Sequence[str] = (),
-                  strict: bool = False, out: str = "decil") -> DataFrame:
-    """Quantile cut (exact, linear-interpolated edges; right-closed bins,
-    lowest edge included); duplicate edges dropped (or an error when
-    ``strict``). ``out`` = 0 for the riskiest bin."""
-    e = _quantile_edges(df, score, n_bins, by)
-    if strict:
-        e = e.withColumn("edges", F.when(
-            F.size(F.array_distinct("edges")) == F.size("edges"), F.col("edges"))
-            .otherwise(F.raise_error(F.lit("quantile edges are not unique")).cast("array<double>")))
-    e = e.withColumn("edges", F.array_distinct("edges"))
-    j = df.join(e, list(by)) if by else with_totals(df, e, {"edges": F.first("edges")})
-    inner = F.slice(F.col("edges"), 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    b = F.size(F.filter(inner, lambda x: x < F.col(score)))
-    nb = F.greatest(F.size("edges") - 2, F.lit(0))  # highest bin index
-    if strict:
-        nb = F.lit(n_bins - 1)
-    return j.withColumn(out, (nb - b).cast("int")).withColumn("_bin", b.cast("int")).drop("edges")
-
-
 def binned_histogram(df: DataFrame, label: str = "label", score: str = "score", n_bins: int = 10,
                      by: Sequence[str] = (), strict: bool = False) -> DataFrame:
     """Quantile bins computed on the score histogram: a bin depends only on
@@ -311,7 +282,7 @@ def binned_histogram(df: DataFrame, label: str = "label", score: str = "score",
             F.size(F.array_distinct("edges")) == F.size("edges"), F.col("edges"))
             .otherwise(F.raise_error(F.lit("quantile edges are not unique")).cast("array<double>")))
     e = e.withColumn("edges", F.array_distinct("edges"))
-    j = h.join(e, list(by)) if by else with_totals(h, e, {"edges": F.first("edges")})
+    j = join_groups(h, e, by) if by else with_totals(h, e, {"edges": F.first("edges")})
     inner = F.slice(F.col("edges"), 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     return j.withColumn("_bin", F.size(F.filter(inner, lambda x: x < F.col(score))).cast("int"))
 
@@ -321,16 +292,23 @@ def lift_deciles(df: DataFrame, label: str = "label", score: str = "score", n_bi
     """Per bin (0 = riskiest): total, churn, churn_rate, lift, baseline.
     A zero baseline divides by 1e-9."""
     binned = binned_histogram(df, label, score, n_bins, by, strict=strict)
+    # at most n_bins rows a group, read twice: written once
+    t = materialize(binned.groupBy(*by, "_bin").agg(F.sum("n").alias("total"), F.sum("pos").alias("churn")))
     # The highest observed bin index is the reference point for "max - bin".
-    t = binned.groupBy(*by, "_bin").agg(F.sum("n").alias("total"), F.sum("pos").alias("churn"))
     t = with_totals(t, t, {"_T": F.sum("total"), "_C": F.sum("churn"), "_mb": F.max("_bin")}, by)
     base = _div(F.col("_C"), F.col("_T"))
     rate = _div(F.col("churn"), F.col("total"))
     decil = (F.lit(n_bins - 1) - F.col("_bin")) if strict else (F.col("_mb") - F.col("_bin"))
     return t.select(*by, decil.cast("int").alias("decil"), "total", "churn",
-                    _r(rate).alias("churn_rate"),
-                    _r(rate / F.when(base > 0, base).otherwise(F.lit(1e-9))).alias("lift"),
-                    _r(base).alias("baseline"))
+                    rate.alias("churn_rate"),
+                    (rate / F.when(base > 0, base).otherwise(F.lit(1e-9))).alias("lift"),
+                    base.alias("baseline"))
+
+
+def _percent(x: Column) -> Column:
+    """A share of 0 or more as percent with one decimal, rounded half up in whole numbers."""
+    tenths = F.round(x * 1000).cast("long")
+    return F.concat((tenths / 10).cast("long").cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 
 def decile_table(df: DataFrame, label: str = "label", score: str = "score",
@@ -357,13 +335,14 @@ def decile_table(df: DataFrame, label: str = "label", score: str = "score",
     return g.select(
         F.format_string("%dº Decil", F.col("rank")).alias("decil"),
         F.col("rank").cast("int").alias("rank"),
-        _r(F.col("lo")).alias("prob_lo"), _r(F.col("hi")).alias("prob_hi"),
-        "customers", "churners", _r(F.col("avg_score")).alias("avg_score"),
-        _r(rate).alias("churn_rate"), "cum_churners",
-        _r(_div(F.col("cum_churners"), F.when(F.col("_tc") > 0, F.col("_tc")).otherwise(1)))
+        F.col("lo").alias("prob_lo"), F.col("hi").alias("prob_hi"),
+        F.concat(_percent(F.col("lo")), F.lit("% a "), _percent(F.col("hi")), F.lit("%")).alias("prob_range"),
+        "customers", "churners", F.col("avg_score").alias("avg_score"),
+        rate.alias("churn_rate"), "cum_churners",
+        _div(F.col("cum_churners"), F.when(F.col("_tc") > 0, F.col("_tc")).otherwise(1))
         .alias("cum_gain"),
-        _r(F.when(base > 0, rate / base)).alias("lift"),
-        "cum_customers", _r(_div(F.col("cum_customers"), F.col("_tn"))).alias("cum_customers_pct"))
+        F.when(base > 0, rate / base).alias("lift"),
+        "cum_customers", _div(F.col("cum_customers"), F.col("_tn")).alias("cum_customers_pct"))
 
 
 def calibration_curve(df: DataFrame, label: str = "label", score: str = "score",
@@ -373,9 +352,9 @@ def calibration_curve(df: DataFrame, label: str = "label", score: str = "score",
     step = 1.0 / n_bins
     edges = [i * step for i in range(1, n_bins)]
     b = sum((F.col(score) > F.lit(e)).cast("int") for e in edges) if edges else F.lit(0)
-    return (df.withColumn("bin", b.cast("int")).groupBy(*by, "bin")
-            .agg(_r(F.avg(F.col(label).cast("double"))).alias("prob_true"),
-                 _r(F.avg(score)).alias("prob_pred"), F.count(F.lit(1)).alias("n")))
+    return (df.where(valid(df, score)).withColumn("bin", b.cast("int")).groupBy(*by, "bin")
+            .agg(F.avg(F.col(label).cast("double")).alias("prob_true"),
+                 F.avg(score).alias("prob_pred"), F.count(F.lit(1)).alias("n")))
 
 
 # ----------------------------------------------------------------- per-row order
@@ -384,11 +363,12 @@ def gains_curve(df: DataFrame, id_col: str, label: str = "label", score: str = "
                 by: Sequence[str] = ()) -> DataFrame:
     """Per row by score desc (ties by md5(id), id): cumulative share of the
     base and of the churners."""
-    src = df.select(*by, id_col, score, F.col(label).cast("long").alias("_y"))
+    src = materialize(df.where(valid(df, score)).select(
+        *by, id_col, score, F.col(label).cast("long").alias("_y")))
     r = running_rows(src, order=score, id_col=id_col, values=["_y"], by=by)
     r = with_totals(r, src, {"_T": F.count(F.lit(1)), "_C": F.sum("_y")}, by)
-    return r.select(*by, id_col, score, "pos", _r(_div(F.col("pos"), F.col("_T"))).alias("cum_base"),
-                    _r(_div(F.col("cum__y"), F.col("_C"))).alias("cum_churn"))
+    return r.select(*by, id_col, score, "pos", _div(F.col("pos"), F.col("_T")).alias("cum_base"),
+                    _div(F.col("cum__y"), F.col("_C")).alias("cum_churn"))
 
 
 def gain_at_top(df: DataFrame, id_col: str, label: str = "label", score: str = "score",
@@ -396,10 +376,5 @@ def gain_at_top(df: DataFrame, id_col: str, label: str = "label", score: str = "
     """Cumulative churn share at row floor(n * p) of the descending order;
     0 when that row index is 0."""
     src = df.select(*by, id_col, score, F.col(label).cast("long").alias("_y"))
-    r = running_rows(src, order=score, id_col=id_col, values=[], by=by)
-    r = with_totals(r, src, {"_T": F.count(F.lit(1)), "_C": F.sum("_y")}, by)
-    k = F.floor(F.col("_T") * F.lit(float(p)))
-    return r.groupBy(*by).agg(
-        F.first(k).alias("k"),
-        _r(F.coalesce(_div(F.sum(F.when(F.col("pos") <= k, F.col("_y")).otherwise(0)),
-                           F.first("_C")), F.lit(0.0))).alias("gain"))
+    top = top_sums(src, order=score, id_col=id_col, values=["_y"], fractions=[p], by=by)
+    return top.select(*by, "k", F.coalesce(_div(F.col("top__y"), F.col("all__y")), F.lit(0.0)).alias("gain"))

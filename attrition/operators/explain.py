@@ -3,12 +3,12 @@
 Contributions are the exact Shapley values of the path-dependent tree
 expectation (the quantity TreeSHAP computes): for each tree, v(S) is the
 prediction when features in S follow the row and the others follow the
-training cover at each split. A depth-d tree uses few distinct features,
-so v(S) is evaluated for every subset S of them, vectorised over the rows
-of an Arrow batch. Trees are small driver-side metadata, broadcast once;
+training cover at each split. They are added up leaf by leaf in polynomial
+time, vectorised over the rows of an Arrow batch. Trees are small driver-side metadata, broadcast once;
 rows never leave their partition (``mapInPandas``).
 
-Invariant: bias + sum of contributions = raw margin of the model.
+Contributions are in log-odds: Spark's booster has half of them as margin, so
+they are doubled. Invariant: bias + sum of contributions = log-odds of the model.
 """
 
 from __future__ import annotations
@@ -26,6 +26,11 @@ from pyspark.sql import functions as F
 from .model import feature_names
 
 
+LOG_ODDS = 2.0  # probability = 1 / (1 + exp(-2 * margin))
+# The direction texts.
+RAISES, LOWERS = "↑ aumenta churn", "↓ reduz churn"
+
+
 def _node_to_dict(node) -> dict:
     kind = node.getClass().getSimpleName()
     stats = node.impurityStats()
@@ -74,46 +79,32 @@ def _goes_left(node: dict, x: np.ndarray) -> np.ndarray:
 
 def tree_shap(tree: dict, x: np.ndarray) -> tuple[np.ndarray, float]:
     """(n_rows x n_features) contributions of one tree, and its expected
-    value under the training cover."""
-    paths = _leaves(tree)
-    feats = sorted({n["feature"] for p, _ in paths for n, _ in p})
-    m = len(feats)
-    pos = {f: i for i, f in enumerate(feats)}
-    n = x.shape[0]
-    # per path: cover fraction and the row's agreement at each split
-    prep = []
-    for p, leaf in paths:
-        steps = []
-        for node, left in p:
-            child = node["left"] if left else node["right"]
-            frac = child["cover"] / node["cover"] if node["cover"] > 0 else 0.0
-            agree = _goes_left(node, x) == left
-            steps.append((pos[node["feature"]], frac, agree))
-        prep.append((steps, leaf["value"]))
-
-    def v(mask: int) -> np.ndarray:
-        total = np.zeros(n)
-        for steps, value in prep:
-            w = np.ones(n)
-            for fi, frac, agree in steps:
-                w = w * (agree if (mask >> fi) & 1 else frac)
-            total += w * value
-        return total
-
-    vals = {mask: v(mask) for mask in range(1 << m)}
-    phi = np.zeros((n, x.shape[1]))
-    fact = [math.factorial(k) for k in range(m + 1)]
-    for i, f in enumerate(feats):
-        acc = np.zeros(n)
-        for mask in range(1 << m):
-            if (mask >> i) & 1:
-                continue
-            s = bin(mask).count("1")
-            wgt = fact[s] * fact[m - s - 1] / fact[m]
-            acc += wgt * (vals[mask | (1 << i)] - vals[mask])
-        phi[:, f] = acc
-    # with no feature fixed every split follows the cover: a constant
-    expected = float(sum(np.prod([fr for _, fr, _ in steps]) * value for steps, value in prep))
+    value under the training cover.
+
+    A leaf's share of v(S) is its value times one factor for each of the m features
+    on its path: agreement with the row if the feature is in S, else the cover
+    fraction. So Shapley values add up leaf by leaf, and the sums over subsets of a
+    path are the coefficients of a polynomial of degree m - 1: O(leaves x m^3).
+    """
+    phi, expected = np.zeros((x.shape[0], x.shape[1])), 0.0
+    for steps, leaf in _leaves(tree):
+        agree: dict[int, np.ndarray] = {}
+        frac: dict[int, float] = {}
+        for node, left in steps:
+            f, child = node["feature"], node["left"] if left else node["right"]
+            agree[f] = agree.get(f, True) & (_goes_left(node, x) == left)
+            frac[f] = frac.get(f, 1.0) * (child["cover"] / node["cover"] if node["cover"] > 0 else 0.0)
+        expected += leaf["value"] * math.prod(frac.values())
+        m = len(frac)
+        weight = [math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) for k in range(m)]
+        for f in frac:
+            # coefficient k: sum over subsets of k other features that are in S
+            poly = [np.ones(x.shape[0])]
+            for g in frac:
+                if g != f:
+                    poly = [(poly[k] * frac[g] if k < len(poly) else 0.0)
+                            + (poly[k - 1] * agree[g] if k else 0.0) for k in range(len(poly) + 1)]
+            phi[:, f] += leaf["value"] * (agree[f] - frac[f]) * sum(w * c for w, c in zip(weight, poly))
     return phi, expected
 
 
@@ -122,8 +113,8 @@ def shap_matrix(meta: dict, x: np.ndarray) -> tuple[np.ndarray, float]:
     bias = 0.0
     for tree, w in zip(meta["trees"], meta["weights"]):
         p, e = tree_shap(tree, x)
-        phi += w * p
-        bias += w * e
+        phi += LOG_ODDS * w * p
+        bias += LOG_ODDS * w * e
     return phi, bias
 
 
@@ -160,21 +151,15 @@ def contributions(df: DataFrame, model: PipelineModel, *, id_col: str) -> DataFr
 
 
 def margin(df: DataFrame, model: PipelineModel, *, id_col: str) -> DataFrame:
-    """Raw margin (sum of weighted tree outputs) per id, for the invariant."""
+    """Log-odds of the model per id, for the invariant."""
     out = model.transform(df)
-    return out.select(id_col, vector_to_array("rawPrediction")[1].alias("margin"))
-
+    return out.select(id_col, (F.lit(LOG_ODDS) * vector_to_array("rawPrediction")[1]).alias("margin"))
 
-def contributions_global(df: DataFrame, model: PipelineModel, *, id_col: str, sample: int = 1500,
-                         seed: int = 42, top: int = 15) -> DataFrame:
-    """Mean |contribution| per feature over a deterministic hash sample of
-    ``sample`` rows (the first rows in md5('seed|id') order), top ``top``."""
-    from .primitives import hash_order, hex_bucket, running_rows
 
-    src = df.withColumn("_h", hash_order(id_col, seed))
-    ranked = running_rows(src, order="_h", id_col=id_col, ascending=True, bucket=hex_bucket("_h", 4))
-    picked = ranked.where(F.col("pos") <= sample).drop("_h", "pos")
-    c = contributions(picked, model, id_col=id_col).where(F.col("feature") != "__bias__")
+def contributions_global(df: DataFrame, model: PipelineModel, *, id_col: str, top: int = 15) -> DataFrame:
+    """Mean |contribution| per feature over all rows, top ``top`` (the window runs
+    over one row per feature)."""
+    c = contributions(df, model, id_col=id_col).where(F.col("feature") != "__bias__")
     g = c.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
     w = Window.orderBy(F.desc("mean_abs"), F.asc("feature"))
     return g.select("feature", "mean_abs", F.row_number().over(w).alias("rank")).where(F.col("rank") <= top)
@@ -187,8 +172,8 @@ def top_factors(long_df: DataFrame, *, id_col: str, n: int = 5, feature: str = "
     w = Window.partitionBy(id_col).orderBy(F.desc(F.abs(F.col(value))), F.asc(feature))
     r = long_df.where(F.col(feature) != "__bias__").withColumn("rank", F.row_number().over(w))
     return r.where(F.col("rank") <= n).select(
-        id_col, F.col("rank").cast("int").alias("rank"), feature, F.round(value, 6).alias(value),
-        F.when(F.col(value) > 0, "↑ aumenta churn").otherwise("↓ reduz churn").alias("direction"))
+        id_col, F.col("rank").cast("int").alias("rank"), feature, value,
+        F.when(F.col(value) > 0, RAISES).otherwise(LOWERS).alias("direction"))
 
 
 def formula_contributions(df: DataFrame, *, id_col: str,

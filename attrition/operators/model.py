@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .primitives import materialize
+
 # Tuned booster settings and their Spark counterparts.
 BOOSTED_PARAMS = {
     "maxIter": 100,
@@ -64,7 +66,8 @@ def build_pipeline(cat_cols: Sequence[str], num_cols: Sequence[str], params: Map
                           handleInvalid="keep")
     p = dict(BOOSTED_PARAMS)
     p.update(params or {})
-    gbt = GBTClassifier(featuresCol=features_col, labelCol=label_col, maxBins=64, cacheNodeIds=True,
+    p.setdefault("maxBins", MIN_BINS)
+    gbt = GBTClassifier(featuresCol=features_col, labelCol=label_col, cacheNodeIds=True,
                         checkpointInterval=10, **p)
     if weight_col:
         gbt.setWeightCol(weight_col)
@@ -77,10 +80,35 @@ def prepare_label(df: DataFrame, label_col: str = "target") -> DataFrame:
     return df.withColumn(label_col, F.col(label_col).cast("double"))
 
 
+MIN_BINS = 64  # of numeric features; a column with more categories has as many
+
+
+def bins_for(train: DataFrame, cat_cols: Sequence[str]) -> int:
+    """Bins that the largest vocabulary needs, the index of unseen values included."""
+    if not cat_cols:
+        return MIN_BINS
+    sizes = train.agg(*[F.countDistinct(c).alias(c) for c in cat_cols]).first()
+    return max(MIN_BINS, *(n + 1 for n in sizes))
+
+
+def fixed_layout(train: DataFrame, id_col: str, rows_per_part: int = 200_000) -> DataFrame:
+    """The same rows, written once, in a layout that follows from the ids alone:
+    parts by hash, sorted by id. Subsampling draws by part and place, so without
+    this a fit would depend on how its input happened to be partitioned."""
+    train = materialize(train)
+    parts = max(1, -(-train.count() // rows_per_part))
+    return materialize(train.repartition(parts, F.col(id_col)).sortWithinPartitions(id_col))
+
+
 def fit_boosted(train: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[str],
                 params: Mapping | None = None, weight_col: str | None = "weight",
-                label_col: str = "target") -> PipelineModel:
+                label_col: str = "target", id_col: str | None = None) -> PipelineModel:
+    """Fit the booster. With ``id_col`` the model depends on the rows alone, not on
+    their layout (see ``fixed_layout``)."""
     train = prepare_label(train, label_col)
+    if id_col is not None:
+        train = fixed_layout(train, id_col)
+    params = {"maxBins": bins_for(train, cat_cols), **dict(params or {})}
     return build_pipeline(cat_cols, num_cols, params, weight_col, label_col).fit(train)
 
 
@@ -128,13 +156,13 @@ def sample_param_maps(gbt: GBTClassifier, n_iter: int, seed: int = 42,
 
 
 def random_search(train: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[str], *,
-                  n_iter: int, fold_col: str, parallelism: int = 2, seed: int = 42,
+                  fold_col: str, n_iter: int = 80, parallelism: int = 2, seed: int = 42,
                   ranges: Mapping | None = None, weight_col: str | None = "weight",
                   label_col: str = "target"):
     """Cross-validated random search scored by F1 of the positive class.
     Returns (best PipelineModel, results DataFrame)."""
     train = prepare_label(train, label_col)
-    pipe = build_pipeline(cat_cols, num_cols, None, weight_col, label_col)
+    pipe = build_pipeline(cat_cols, num_cols, {"maxBins": bins_for(train, cat_cols)}, weight_col, label_col)
     gbt = pipe.getStages()[-1]
     maps = sample_param_maps(gbt, n_iter, seed, ranges)
     ev = MulticlassClassificationEvaluator(labelCol=label_col, metricName="fMeasureByLabel",

@@ -8,10 +8,9 @@ R — distributed running sums. A global ``Window.orderBy`` without
 ``partitionBy`` moves every row to one task; instead:
 
 1. rows are cut into *buckets* that are contiguous ranges of the order
-   (``floor(score * bins)`` for unit-interval scores, approximate-quantile
-   splits otherwise);
-2. per-bucket totals (at most ``bins + 2`` rows per group) get a running sum
-   — a tiny table;
+   (approximate quantiles of the values, or a prefix of a hash);
+2. per-bucket totals (at most ``BUCKETS`` rows per group) get a running sum
+   — a small table;
 3. those offsets are joined back, and a window partitioned by bucket adds
    the within-bucket running sum.
 
@@ -29,15 +28,28 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 UNBOUNDED = Window.unboundedPreceding
 CURRENT = Window.currentRow
 
 
+def valid(df: DataFrame, score: str) -> Column:
+    """Whether a row's score counts: NULL and NaN are no scores. One rule for
+    curves, bins, thresholds, calibration, gains and campaign tables."""
+    c = F.col(score)
+    return c.isNotNull() & ~F.isnan(c) if dict(df.dtypes)[score] in ("double", "float") else c.isNotNull()
+
+
 # ----------------------------------------------------------------- H
 
 def score_histogram(df: DataFrame, score: str = "score", label: str | None = "label",
                     value: str | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """One row per (by, distinct score): n, pos, neg[, val]."""
+    """One row per (by, distinct score): n, pos, neg[, val].
+
+    Rows without a valid score are left out here and in every other operator that
+    reads scores (see ``valid``)."""
+    df = df.where(valid(df, score))
     aggs = [F.count(F.lit(1)).alias("n")]
     if label is not None:
         aggs.append(F.sum(F.col(label).cast("long")).alias("pos"))
@@ -51,22 +63,22 @@ def score_histogram(df: DataFrame, score: str = "score", label: str | None = "la
 
 # ----------------------------------------------------------------- buckets
 
-def unit_bucket(col: str, bins: int = 10_000) -> Column:
-    """Bucket for values expected in [0, 1]; out-of-range values are clamped
-    into the two end buckets, so order is kept for any input."""
-    return F.least(F.greatest(F.floor(F.col(col) * float(bins)), F.lit(-1)),
-                   F.lit(bins + 1)).cast("long")
+BUCKET_ROWS = 5_000      # rows of one range bucket, as long as there are at most
+BUCKETS = 1 << 16        # this many buckets (a list of cut points on the driver)
 
 
-def quantile_buckets(df: DataFrame, col: str, bins: int = 1_000,
-                     rel_error: float = 1e-3, out: str = "_b") -> DataFrame:
-    """Approximate-quantile range buckets for any numeric column.
+def quantile_buckets(df: DataFrame, col: str, bucket_rows: int = BUCKET_ROWS,
+                     out: str = "_b") -> DataFrame:
+    """Range buckets of about ``bucket_rows`` rows for any numeric column.
 
-    One pass computes ``bins - 1`` cut points (a bounded list reaches the
-    driver); assignment is a JVM binary search (``Bucketizer``).
+    Runs a count and, for more than one bucket, a pass that computes the cut points
+    (at most ``BUCKETS`` numbers reach the driver); ``df`` should be materialised.
+    Assignment is a JVM binary search (``Bucketizer``).
     """
-    probs = [i / bins for i in range(1, bins)]
-    cuts = df.approxQuantile(col, probs, rel_error) if probs else []
+    bins = min(BUCKETS, df.count() // bucket_rows + 1)
+    if bins == 1:
+        return df.withColumn(out, F.lit(0).cast("long"))
+    cuts = df.approxQuantile(col, [i / bins for i in range(1, bins)], 0.25 / bins)
     splits = sorted({float(c) for c in cuts if c is not None})
     splits = [float("-inf")] + splits + [float("inf")]
     b = Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep")
@@ -80,20 +92,18 @@ def _ordered(cols: Sequence[tuple[str, bool]]) -> list[Column]:
 
 
 def prefix_sums(df: DataFrame, order: Sequence[tuple[str, bool]], sums: Sequence[str],
-                by: Sequence[str] = (), bucket: Column | str = "unit", bins: int = 10_000,
+                by: Sequence[str] = (), bucket: Column | str = "quantile",
                 prefix: str = "cum_") -> DataFrame:
     """Inclusive running sums of ``sums`` over rows that are unique per
-    (by, order). ``bucket`` must be monotone in the first order column:
-    ``"unit"`` (values in [0, 1]), ``"quantile"``, or a Column.
+    (by, order). ``bucket`` is a Column that is monotone in the first order
+    column, or ``"quantile"``: then ``df`` is materialised (a job) and cut by its own
+    quantiles, so any range of values is spread evenly. A NULL group is a group like any other.
     """
     first, first_asc = order[0]
     if isinstance(bucket, str):
-        if bucket == "unit":
-            g = df.withColumn("_b", unit_bucket(first, bins))
-        elif bucket == "quantile":
-            g = quantile_buckets(df, first, bins=min(bins, 1_000))
-        else:
+        if bucket != "quantile":
             raise ValueError(bucket)
+        g = quantile_buckets(materialize(df), first)
     else:
         g = df.withColumn("_b", bucket)
 
@@ -102,18 +112,15 @@ def prefix_sums(df: DataFrame, order: Sequence[tuple[str, bool]], sums: Sequence
           .rowsBetween(UNBOUNDED, -1))
     offsets = totals.select(
         *by, "_b", *[F.coalesce(F.sum(s).over(wb), F.lit(0)).alias(f"_off_{s}") for s in sums])
-    # The offset table has at most bins + 3 rows per group: with no grouping
-    # its size is bounded, so it is broadcast; with groups AQE decides.
-    offsets = F.broadcast(offsets) if not by else offsets
-    g = g.join(offsets, [*by, "_b"])
+    g = same_keys_join(g, offsets, [*by, "_b"])
     w = Window.partitionBy(*by, "_b").orderBy(*_ordered(order)).rowsBetween(UNBOUNDED, CURRENT)
     cums = {f"{prefix}{s}": F.sum(s).over(w) + F.col(f"_off_{s}") for s in sums}
     return g.withColumns(cums).drop("_b", *[f"_off_{s}" for s in sums])
 
 
 def running_rows(df: DataFrame, *, order: str, id_col: str, values: Sequence[str] = (),
-                 ascending: bool = False, by: Sequence[str] = (), bucket: Column | str = "unit",
-                 bins: int = 10_000, salt_hex: int = 3, prefix: str = "cum_") -> DataFrame:
+                 ascending: bool = False, by: Sequence[str] = (), salt_hex: int = 3,
+                 prefix: str = "cum_") -> DataFrame:
     """Per-row position and running sums in the order (order, md5(id), id).
 
     Adds ``pos`` (1-based position within ``by``) and ``cum_<v>`` for each
@@ -126,8 +133,7 @@ def running_rows(df: DataFrame, *, order: str, id_col: str, values: Sequence[str
     groups = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
                                   *[F.sum(v).alias(f"_g_{v}") for v in values])
     sums = ["_n", *[f"_g_{v}" for v in values]]
-    groups = prefix_sums(groups, [(order, ascending), ("_salt", True)], sums, by=by,
-                         bucket=bucket, bins=bins, prefix="_c")
+    groups = prefix_sums(groups, [(order, ascending), ("_salt", True)], sums, by=by, prefix="_c")
     offs = groups.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                          *[(F.col(f"_c{s}") - F.col(s)).alias(f"_o{s}") for s in sums])
     cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
@@ -145,14 +151,75 @@ def with_totals(df: DataFrame, source: DataFrame, aggs: dict[str, Column],
                 by: Sequence[str] = ()) -> DataFrame:
     """Attach group totals of ``source`` to ``df``.
 
-    Without groups each total is a scalar subquery (run once, folded in as a
-    value; no join). With groups the totals table has one row per group and
-    is joined on the group keys.
+    Without groups all totals are one scalar subquery (a struct, computed once;
+    no join). With groups see ``join_groups``.
     """
     if not by:
-        return df.withColumns({n: source.select(a).scalar() for n, a in aggs.items()})
-    tot = source.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()])
-    return df.join(tot, list(by))
+        one = source.select(F.struct(*[a.alias(n) for n, a in aggs.items()]).alias("_t")).scalar()
+        return df.withColumn("_t", one).select(*df.columns, *[F.col(f"_t.{n}").alias(n) for n in aggs])
+    return join_groups(df, source.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()]), by)
+
+
+def same_keys_join(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys, NULL being equal to NULL; columns of ``df`` and
+    the rest of ``other``."""
+    other = other.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(other, cond).drop(*[f"_k_{k}" for k in keys])
+
+
+MAX_GROUPS = 100_000
+
+
+def join_groups(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``df`` with its row of ``groups`` (one row for each key; NULL is a key).
+
+    The group table is materialised and counted (a job): up to ``MAX_GROUPS``
+    rows it is broadcast, so that no row of ``df`` moves and a hot key is no
+    hot task; a larger one is joined by shuffle.
+    """
+    groups = materialize(groups)
+    small = groups.count() <= MAX_GROUPS
+    return same_keys_join(df, F.broadcast(groups) if small else groups, by)
+
+
+def top_sums(df: DataFrame, *, order: str, id_col: str, values: Sequence[str],
+             fractions: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Sums of ``values`` over the first k = floor(n * p) rows in the order
+    (order descending, md5(id), id), for every p of ``fractions``.
+
+    Columns: by, i (index of p), p, k, top_<v>, all_<v>; 0 where k is 0. The
+    histogram of ``order`` gives the value at which each top ends; only the
+    rows tied on such a value are ranked. Rows without a valid value are left out.
+    """
+    src = df.where(valid(df, order)).select(*by, id_col, order, *values)
+    h = materialize(src.groupBy(*by, order).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(f"_g_{v}") for v in values]))
+    sums = ["_n", *[f"_g_{v}" for v in values]]
+    c = with_totals(prefix_sums(h, [(order, False)], sums, by=by), h,
+                    {"_T": F.sum("_n"), **{f"all_{v}": F.sum(f"_g_{v}") for v in values}}, by)
+    wanted = F.transform(F.array(*[F.lit(float(p)) for p in fractions]), lambda p, i: F.struct(
+        i.alias("i"), p.alias("p"), F.floor(F.col("_T") * p).alias("k")))
+    before = F.col("cum__n") - F.col("_n")
+    # the row where a top ends; a top without rows ends at the first row
+    ends = F.filter(wanted, lambda w: ((before < w["k"]) & (w["k"] <= F.col("cum__n")))
+                    | ((w["k"] == 0) & (before == 0)))
+    cuts = materialize(c.select(*by, order, F.explode(ends).alias("w"), (F.col("w.k") - before).alias("_need"),
+                                *[f"all_{v}" for v in values],
+                                *[F.when(F.col("w.k") > 0, F.col(f"cum__g_{v}") - F.col(f"_g_{v}")).otherwise(
+                                    F.lit(0)).alias(f"_b_{v}") for v in values])
+                       .select("*", "w.i", "w.p", "w.k").drop("w"))
+    tied = join_groups(src, cuts, [*by, order]).withColumns({
+        "_one": F.lit(1), "_tie": F.md5(F.col(id_col).cast("string"))})
+    ranked = prefix_sums(tied, [("_tie", True), (id_col, True)], ["_one"], by=[*by, "i"],
+                         bucket=hex_bucket("_tie"))
+    inside = F.col("cum__one") <= F.col("_need")
+    return ranked.groupBy(*by, "i").agg(
+        F.first("p").alias("p"), F.first("k").alias("k"),
+        *[(F.first(f"_b_{v}") + F.coalesce(F.sum(F.when(inside, F.col(v))), F.lit(0))).alias(f"top_{v}")
+          for v in values], *[F.first(f"all_{v}").alias(f"all_{v}") for v in values])
 
 
 # ----------------------------------------------------------------- hash order
@@ -176,10 +243,9 @@ def hex_bucket(col: str, digits: int = 4) -> Column:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage of a small derived table (a histogram, a bucket table)
     that later passes read several times: a reliable checkpoint into the
-    session's checkpoint folder. Without a configured folder the plan is
-    returned unchanged (recomputed per pass)."""
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        return df
+    session's shared folder, written at once by a job. Operators that call
+    this therefore run jobs while they are built."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -195,8 +261,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
     """
     cnt = F.count(F.lit(1)) if weight is None else F.sum(weight)
     h = materialize(df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(cnt.alias("_n")))
-    h = prefix_sums(h, [(col, True)], ["_n"], by=by, bucket="quantile")
-    h = with_totals(h, h, {"_tot": F.max("cum__n")}, by)
+    h = with_totals(prefix_sums(h, [(col, True)], ["_n"], by=by), h, {"_tot": F.sum("_n")}, by)
     plist = F.array(*[F.lit(float(p)) for p in probs])
     # positions needed: floor and ceil of (N - 1) * p, tagged with the index
     need = F.transform(plist, lambda p, i: F.struct(

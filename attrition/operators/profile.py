@@ -12,11 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .primitives import exact_quantiles, with_totals
-
-
-def _r(c: Column, d: int = 6) -> Column:
-    return F.round(c, d)
+from .primitives import exact_quantiles, join_groups, with_totals
 
 
 def _stack(cols: Sequence[str], value_type: str = "double") -> str:
@@ -54,11 +50,11 @@ def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     column — one unpivot, grouped by column name."""
     long = df.selectExpr(_stack(cols)).where(F.col("value").isNotNull())
     base = long.groupBy("variable").agg(
-        F.count(F.lit(1)).alias("count"), _r(F.avg("value")).alias("mean"),
-        _r(F.stddev_samp("value")).alias("std"), F.min("value").alias("min"),
+        F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"))
     q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by=["variable"])
-    qw = q.groupBy("variable").agg(*[_r(F.max(F.when(F.col("pi") == i, F.col("q")))).alias(n)
+    qw = q.groupBy("variable").agg(*[F.max(F.when(F.col("pi") == i, F.col("q"))).alias(n)
                                    for i, n in enumerate(["q25", "q50", "q75"])])
     return base.join(qw, "variable").select("variable", "count", "mean", "std", "min", "q25", "q50",
                                           "q75", "max")
@@ -70,8 +66,8 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def mean_by_group(df: DataFrame, value: str, group: str) -> DataFrame:
-    return df.groupBy(group).agg(_r(F.avg(value)).alias("mean"),
-                                 _r(F.stddev_samp(value)).alias("std"),
+    return df.groupBy(group).agg(F.avg(value).alias("mean"),
+                                 F.stddev_samp(value).alias("std"),
                                  F.count(F.col(value)).alias("n"))
 
 
@@ -86,7 +82,7 @@ def boxplot_stats(df: DataFrame, value: str, group: Sequence[str] = (), whis: fl
     lim_lo = F.col("q1") - float(whis) * (F.col("q3") - F.col("q1"))
     lim_hi = F.col("q3") + float(whis) * (F.col("q3") - F.col("q1"))
     qw = qw.withColumns({"_lo": lim_lo, "_hi": lim_hi})
-    j = v.join(qw, by) if by else with_totals(v, qw, {c: F.first(c) for c in
+    j = join_groups(v, qw, by) if by else with_totals(v, qw, {c: F.first(c) for c in
                                                        ["q1", "median", "q3", "_lo", "_hi"]})
     x = F.col(value)
     out = j.groupBy(*by).agg(
@@ -95,8 +91,8 @@ def boxplot_stats(df: DataFrame, value: str, group: Sequence[str] = (), whis: fl
         F.min(F.when(x >= F.col("_lo"), x)).alias("whisker_lo"),
         F.max(F.when(x <= F.col("_hi"), x)).alias("whisker_hi"),
         F.count_if((x < F.col("_lo")) | (x > F.col("_hi"))).alias("outliers"))
-    return out.select(*by, "n", _r(F.col("q1")).alias("q1"), _r(F.col("median")).alias("median"),
-                      _r(F.col("q3")).alias("q3"), _r(F.col("q3") - F.col("q1")).alias("iqr"),
+    return out.select(*by, "n", F.col("q1").alias("q1"), F.col("median").alias("median"),
+                      F.col("q3").alias("q3"), (F.col("q3") - F.col("q1")).alias("iqr"),
                       "whisker_lo", "whisker_hi", "outliers")
 
 
@@ -123,10 +119,10 @@ def iqr_outliers(df: DataFrame, *, value: str, where: Column, mean_col: str, mod
     # most common value; ties go to the smaller value
     mode = counts.agg(F.min_by(mode_col, F.struct((-F.col("_k")).alias("k"), F.col(mode_col).alias("v")))
                       .alias("mode_value"))
-    stats = o.agg(F.count(F.lit(1)).alias("outliers"), _r(F.avg(mean_col)).alias("mean_value"))
+    stats = o.agg(F.count(F.lit(1)).alias("outliers"), F.avg(mean_col).alias("mean_value"))
     stats = with_totals(stats, lim, {"limit": F.first("limit")})
     stats = with_totals(stats, mode, {"mode_value": F.first("mode_value")})
-    return stats.select(_r(F.col("limit")).alias("limit"), "outliers", "mean_value", "mode_value")
+    return stats.select(F.col("limit").alias("limit"), "outliers", "mean_value", "mode_value")
 
 
 def kde(df: DataFrame, value: str, group: str, grid: int = 200, cut: float = 3.0) -> DataFrame:
@@ -146,7 +142,7 @@ def kde(df: DataFrame, value: str, group: str, grid: int = 200, cut: float = 3.0
     st = st.withColumns({"_lo": F.col("_mn") - float(cut) * F.col("_bw"),
                          "_hi": F.col("_mx") + float(cut) * F.col("_bw")})
     st = st.withColumn("_step", (F.col("_hi") - F.col("_lo")) / float(grid - 1))
-    j = h.join(st, group)  # one stats row per group
+    j = join_groups(h, st, [group])  # one stats row per group
     x = F.when(F.col("i") == grid - 1, F.col("_hi")).otherwise(F.col("_lo") + F.col("i") * F.col("_step"))
     e = j.select(group, "_c", value, "_n", "_bw", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"),
                  "_lo", "_hi", "_step")
@@ -157,8 +153,8 @@ def kde(df: DataFrame, value: str, group: str, grid: int = 200, cut: float = 3.0
         F.sum(F.col("_c") * F.exp(-0.5 * z * z)).alias("_s"), F.first("_n").alias("_n"),
         F.first("_bw").alias("_bw"))
     norm = F.col("_n") * F.col("_bw") * math.sqrt(2 * math.pi)
-    return dens.select(group, F.col("i").cast("int").alias("i"), _r(F.col("x")).alias("x"),
-                       F.round(F.col("_s") / norm, 15).alias("density"))
+    return dens.select(group, F.col("i").cast("int").alias("i"), F.col("x").alias("x"),
+                       (F.col("_s") / norm).alias("density"))
 
 
 def cross_counts(df: DataFrame, a: str, b: str, order: Sequence[str] | None = None) -> DataFrame:
@@ -176,7 +172,7 @@ def churn_share(df: DataFrame, segment: str, target: str = "target") -> DataFram
     g = df.where(F.col(target) == 1).groupBy(segment).agg(F.count(F.lit(1)).alias("churners"))
     g = with_totals(g, g, {"_t": F.sum("churners")})
     return g.select(segment, "churners",
-                    _r(F.try_divide(F.col("churners").cast("double"), F.col("_t").cast("double"))).alias("share"))
+                    F.try_divide(F.col("churners").cast("double"), F.col("_t").cast("double")).alias("share"))
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -188,7 +184,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     wide = df.agg(*aggs)
     parts = ", ".join(f"'{a}', '{b}', _p{k}" for k, (a, b) in enumerate(pairs))
     long = wide.selectExpr(f"stack({len(pairs)}, {parts}) AS (col_a, col_b, corr)")
-    return long.select("col_a", "col_b", _r(F.col("corr")).alias("corr"))
+    return long.select("col_a", "col_b", F.col("corr").alias("corr"))
 
 
 def mean_bootstrap_ci(df: DataFrame, value: str, group: str, replicates: int = 200, seed: int = 42,
@@ -229,5 +225,5 @@ def mean_bootstrap_ci(df: DataFrame, value: str, group: str, replicates: int = 2
     ci = reps.groupBy("g").agg(F.percentile("m", F.array(F.lit(lo), F.lit(hi))).alias("_q"))
     means = df.groupBy(group).agg(F.avg(value).alias("mean"))
     return means.join(ci.withColumnRenamed("g", group), group).select(
-        group, _r(F.col("mean")).alias("mean"), _r(F.col("_q")[0]).alias("ci_lo"),
-        _r(F.col("_q")[1]).alias("ci_hi"))
+        group, F.col("mean").alias("mean"), F.col("_q")[0].alias("ci_lo"),
+        F.col("_q")[1].alias("ci_hi"))

@@ -63,8 +63,7 @@ def risk_level_counts(df: DataFrame, score: str = "score") -> DataFrame:
     j = j.select("risk_level", "sort_key", F.coalesce("n", F.lit(0)).cast("long").alias("count"))
     j = with_totals(j, j, {"_tot": F.sum("count")})
     return j.select("risk_level", "sort_key", "count",
-                    F.round(F.try_divide(F.col("count") * 100.0, F.col("_tot").cast("double")), 6)
-                    .alias("percent"))
+                    F.try_divide(F.col("count") * 100.0, F.col("_tot").cast("double")).alias("percent"))
 
 
 # Priority tiers by share of the base (top 10%, top 20%).

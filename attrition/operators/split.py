@@ -11,14 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .primitives import hash_order, hex_bucket, running_rows, with_totals
+from .primitives import hash_order, hex_bucket, join_groups, prefix_sums, with_totals
 
 
 def _ranked(df: DataFrame, id_col: str, target: str, seed: int) -> DataFrame:
-    src = df.withColumn("_h", hash_order(id_col, seed))
-    r = running_rows(src, order="_h", id_col=id_col, ascending=True, by=[target],
-                     bucket=hex_bucket("_h", 4))
-    return with_totals(r, src, {"_n": F.count(F.lit(1))}, by=[target])
+    """Adds pos, the position in the class's hash order, and _n, the class's size.
+    A NULL class is a class like any other. Bucket counts, one shuffle of the rows by
+    (class, hash bucket); class sizes are broadcast."""
+    src = df.withColumns({"_h": hash_order(id_col, seed), "_one": F.lit(1)})
+    r = prefix_sums(src, [("_h", True), (id_col, True)], ["_one"], by=[target], bucket=hex_bucket("_h", 4))
+    sizes = df.groupBy(target).agg(F.count(F.lit(1)).alias("_n"))
+    return join_groups(r.withColumnRenamed("cum__one", "pos").drop("_one"), sizes, [target])
 
 
 def stratified_split(df: DataFrame, *, id_col: str, target: str, test: float = 0.20,
@@ -58,5 +61,5 @@ def class_weight(df: DataFrame, *, target: str, out: str = "weight") -> DataFram
 
 def class_weight_summary(df: DataFrame, *, target: str) -> DataFrame:
     k = df.agg(F.count_if(F.col(target) == 0).alias("neg"), F.count_if(F.col(target) == 1).alias("pos"))
-    return k.withColumn("scale_pos_weight", F.round(F.coalesce(
-        F.try_divide(F.col("neg").cast("double"), F.col("pos").cast("double")), F.lit(1.0)), 6))
+    return k.withColumn("scale_pos_weight", F.coalesce(
+        F.try_divide(F.col("neg").cast("double"), F.col("pos").cast("double")), F.lit(1.0)))

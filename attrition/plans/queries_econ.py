@@ -137,7 +137,7 @@ def q_strategy_efficiency(spark, sf):
 SELECT contract, count(*) AS base, round(avg(target), 6) AS churn_rate, round(avg(monthlycharges), 6) AS ticket,
        round(count(*) * avg(target) * avg(monthlycharges) * 12e0, 4) AS annual_at_risk,
        round(count(*) * avg(target) * avg(monthlycharges) * 12e0 * 0.3e0, 4) AS saved
-FROM scored GROUP BY contract"""))
+FROM scored GROUP BY contract"""), places={"annual_at_risk": 4, "saved": 4})
 def q_impact_projection(spark, sf):
     return eco.impact_projection(scored_df(spark, sf), segment="contract")
 
@@ -149,13 +149,19 @@ def q_segment_alert(spark, sf):
     return eco.segment_alert(scored_df(spark, sf), segment="contract", limit=0.25)
 
 
-@query("revenue_risk_change", """
-SELECT month, round(amount, 2) AS amount, round((amount - prev) / NULLIF(prev, 0), 6) AS change
-FROM (SELECT month, amount, lag(amount) OVER (ORDER BY month) AS prev
-      FROM (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice) AS amount
-            FROM orders WHERE o_orderstatus = 'P' GROUP BY 1))""")
+@query("revenue_risk_change", with_views("""
+SELECT m.month, round(m.amount, 2) AS amount,
+       round((m.amount - p.amount) / NULLIF(p.amount, 0), 6) AS change
+FROM mo m LEFT JOIN mo p ON p.month = CAST(m.month - INTERVAL 1 MONTH AS DATE)""", ("mo", """
+SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice) AS amount
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN scored ON customerid = c_name
+WHERE o_orderstatus = 'P' AND score >= 0.46e0 GROUP BY 1""")), places={"amount": 2})
 def q_revenue_risk_change(spark, sf):
-    o = table(spark, sf, "orders").where(F.col("o_orderstatus") == "P")
+    """Monthly order revenue of the customers at risk."""
+    at_risk = scored_df(spark, sf).where(F.col("score") >= 0.46).select(F.col("customerid").alias("c_name"))
+    keys = table(spark, sf, "customer").select("c_name", F.col("c_custkey").alias("o_custkey")).join(
+        at_risk, "c_name")
+    o = table(spark, sf, "orders").where(F.col("o_orderstatus") == "P").join(keys, "o_custkey", "left_semi")
     return eco.revenue_risk_change(o, time_col="o_orderdate", amount="o_totalprice")
 
 

@@ -1,8 +1,9 @@
 """Registered queries: evaluation of a score table.
 
-Two score tables: the formula-scored subscribers (``ev``) and every line
+Three score tables: the formula-scored subscribers (``ev``) and every line
 item with a heavily tied score (``lines``), which exercises the hot-tie
-paths of the running-sum primitive.
+paths of the running-sum primitive, and every line item with an unrounded margin
+(``hc``), which exercises its buckets.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from ..operators import evaluate as ev
 from .base import line_scores, scored_df
 from .catalog import query
 from .sql import with_lines, with_views
+from .subscribers import table
 
 THRESHOLD = 0.46
 
@@ -159,7 +161,10 @@ LIFT_STRICT_SQL = LIFT_SQL.replace("CAST(mb - bin AS INTEGER)", "CAST(9 - bin AS
 
 DECILE_SQL = """
 SELECT CAST(rk AS VARCHAR) || 'º Decil' AS decil, CAST(rk AS INTEGER) AS rank,
-       round(lo, 6) AS prob_lo, round(hi, 6) AS prob_hi, customers, churners,
+       round(lo, 6) AS prob_lo, round(hi, 6) AS prob_hi,
+       (CAST(round(lo * 1000) AS BIGINT) // 10) || '.' || (CAST(round(lo * 1000) AS BIGINT) % 10) || '% a '
+       || (CAST(round(hi * 1000) AS BIGINT) // 10) || '.' || (CAST(round(hi * 1000) AS BIGINT) % 10) || '%' AS prob_range,
+       customers, churners,
        round(avg_score, 6) AS avg_score, round(churners / customers, 6) AS churn_rate,
        cum_churners,
        round(cum_churners / (CASE WHEN tc > 0 THEN tc ELSE 1 END), 6) AS cum_gain,
@@ -238,7 +243,10 @@ def q_ks_signed(spark, sf):
     return ev.ks_signed(ev_input(spark, sf))
 
 
-@query("ks_curve", sv("SELECT threshold, fpr, tpr, round(tpr - fpr, 6) AS gap FROM (" + ROC_SQL + ")"))
+@query("ks_curve", sv("""
+SELECT threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr, round(tpr - fpr, 6) AS gap
+FROM (SELECT threshold, fp / NULLIF(tot_neg, 0) AS fpr, tp / NULLIF(tot_pos, 0) AS tpr FROM c
+      UNION ALL SELECT CAST('inf' AS DOUBLE), 0e0, 0e0)"""))
 def q_ks_curve(spark, sf):
     return ev.ks_curve(ev_input(spark, sf))
 
@@ -343,3 +351,47 @@ def q_lines_gain_at_top(spark, sf):
 @query("lines_average_precision", sl(AP_SQL))
 def q_lines_average_precision(spark, sf):
     return ev.average_precision(line_scores(spark, sf))
+
+
+# ---------------------------------------------------------------- line items, nearly all scores different
+
+# A margin rather than a probability: unrounded, below 0 and above 1, many rows in a bucket.
+HC_SQL = ("SELECT id, label, l_extendedprice * (1e0 - l_discount) * (1e0 + l_tax) / 40000e0 - 0.25e0 AS score, value"
+          " FROM (SELECT *, CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-'"
+          " || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS id,"
+          " CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS INTEGER) AS label, l_quantity AS value"
+          " FROM lineitem)")
+
+
+def sh(body: str, *extra) -> str:
+    return with_lines(body, ("ev", HC_SQL), *curve_ctes("ev"), *extra)
+
+
+def hc_scores(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return li.select(
+        F.concat_ws("-", *[F.col(c).cast("string") for c in
+                           ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("id"),
+        F.when(F.col("l_returnflag") == "R", 1).otherwise(0).cast("int").alias("label"),
+        (F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")) * (F.lit(1.0) + F.col("l_tax"))
+         / F.lit(40000.0) - F.lit(0.25)).alias("score"), F.col("l_quantity").alias("value"))
+
+
+@query("hc_roc_auc", sh(AUC_SQL))
+def q_hc_roc_auc(spark, sf):
+    return ev.roc_auc(hc_scores(spark, sf))
+
+
+@query("hc_ks_signed", sh(KS_SQL, KS_G))
+def q_hc_ks_signed(spark, sf):
+    return ev.ks_signed(hc_scores(spark, sf))
+
+
+@query("hc_lift_deciles", sh(LIFT_SQL, *lift_ctes(False)))
+def q_hc_lift_deciles(spark, sf):
+    return ev.lift_deciles(hc_scores(spark, sf))
+
+
+@query("hc_gains_curve", sh(GAINS_SQL))
+def q_hc_gains_curve(spark, sf):
+    return ev.gains_curve(hc_scores(spark, sf), id_col="id")

@@ -3,11 +3,11 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import evaluate as ev
 from ..operators import model as ml
@@ -24,8 +24,6 @@ from .catalog import query
 from .sql import with_views
 
 NUM_FEATURES = [c for c in NUMERIC_COLUMNS if c != "target"]
-# Boosting rounds used by the registered queries (small test tables).
-QUERY_PARAMS = {"maxIter": 20}
 _FITTED: dict = {}
 
 SPLIT_SQL = """
@@ -50,7 +48,7 @@ def fitted(spark, sf):
     if key not in _FITTED:
         parts = split_df(spark, sf)
         train = sp.class_weight(parts.where(F.col("split") == "train"), target="target")
-        model = ml.fit_boosted(train, CATEGORICAL_COLUMNS, NUM_FEATURES, QUERY_PARAMS)
+        model = ml.fit_boosted(train, CATEGORICAL_COLUMNS, NUM_FEATURES, id_col="customerid")
         scored = score_with_model(parts, model, 0.5)
         val = scored.where(F.col("split") == "val").select(
             F.col("target").alias("label"), F.col("prob_churn").alias("score"))
@@ -100,7 +98,7 @@ def q_class_weight(spark, sf):
 
 
 METRICS_SQL = """
-SELECT (SELECT t FROM thr) AS threshold,
+SELECT 42 AS seed, 0.8e0 AS min_recall, (SELECT t FROM thr) AS threshold,
        (SELECT auc FROM per WHERE split = 'train') AS auc_train,
        (SELECT auc FROM per WHERE split = 'val') AS auc_val,
        (SELECT auc FROM per WHERE split = 'test') AS auc_test,
@@ -136,36 +134,39 @@ METRICS_CTES = [
 
 
 def metrics_bundle(df, *, label: str = "label", score: str = "score", split: str = "split",
-                   min_recall: float = 0.8):
-    """One record: validation threshold, AUC / AP per split, test KS,
-    precision, recall and confusion counts — joins of one-row frames."""
-    # narrow (split, label, score) frame read by every metric below: materialise once
-    d = materialize(df.select(F.col(split).alias("split"), F.col(label).alias("label"),
-                              F.col(score).alias("score")))
-    auc = ev.roc_auc(d, by=["split"])
-    ap = ev.average_precision(d, by=["split"])
-    ks = ev.ks_signed(d.where(F.col("split") == "test"))
-    thr = ev.threshold_min_recall(d.where(F.col("split") == "val"), min_recall=min_recall)
-    t = thr.select(F.col("threshold").alias("t"))
-    per = auc.join(ap, "split")
-    wide = per.agg(*[F.max(F.when(F.col("split") == s, F.col(m))).alias(f"{n}_{s}")
-                     for m, n in (("auc", "auc"), ("average_precision", "ap"))
-                     for s in ("train", "val", "test")])
-    test = d.where(F.col("split") == "test")
-    test = test.withColumn("pred", (F.col("score") >= t.scalar()).cast("int"))
-    cm = test.agg(F.count_if((F.col("label") == 0) & (F.col("pred") == 0)).alias("tn"),
-                  F.count_if((F.col("label") == 0) & (F.col("pred") == 1)).alias("fp"),
-                  F.count_if((F.col("label") == 1) & (F.col("pred") == 0)).alias("fn"),
-                  F.count_if((F.col("label") == 1) & (F.col("pred") == 1)).alias("tp"))
-    prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fp")).cast("double")),
-                      F.lit(0.0))
-    rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), (F.col("tp") + F.col("fn")).cast("double")),
-                     F.lit(0.0))
-    out = cm.withColumns({"threshold": t.scalar(), "ks_test": ks.select("ks").scalar(),
-                          **{c: wide.select(c).scalar() for c in wide.columns}})
-    return out.select("threshold", "auc_train", "auc_val", "auc_test", "ap_train", "ap_val", "ap_test",
-                      "ks_test", F.round(prec, 6).alias("precision_test"),
-                      F.round(rec, 6).alias("recall_test"), "tn", "fp", "fn", "tp")
+                   min_recall: float = 0.8, seed: int = 42):
+    """One record: seed, recall floor, validation threshold, AUC / AP per split,
+    test KS, precision, recall and confusion counts.
+
+    One curve over all splits is written once; everything is an aggregate of it, as
+    a score's prediction follows from the score alone."""
+    d = df.select(F.col(split).alias("split"), F.col(label).alias("label"), F.col(score).alias("score"))
+    c = materialize(ev.score_curve(d, by=["split"]))
+
+    def div(a, b):
+        return F.try_divide(a.cast("double"), b.cast("double"))
+    recall, fall = div(F.col("tp"), F.col("tot_pos")), div(F.col("fp"), F.col("tot_neg"))
+    per = materialize(c.groupBy("split").agg(
+        div(F.sum(F.col("pos") * (F.col("tot_neg") - F.col("fp") + F.col("neg") / 2.0)),
+            F.first("tot_pos").cast("double") * F.first("tot_neg").cast("double")).alias("auc"),
+        div(F.sum(F.col("pos") * div(F.col("tp"), F.col("tp") + F.col("fp"))), F.first("tot_pos")).alias("ap"),
+        F.greatest(F.max(recall - fall), F.lit(0.0)).alias("ks"),
+        F.coalesce(F.max(F.when(recall >= min_recall, F.col("threshold"))), F.lit(0.0)).alias("thr")))
+    wide = per.agg(F.max(F.when(F.col("split") == "val", F.col("thr"))).alias("threshold"),
+                   *[F.max(F.when(F.col("split") == s, F.col(m))).alias(f"{m}_{s}")
+                     for m, s in [("auc", "train"), ("auc", "val"), ("auc", "test"), ("ap", "train"), ("ap", "val"),
+                                  ("ap", "test"), ("ks", "test")]])
+    t = wide.select("threshold").scalar()
+    hit = F.col("threshold") >= t
+    cells = c.where(F.col("split") == "test").agg(*[
+        F.coalesce(F.sum(F.when(hit if p else ~hit, F.col(y))), F.lit(0)).alias(n)
+        for n, p, y in (("tn", 0, "neg"), ("fp", 1, "neg"), ("fn", 0, "pos"), ("tp", 1, "pos"))])
+    one = wide.select(F.struct(*wide.columns).alias("w")).scalar()
+    return cells.withColumn("w", one).select(
+        F.lit(seed).alias("seed"), F.lit(min_recall).alias("min_recall"), *[f"w.{x}" for x in wide.columns],
+        F.coalesce(div(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0)).alias("precision_test"),
+        F.coalesce(div(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0)).alias("recall_test"),
+        "tn", "fp", "fn", "tp")
 
 
 @query("metrics_bundle", with_views(METRICS_SQL, *METRICS_CTES))
@@ -178,7 +179,21 @@ def q_metrics_bundle(spark, sf):
 
 # ---------------------------------------------------------------- model-backed (rows checks)
 
-@query("assemble_features")
+def _code_sql(c: str) -> str:
+    """Place of a category among those of the training part, in their order; unseen
+    ones come behind all."""
+    return (f"(CASE WHEN EXISTS (SELECT 1 FROM tr t WHERE t.{c} = m.{c})"
+            f" THEN (SELECT count(DISTINCT t.{c}) FROM tr t WHERE t.{c} < m.{c})"
+            f" ELSE (SELECT count(DISTINCT t.{c}) FROM tr t) END)")
+
+
+_TRAIN_CTE = ("tr", "SELECT m.* FROM model m JOIN (" + SPLIT_SQL + ") s USING (customerid) WHERE s.split = 'train'")
+_VALUES = [*[f"CAST(m.{c} AS DOUBLE)" for c in NUM_FEATURES], *[f"CAST({_code_sql(c)} AS DOUBLE)"
+                                                               for c in CATEGORICAL_COLUMNS]]
+
+
+@query("assemble_features", with_views(
+    f"SELECT customerid, target, [{', '.join(_VALUES)}] AS features FROM model m", _TRAIN_CTE))
 def q_assemble_features(spark, sf):
     model, _ = fitted(spark, sf)
     pre = model.stages[:-1]
@@ -193,7 +208,7 @@ def q_assemble_features(spark, sf):
 def q_fit_baseline(spark, sf):
     """Default booster, unweighted, then weighted: test AUC of each."""
     parts = split_df(spark, sf)
-    train = sp.class_weight(parts.where(F.col("split") == "train"), target="target")
+    train = ml.fixed_layout(sp.class_weight(parts.where(F.col("split") == "train"), target="target"), "customerid")
     test = parts.where(F.col("split") == "test")
     out = None
     for name, w in (("unweighted", None), ("weighted", "weight")):
@@ -216,17 +231,6 @@ def q_fit_boosted(spark, sf):
     return ev.roc_auc(s, by=["split"])
 
 
-@query("random_search")
-def q_random_search(spark, sf):
-    parts = split_df(spark, sf).where(F.col("split") == "train")
-    folds = sp.stratified_folds(parts.drop("split"), id_col="customerid", target="target", k=3)
-    train = sp.class_weight(folds, target="target")
-    _, res = ml.random_search(train, CATEGORICAL_COLUMNS, NUM_FEATURES, n_iter=2, fold_col="fold",
-                              parallelism=2, ranges={"maxIter": (5, 10), "maxDepth": (2, 4)})
-    return res.select("candidate", F.to_json("params").alias("params"), F.round("mean_f1", 6).alias("mean_f1"),
-                      "rank")
-
-
 @query("feature_importance")
 def q_feature_importance(spark, sf):
     model, _ = fitted(spark, sf)
@@ -276,7 +280,7 @@ def q_score_stream(spark, sf):
     out = scratch_path(spark, f"stream-{run}/out")
     ckpt = scratch_path(spark, f"stream-{run}/ckpt")
     batch = model_df(spark, sf).drop("target")
-    io.write_table(batch.repartition(4), src, "parquet")
+    io.write_table(batch, src, "parquet")
     q = score_stream(spark, src, batch.schema, model, params, out, ckpt)
     q.awaitTermination()
     return spark.read.parquet(out).select("customerid", "prob_churn", "pred_churn", "risk_band")
@@ -292,10 +296,6 @@ def q_model_store(spark, sf):
     return score_with_model(test, loaded, params["threshold"]).select("customerid", "prob_churn", "pred_churn")
 
 
-def scratch_exists(path: str) -> bool:
-    return os.path.exists(path)
-
-
 # ---------------------------------------------------------------- explanation (§2.9)
 
 from ..operators import explain as xp  # noqa: E402
@@ -341,11 +341,14 @@ def q_contributions_local(spark, sf):
 @query("contributions_global")
 def q_contributions_global(spark, sf):
     model, _ = fitted(spark, sf)
-    return xp.contributions_global(model_df(spark, sf), model, id_col="customerid", sample=1500, top=15) \
+    return xp.contributions_global(model_df(spark, sf), model, id_col="customerid", top=15) \
         .select("feature", F.round("mean_abs", 9).alias("mean_abs"), "rank")
 
 
-@query("feature_space")
+@query("feature_space", with_views(
+    "SELECT customerid, f.feature AS feature, f.value AS value FROM (SELECT customerid, unnest(["
+    + ", ".join(f"{{'feature': '{c}', 'value': {v}}}" for c, v in
+                zip([*NUM_FEATURES, *CATEGORICAL_COLUMNS], _VALUES)) + "]) AS f FROM model m)", _TRAIN_CTE))
 def q_feature_space(spark, sf):
     model, _ = fitted(spark, sf)
     names = ml.feature_names(model)
@@ -353,3 +356,135 @@ def q_feature_space(spark, sf):
     return x.select("customerid", F.posexplode("_x").alias("i", "value")).withColumn(
         "feature", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1)).select(
         "customerid", "feature", "value")
+
+
+# ---------------------------------------------------------------- checks of what a model makes
+
+_TEST_ROWS = "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS mismatches FROM (" + SPLIT_SQL + ") WHERE split = 'test'"
+_MODEL_ROWS = "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS mismatches FROM model"
+
+
+def _mismatches(got, want, key, bad):
+    """Rows of ``got`` and how many of them, or of ``want``, have no equal row."""
+    w = want.withColumnsRenamed({c: f"w_{c}" for c in want.columns})
+    j = got.join(w, F.col(key) == F.col(f"w_{key}"), "full_outer")
+    wrong = F.col(key).isNull() | F.col(f"w_{key}").isNull() | bad
+    return j.agg(F.count(F.col(key)).alias("rows"), F.count_if(F.coalesce(wrong, F.lit(True))).alias("mismatches"))
+
+
+@query("model_store_check", with_views(_TEST_ROWS))
+def q_model_store_check(spark, sf):
+    """Scores of the saved and reloaded model against those of the fitted one."""
+    want = q_test_predictions(spark, sf).select("customerid", "prob_churn", "pred_churn")
+    return _mismatches(q_model_store(spark, sf), want, "customerid",
+                       (F.col("prob_churn") != F.col("w_prob_churn")) | (F.col("pred_churn") != F.col("w_pred_churn")))
+
+
+@query("score_stream_check", with_views(_MODEL_ROWS))
+def q_score_stream_check(spark, sf):
+    """Scores of the stream against those of the batch."""
+    want = q_score_customers(spark, sf).select("customerid", "prob_churn", "risk_band")
+    return _mismatches(q_score_stream(spark, sf), want, "customerid",
+                       (F.col("prob_churn") != F.col("w_prob_churn")) | (F.col("risk_band") != F.col("w_risk_band")))
+
+
+@query("score_form_check", with_views(_MODEL_ROWS))
+def q_score_form_check(spark, sf):
+    """Rows that went through the form's labels score like the table's own."""
+    want = q_score_customers(spark, sf).select("customerid", "prob_churn")
+    return _mismatches(q_score_form_rows(spark, sf), want, "customerid", F.col("prob_churn") != F.col("w_prob_churn"))
+
+
+@query("score_check", with_views(_MODEL_ROWS))
+def q_score_check(spark, sf):
+    """Probabilities lie in [0, 1] and predictions follow from the threshold."""
+    s = q_score_customers(spark, sf)
+    ok = F.col("prob_churn").between(0, 1) & (
+        F.col("pred_churn") == (F.col("prob_churn") >= F.col("threshold_used")).cast("int"))
+    return s.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("mismatches"))
+
+
+@query("contributions_check", with_views(_MODEL_ROWS))
+def q_contributions_check(spark, sf):
+    """Bias and contributions of every customer add up to the model's log-odds."""
+    model, _ = fitted(spark, sf)
+    sums = xp.contributions(model_df(spark, sf), model, id_col="customerid").groupBy("customerid").agg(
+        F.sum("contribution").alias("total"))
+    want = xp.margin(model_df(spark, sf), model, id_col="customerid")
+    return _mismatches(sums, want, "customerid", F.abs(F.col("total") - F.col("w_margin")) > 1e-9)
+
+
+@query("model_top_factors")
+def q_model_top_factors(spark, sf):
+    """The five strongest contributions of the model to every customer's score."""
+    model, _ = fitted(spark, sf)
+    return xp.top_factors(xp.contributions(model_df(spark, sf), model, id_col="customerid"),
+                          id_col="customerid", n=5)
+
+
+@query("model_top_factors_check", with_views(
+    "SELECT count(*) * 5 AS rows, CAST(0 AS BIGINT) AS mismatches FROM model"))
+def q_model_top_factors_check(spark, sf):
+    """Ranks run from 1 to 5 in order of size and directions follow from the sign."""
+    t = q_model_top_factors(spark, sf)
+    per = t.groupBy("customerid").agg(F.sort_array(F.collect_list(F.struct(
+        "rank", F.abs("contribution").alias("size"), (F.col("contribution") > 0).alias("up"), "direction"))).alias("x"))
+    ok = F.forall("x", lambda r: F.when(r["up"], xp.RAISES).otherwise(xp.LOWERS) == r["direction"]) & F.forall(
+        F.sequence(F.lit(1), F.lit(4)), lambda i: F.get("x", i - 1)["size"] >= F.get("x", i)["size"])
+    return per.agg(F.sum(F.size("x")).alias("rows"), F.count_if((F.size("x") != 5) | ~ok).alias("mismatches"))
+
+
+# ---------------------------------------------------------------- the two entry chains
+
+def _train_run(spark, sf, path):
+    """Fit, threshold, metrics and lift on the model's scores, test predictions; all
+    written below ``path``."""
+    model, params = fitted(spark, sf)
+    scored = materialize(score_with_model(split_df(spark, sf), model, params["threshold"]))
+    d = scored.select("customerid", "split", F.col("target").alias("label"), F.col("prob_churn").alias("score"))
+    io.save_model(model, f"{path}/model")
+    io.write_params(io.params_frame(spark, params), f"{path}/params")
+    io.write_params(metrics_bundle(d), f"{path}/metrics")
+    test = scored.where(F.col("split") == "test")
+    io.write_table(test.select("customerid", F.col("target").alias("y_true"), "prob_churn", "pred_churn"),
+                   f"{path}/predictions", "csv")
+    io.write_table(ev.lift_deciles(d.where(F.col("split") == "test")), f"{path}/lift", "csv")
+
+
+@query("train_run")
+def q_train_run(spark, sf):
+    """The training chain; returns the lift table it has written."""
+    path = scratch_path(spark, f"train-{uuid.uuid4().hex[:12]}")
+    _train_run(spark, sf, path)
+    return io.read_table(spark, f"{path}/lift", T.StructType.fromDDL(
+        "decil int, total long, churn long, churn_rate double, lift double, baseline double"), "csv")
+
+
+@query("train_run_check", with_views(
+    "SELECT count(*) AS customers, CAST(sum(target) AS BIGINT) AS churners FROM (" + SPLIT_SQL + ") WHERE split = 'test'"))
+def q_train_run_check(spark, sf):
+    """The lift table of the chain holds every customer and churner of the test part."""
+    return q_train_run(spark, sf).agg(F.sum("total").alias("customers"), F.sum("churn").alias("churners"))
+
+
+@query("predict_run")
+def q_predict_run(spark, sf):
+    """The scoring chain: new customers from CSV, the saved model and parameters,
+    scored customers to CSV."""
+    path = scratch_path(spark, f"predict-{uuid.uuid4().hex[:12]}")
+    _train_run(spark, sf, path)
+    new = model_df(spark, sf).drop("target")
+    io.write_table(new, f"{path}/new", "csv")
+    params = io.params_dict(io.read_params(spark, f"{path}/params"))
+    rows = io.read_table(spark, f"{path}/new", new.schema, "csv")
+    out = score_customers(rows, io.load_model(f"{path}/model"), params)
+    done = out.select("customerid", "prob_churn", "pred_churn", "threshold_used")
+    return io.round_trip(done, f"{path}/scored", "csv")
+
+
+@query("predict_run_check", with_views(_MODEL_ROWS))
+def q_predict_run_check(spark, sf):
+    """Scores of the chain against those of the model in memory."""
+    want = q_score_customers(spark, sf).select("customerid", "prob_churn", "pred_churn")
+    return _mismatches(q_predict_run(spark, sf), want, "customerid",
+                       (F.col("prob_churn") != F.col("w_prob_churn")) | (F.col("pred_churn") != F.col("w_pred_churn")))

@@ -6,7 +6,6 @@ DataFrame. These helpers are for tests, the bench and the entry module.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -35,31 +34,29 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    shared_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named by the cluster in
+    ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session; a private folder is
-    set only when nothing is configured (local tests).
+    A session on a local master that names none gets a private one (tests, bench);
+    on a cluster that is an error, as executors don't share local disks.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="attrition-ckpt-")
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    where = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="attrition-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(where)
+    return sc.getCheckpointDir() or where
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for written tables, inside the shared checkpoint folder."""
-    root = ensure_checkpoint_dir(spark)
-    if root.startswith("file:"):
-        root = root[len("file:"):]
-    return os.path.join(root, "tables", name)
+    """A path for written tables below the shared folder. They stay until the
+    folder is cleared: results are lazy, so no reader is known to be the last."""
+    return f"{shared_dir(spark).rstrip('/')}/tables/{name}"

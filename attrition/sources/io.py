@@ -11,7 +11,6 @@ from collections.abc import Mapping
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import PARAMS, RAW
@@ -101,7 +100,3 @@ def round_trip(df: DataFrame, path: str, fmt: str) -> DataFrame:
     """Write then read back with the same schema (used by the source checks)."""
     write_table(df, path, fmt)
     return read_table(df.sparkSession, path, df.schema, fmt)
-
-
-def with_literal_params(df: DataFrame, params: Mapping) -> DataFrame:
-    return df.withColumns({k: F.lit(v) for k, v in params.items() if not isinstance(v, (list, dict))})

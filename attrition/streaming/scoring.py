@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.clean import feature_view
 from ..operators.scoring import risk_band, score_customers
 
 
@@ -35,8 +34,3 @@ def score_stream(spark: SparkSession, in_dir: str, schema: T.StructType, model,
     return (scored.writeStream.format("parquet").option("path", out_dir)
             .option("checkpointLocation", checkpoint).outputMode("append")
             .trigger(availableNow=True).start())
-
-
-def features_then(df: DataFrame) -> DataFrame:
-    """Default preparation for model-shaped input: recompute the features."""
-    return feature_view(df)
