@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, new_path, read_table
+from .common import checkpointed, new_path, read_table, sieve
 from .shingles import shingle_sets
 from .signature_tree import bitmap, candidates, trees
 
@@ -224,7 +224,8 @@ def _verified(families: DataFrame, classes: DataFrame, docs: DataFrame, words: i
     families.join(classes.select("set", "doc_id"), "set").write.parquet(path)
     members = spark.read.parquet(path)
     # rows that repeat an id have different texts: the class tells which is meant
-    texts = docs.join(members.hint("shuffle_hash"), "doc_id").select("family", "set", "text")
+    some = docs.where(sieve(members, "doc_id")(F.col("doc_id")))
+    texts = some.join(members.hint("shuffle_hash"), "doc_id").select("family", "set", "text")
     return texts.repartition("family").sortWithinPartitions("family", "set").mapInArrow(
         run, "a long, b long")
 
@@ -243,7 +244,7 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         near = both.join(least, "a")
         if large:
-            return near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            return near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
@@ -331,7 +332,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", **kinds) -> DataFrame:
     path = new_path(docs.sparkSession, "near-copies")
     gone.write.parquet(path)
     gone = docs.sparkSession.read.parquet(path)
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    maybe = F.coalesce(sieve(gone, "__gone")(docs[id_col]), F.lit(True))
+    doubtful = docs.where(maybe).join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    return docs.where(~maybe).unionByName(doubtful)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
