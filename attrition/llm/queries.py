@@ -30,5 +30,6 @@ QUERIES = {
 
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op5_jaccard_join": jaccard_join.SQL,
     "op6_warc": warc.SQL,
 }

@@ -23,7 +23,6 @@ anywhere else. At scale only a small rest of the corpus needs a suffix index:
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
