@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .primitives import exact_quantiles, join_groups, with_totals
@@ -194,7 +194,7 @@ def mean_bootstrap_ci(df: DataFrame, value: str, group: str, replicates: int = 2
     Each (group, value) cell of the histogram gets a Poisson(count) weight
     per replicate (sum of per-row Poisson(1) weights), drawn from a seed
     derived from the cell, so the result does not depend on partitioning.
-    Work per cell is ``replicates`` draws inside an Arrow batch; the
+    A task adds its cells up and emits ``replicates`` rows per group; the
     replicate means are a grouped aggregate and the interval is a
     percentile over ``replicates`` rows per group.
     """
@@ -207,16 +207,16 @@ def mean_bootstrap_ci(df: DataFrame, value: str, group: str, replicates: int = 2
     B = int(replicates)
 
     def draw(batches):
+        # sums of weights and of weighted values for each group of the task and replicate
+        sums: dict = {}
         for pdf in batches:
-            if pdf.empty:
-                continue
-            rep = np.arange(B, dtype=np.int32)
-            rows = []
             for g, v, c, s in zip(pdf[group], pdf[value], pdf["_c"], pdf["_seed"]):
                 w = np.random.default_rng(int(s)).poisson(float(c), size=B)
-                rows.append(pd.DataFrame({"g": g, "b": rep, "w": w.astype(np.int64),
-                                          "wv": w * float(v)}))
-            yield pd.concat(rows, ignore_index=True)
+                own = sums.setdefault(g, np.zeros((2, B)))
+                own[0] += w
+                own[1] += w * float(v)
+        for g, (w, wv) in sums.items():
+            yield pd.DataFrame({"g": g, "b": np.arange(B, dtype=np.int32), "w": w.astype(np.int64), "wv": wv})
 
     schema = f"g {dict(df.dtypes)[group]}, b int, w long, wv double"
     reps = h.mapInPandas(draw, schema).groupBy("g", "b").agg(

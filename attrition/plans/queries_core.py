@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import functions as fx
 from ..operators import clean
+from ..operators.evaluate import threshold_min_recall
 from ..schemas import RAW, SERVICE_COLUMNS_FORM
+from ..session import scratch_path
+from ..sources import io
 from .base import model_df, scored_df
 from .catalog import query
 from .sql import with_views
@@ -15,7 +20,10 @@ from .subscribers import subscribers
 
 @query("raw_schema", with_views("SELECT * FROM subscribers"))
 def q_raw_schema(spark, sf):
-    return clean.align_to_schema(subscribers(spark, sf), RAW)
+    """The raw table, written and read with its declared schema."""
+    path = scratch_path(spark, f"raw-{uuid.uuid4().hex[:12]}")
+    io.write_table(clean.align_to_schema(subscribers(spark, sf), RAW), path)
+    return io.read_raw(spark, path)
 
 
 @query("typed_view", with_views("SELECT * FROM typed"))
@@ -194,10 +202,6 @@ def q_quality_rules(spark, sf):
 # ---------------------------------------------------------------- sources (§2.1), round trips
 
 def _round_trip(spark, df, fmt: str):
-    import uuid
-
-    from ..session import scratch_path
-    from ..sources import io
     return io.round_trip(df, scratch_path(spark, f"{fmt}-{uuid.uuid4().hex[:12]}"), fmt)
 
 
@@ -228,11 +232,6 @@ def q_csv_predictions(spark, sf):
     " FROM (SELECT score, sum(target) OVER (ORDER BY score DESC) AS tp, sum(target) OVER () AS tot_pos"
     "       FROM (SELECT score, CAST(sum(target) AS BIGINT) AS target FROM scored GROUP BY score))"))
 def q_json_artifacts(spark, sf):
-    import uuid
-
-    from ..operators.evaluate import threshold_min_recall
-    from ..session import scratch_path
-    from ..sources import io
     s = scored_df(spark, sf).select(F.col("target").alias("label"), "score")
     thr = threshold_min_recall(s, min_recall=0.8)
     params = thr.select(
