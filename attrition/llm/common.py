@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import struct
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,28 +62,22 @@ def ascii_lower(text: Column) -> Column:
         F.translate(text, UPPER, LOWER))
 
 
-SIEVE_WORDS = 1 << 17     # 64-bit words of a sieve: 1 MB, whatever is in it
+SIEVE_WORDS = 1 << 17     # 64-bit words of a sieve: 2 MB with their numbers, whatever is in it
 
 
-def sieve(ids: DataFrame, column: str) -> Callable[[Column], Column]:
-    """A test that is true for all values of ``ids.column`` and for few others.
+def sieved(df: DataFrame, id_col: str, ids: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``__maybe``: true for all rows whose id is in ``ids.column`` and
+    for few others.
 
     It keeps rows without a partner out of a shuffle before an exact join. The
-    bitmap has a fixed size; with very many ids it lets more pass, never fewer.
-    Runs a job.
+    bitmap, which is broadcast, has at most ``SIEVE_WORDS`` rows; with very many ids it
+    lets more pass, never fewer.
     """
-    h = F.xxhash64(column)
-    words = ids.select(F.shiftright(h, 6).bitwiseAND(F.lit(SIEVE_WORDS - 1)).alias("w"),
-                       F.expr(f"shiftleft(1L, int(xxhash64(`{column}`) & 63))").alias("bit")).groupBy("w").agg(
-        F.bit_or("bit").alias("bits"))
-    bits = [0] * SIEVE_WORDS
-    for r in words.collect():  # at most SIEVE_WORDS rows
-        bits[r["w"]] = r["bits"]
-    raw = F.lit(struct.pack(f"<{SIEVE_WORDS}q", *bits))
-
-    def test(value: Column) -> Column:
-        at = F.xxhash64(value).bitwiseAND(F.lit(64 * SIEVE_WORDS - 1))
-        byte = F.conv(F.hex(F.substring(raw, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        power = F.pow(F.lit(2.0), at.bitwiseAND(F.lit(7)).cast("double"))
-        return F.pmod(F.floor(byte / power), F.lit(2)) == 1
-    return test
+    mask = SIEVE_WORDS - 1
+    words = ids.selectExpr(f"xxhash64(`{column}`) AS h").selectExpr(
+        f"shiftright(h, 6) & {mask} AS __word", "shiftleft(1L, int(h & 63)) AS bit").groupBy("__word").agg(
+        F.bit_or("bit").alias("__bits"))
+    rows = df.withColumn("__hash", F.xxhash64(id_col))
+    found = rows.join(F.broadcast(words), F.expr(f"shiftright(__hash, 6) & {mask}") == F.col("__word"), "left")
+    return found.select(*[df[c] for c in df.columns], F.coalesce(
+        F.expr("shiftright(__bits, int(__hash & 63)) & 1L") == 1, F.lit(False)).alias("__maybe"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, checkpointed, new_path, read_table, sieve
+from .common import LOWER, UPPER, checkpointed, new_path, read_table, sieved
 from .shingles import shingle_sets
 from .signature_tree import bitmap, candidates, trees
 
@@ -224,7 +224,7 @@ def _verified(families: DataFrame, classes: DataFrame, docs: DataFrame, words: i
     families.join(classes.select("set", "doc_id"), "set").write.parquet(path)
     members = spark.read.parquet(path)
     # rows that repeat an id have different texts: the class tells which is meant
-    some = docs.where(sieve(members, "doc_id")(F.col("doc_id")))
+    some = sieved(docs, "doc_id", members, "doc_id").where("__maybe")
     texts = some.join(members.hint("shuffle_hash"), "doc_id").select("family", "set", "text")
     return texts.repartition("family").sortWithinPartitions("family", "set").mapInArrow(
         run, "a long, b long")
@@ -332,9 +332,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", **kinds) -> DataFrame:
     path = new_path(docs.sparkSession, "near-copies")
     gone.write.parquet(path)
     gone = docs.sparkSession.read.parquet(path)
-    maybe = F.coalesce(sieve(gone, "__gone")(docs[id_col]), F.lit(True))
-    doubtful = docs.where(maybe).join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
-    return docs.where(~maybe).unionByName(doubtful)
+    rows = sieved(docs, id_col, gone, "__gone")
+    doubtful = rows.where("__maybe").join(
+        gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(gone["__gone"]), "left_anti")
+    return rows.where("NOT __maybe").unionByName(doubtful).select(*docs.columns)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
