@@ -10,7 +10,9 @@ entity and both on one line, the term gives away the share
 of the entity's information: 1 if it occurs nowhere else, 0 if it is independent.
 Terms at or above ``DISCLOSURE`` which occur with the entity on at least
 ``SUPPORT`` different lines (so copies of one text prove nothing) become spans
-of kind ``term`` in the documents that hold the entity. ``sanitise`` replaces
+of kind ``term`` in the documents that hold the entity. Characters of entities are
+blanked before terms are read, so a name counts where it stands beside its own
+e-mail, and not for being part of it. ``sanitise`` replaces
 entities by their kind and removes such terms.
 """
 
@@ -43,7 +45,7 @@ QUICK = {
     "card": r"[0-9](?:[\x20-]?[0-9]){11}",
     "phone": r"\+[0-9]",
 }
-TERM = r"\p{L}{3,}+"
+TERM = r"\p{L}[\p{L}\p{M}]{2,}+"
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -103,8 +105,26 @@ def _shown(spans: Column) -> Column:
         ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _lines(text: Column, spans: Column) -> Column:
-    """(line, its entities) of the lines that hold base spans."""
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with blanks for all characters of spans, at its own length."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(a, s):
+        begin = F.greatest(s["start"], a["at"])
+        return F.when(s["end"] <= a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(
+            a["out"], F.substr(text, a["at"] + 1, begin - a["at"]),
+            F.repeat(F.lit(" "), s["end"] - begin)).alias("out")))
+    return F.aggregate(spans, start, step, lambda a: F.concat(
+        a["out"], F.substr(text, a["at"] + 1, F.length(text))))
+
+
+def _terms(text: Column) -> Column:
+    """The different terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _lines(text: Column, rest: Column, spans: Column) -> Column:
+    """(line, what is left of it in ``rest``, its entities) of the lines that hold base spans."""
     lines = F.split(text, "\n")
 
     def with_start(all_lines: Column) -> Column:
@@ -117,7 +137,8 @@ def _lines(text: Column, spans: Column) -> Column:
     def inside(x):
         return F.filter(spans, lambda s: (s["start"] >= x["at"]) & (s["end"] <= x["at"] + F.length(x["line"])))
     numbered = F.transform(let(lines, with_start), lambda x: F.struct(
-        x["line"].alias("line"), F.transform(inside(x), lambda s: F.substr(
+        x["line"].alias("line"), F.substr(rest, x["at"] + 1, F.length(x["line"])).alias("rest"),
+        F.transform(inside(x), lambda s: F.substr(
             x["line"], s["start"] - x["at"] + 1, s["end"] - s["start"])).alias("entities")))
     return F.filter(numbered, lambda x: F.size(x["entities"]) > 0)
 
@@ -126,13 +147,13 @@ def disclosing_terms(found: DataFrame, n_docs: int, text_counts: DataFrame,
                      disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(_row, term) of the terms that give an entity of that row away."""
     lines = found.where("size(_spans) > 0").select(
-        "_row", F.explode(_lines(F.col("_text"), F.col("_spans"))).alias("x")).select(
+        "_row", F.explode(_lines(
+            F.col("_text"), _blanked(F.col("_text"), F.col("_spans")), F.col("_spans"))).alias("x")).select(
         "_row", F.xxhash64("x.line").alias("line"), F.explode(F.array_distinct("x.entities")).alias("entity"),
-        F.array_distinct(F.regexp_extract_all(F.lower("x.line"), F.lit(TERM), F.lit(0))).alias("terms"))
+        _terms(F.col("x.rest")).alias("terms"))
     entities = lines.groupBy("entity").agg(F.countDistinct("_row").alias("n_e"),
                                            F.countDistinct("line").alias("lines"))
-    beside = lines.select("_row", "line", "entity", F.explode("terms").alias("term")).where(
-        ~F.contains(F.lower("entity"), F.col("term")))
+    beside = lines.select("_row", "line", "entity", F.explode("terms").alias("term"))
     pairs = beside.groupBy("entity", "term").agg(
         F.countDistinct("_row").alias("n_te"), F.countDistinct("line").alias("lines")).where(
         F.col("lines") >= support)
@@ -160,15 +181,17 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = checkpointed(rows.select(
         F.monotonically_increasing_id().alias("_row"), "doc_id", "_spans",
         F.when(F.size("_spans") > 0, F.col("_t")).alias("_text")))
-    counts = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(
-        F.lower(F.col(text_col).cast("string")), F.lit(TERM), F.lit(0)))).alias("term")).groupBy(
-        "term").agg(F.count(F.lit(1)).alias("n_t"))
+    held = found.where("size(_spans) > 0")
+    one, less = F.lit(1).alias("n"), F.lit(-1).alias("n")
+    # a term that a document holds inside entities alone doesn't count there
+    counts = docs.select(F.explode(_terms(F.col(text_col).cast("string"))).alias("term"), one).unionByName(
+        held.select(F.explode(_terms(F.col("_text"))).alias("term"), less)).unionByName(
+        held.select(F.explode(_terms(_blanked(F.col("_text"), F.col("_spans")))).alias("term"), one)).groupBy(
+        "term").agg(F.sum("n").alias("n_t"))
     terms = disclosing_terms(found, found.count(), counts, disclosure, support).groupBy("_row").agg(
         F.collect_set("term").alias("_terms"))  # at most the different words of one document
-    more = F.when(F.col("_terms").isNotNull(), F.filter(
-        _matches(F.col("_text"), TERM, 4, lambda m: F.array_contains(F.col("_terms"), F.lower(m))),
-        lambda s: ~F.exists(F.col("_spans"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    )).otherwise(F.array().cast(SPAN))
+    more = F.when(F.col("_terms").isNotNull(), let(_blanked(F.col("_text"), F.col("_spans")), lambda t: _matches(
+        t, TERM, 4, lambda m: F.array_contains(F.col("_terms"), F.lower(m))))).otherwise(F.array().cast(SPAN))
     out = found.join(terms, "_row", "left")
     return out.select("doc_id", F.col("_spans").alias("base"),
                       F.array_sort(F.concat("_spans", more)).alias("spans"), F.col("_text").alias("text"))

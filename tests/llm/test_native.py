@@ -144,6 +144,18 @@ def test_disclosing_terms_and_sanitised_text(spark):
     assert all(s.kind < 4 for r in found for s in r.spans)   # copies of one line prove nothing
 
 
+def shown(r, docs):
+    return {docs[r.doc_id][s.start:s.end] for s in r.spans if s.kind == 4}
+
+
+def test_terms_that_are_part_of_their_entity(spark):
+    docs = {i: f"Anna Keller anna.keller@example.org wrote note {'abcdef'[i]}{i}x" for i in range(6)}
+    docs |= {100 + i: f"wrote note {i} example" for i in range(60)}
+    docs |= {200 + i: f"anna{i}@else.org wrote note {i}" for i in range(9)}   # inside entities a term doesn't count
+    rows = pii.find(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: shown(r, docs) for r in rows} == {i: {"Anna", "Keller"} if i < 6 else set() for i in docs}
+
+
 def test_pii_edges(edge_docs, no_docs, spark):
     rows = pii.find(edge_docs).collect()
     assert len(rows) == edge_docs.count()
