@@ -1,15 +1,15 @@
 """Personal data: base patterns and information-theoretic sanitisation.
 
 Four patterns find protected entities (email, ip, card, phone). Over the whole
-corpus it is then estimated how much a term tells about an entity that it
-stands beside: with n(t), n(e) and n(t, e) the documents that hold the term, the
-entity and both on one line, the term gives away the share
+corpus it is then estimated how much a term tells about an entity of the same
+document: with n(t), n(e) and n(t, e) the documents that hold the term, the
+entity and both, the term gives away the share
 
     PMI(t; e) / IC(e) = 1 - log(n(t, e) / n(t)) / log(n(e) / N)
 
 of the entity's information: 1 if it occurs nowhere else, 0 if it is independent.
-Terms at or above ``DISCLOSURE`` which occur with the entity on at least
-``SUPPORT`` different lines (so copies of one text prove nothing) become spans
+Terms at or above ``DISCLOSURE`` which occur with the entity in at least
+``SUPPORT`` different texts (so copies of one text prove nothing) become spans
 of kind ``term`` in the documents that hold the entity. Characters of entities are
 blanked before terms are read, so a name counts where it stands beside its own
 e-mail, and not for being part of it. ``sanitise`` replaces
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, read_table
+from .common import checkpointed, read_table, sieved
 from .quality_rules import let
 
 DISCLOSURE = 0.9
@@ -45,7 +45,7 @@ QUICK = {
     "card": r"[0-9](?:[\x20-]?[0-9]){11}",
     "phone": r"\+[0-9]",
 }
-TERM = r"\p{L}[\p{L}\p{M}]{2,}+"
+TERM = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*+"
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -123,46 +123,41 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _lines(text: Column, rest: Column, spans: Column) -> Column:
-    """(line, what is left of it in ``rest``, its entities) of the lines that hold base spans."""
-    lines = F.split(text, "\n")
+def _entities(text: Column, spans: Column) -> Column:
+    """The different entities of a text."""
+    return F.array_distinct(F.transform(spans, lambda s: F.substr(text, s["start"] + 1, s["end"] - s["start"])))
 
-    def with_start(all_lines: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        starts = F.aggregate(all_lines, start, lambda a, x: F.struct(
-            (a["at"] + F.length(x) + 1).alias("at"),
-            F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
-        return F.arrays_zip(all_lines.alias("line"), starts.alias("at"))
 
-    def inside(x):
-        return F.filter(spans, lambda s: (s["start"] >= x["at"]) & (s["end"] <= x["at"] + F.length(x["line"])))
-    numbered = F.transform(let(lines, with_start), lambda x: F.struct(
-        x["line"].alias("line"), F.substr(rest, x["at"] + 1, F.length(x["line"])).alias("rest"),
-        F.transform(inside(x), lambda s: F.substr(
-            x["line"], s["start"] - x["at"] + 1, s["end"] - s["start"])).alias("entities")))
-    return F.filter(numbered, lambda x: F.size(x["entities"]) > 0)
-
-
-def disclosing_terms(found: DataFrame, n_docs: int, text_counts: DataFrame,
+def disclosing_terms(found: DataFrame, n_docs: int, docs: DataFrame, text_col: str = "text",
                      disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(_row, term) of the terms that give an entity of that row away."""
-    lines = found.where("size(_spans) > 0").select(
-        "_row", F.explode(_lines(
-            F.col("_text"), _blanked(F.col("_text"), F.col("_spans")), F.col("_spans"))).alias("x")).select(
-        "_row", F.xxhash64("x.line").alias("line"), F.explode(F.array_distinct("x.entities")).alias("entity"),
-        _terms(F.col("x.rest")).alias("terms"))
-    entities = lines.groupBy("entity").agg(F.countDistinct("_row").alias("n_e"),
-                                           F.countDistinct("line").alias("lines"))
-    beside = lines.select("_row", "line", "entity", F.explode("terms").alias("term"))
-    pairs = beside.groupBy("entity", "term").agg(
-        F.countDistinct("_row").alias("n_te"), F.countDistinct("line").alias("lines")).where(
-        F.col("lines") >= support)
-    told = pairs.drop("lines").join(entities.drop("lines"), "entity").join(text_counts, "term").where(
-        (F.col("n_e") < n_docs)
-        & (1 - F.log(F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))) / F.log(F.col("n_e") / F.lit(n_docs))
-           >= disclosure))
-    return beside.select("_row", "entity", "term").distinct().join(
-        told.select("entity", "term"), ["entity", "term"]).select("_row", "term").distinct()
+    texts = found.where("size(_spans) > 0").select("_row", "_text", "_spans")
+    mentions = checkpointed(texts.select("_row", F.xxhash64("_text").alias("copy"), F.explode(
+        _entities(F.col("_text"), F.col("_spans"))).alias("entity")))
+    # No pair of an entity with fewer texts has enough of them
+    entities = mentions.groupBy("entity", "copy").agg(F.count(F.lit(1)).alias("n")).groupBy("entity").agg(
+        F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(
+        (F.col("texts") >= support) & (F.col("n_e") < n_docs)).drop("texts")
+    holders = checkpointed(mentions.join(entities, "entity").groupBy("_row", "copy").agg(
+        F.collect_list(F.struct("entity", "n_e")).alias("entities")))  # those of one document
+    first = holders.groupBy("copy").agg(F.min("_row").alias("_row")).select("_row", F.lit(1).alias("first"))
+    some = sieved(texts, "_row", holders, "_row").where("__maybe").drop("__maybe")
+    beside = some.join(holders.join(first, "_row", "left"), "_row").select(
+        "_row", "first", "entities", _terms(_blanked(F.col("_text"), F.col("_spans"))).alias("terms")).select(
+        "_row", "first", "terms", F.explode("entities").alias("e")).select(
+        "_row", "first", "e.entity", "e.n_e", F.explode("terms").alias("term"))
+    pairs = checkpointed(beside.groupBy("entity", "n_e", "term").agg(
+        F.count(F.lit(1)).alias("n_te"), F.count("first").alias("texts")).where(F.col("texts") >= support))
+    # A term that a document holds inside entities alone doesn't count there
+    one, less = F.lit(1).alias("n"), F.lit(-1).alias("n")
+    rows = docs.select(F.explode(_terms(F.col(text_col).cast("string"))).alias("term"), one).unionByName(
+        texts.select(F.explode(_terms(F.col("_text"))).alias("term"), less)).unionByName(
+        texts.select(F.explode(_terms(_blanked(F.col("_text"), F.col("_spans")))).alias("term"), one))
+    counts = sieved(rows, "term", pairs, "term").where("__maybe").groupBy("term").agg(F.sum("n").alias("n_t"))
+    told = pairs.join(counts, "term").where(
+        1 - F.log(F.col("n_te") / F.col("n_t")) / F.log(F.col("n_e") / F.lit(n_docs)) >= disclosure)
+    return beside.join(told.select("entity", "term"), ["entity", "term"], "left_semi").select(
+        "_row", "term").distinct()
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -171,8 +166,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     end), and the text where it has spans, else null.
 
     Null texts count as empty and have no spans; spans of different kinds may
-    overlap; rows that repeat an id are kept apart. Terms are runs of three or
-    more letters, compared in lower case. Other columns are ignored; an empty
+    overlap; rows that repeat an id are kept apart. Terms are runs of letters and
+    digits of any length, compared in lower case. Other columns are ignored; an empty
     table gives no rows. Runs a job when called: spans, and the texts that have
     some, are written to the shared folder.
     """
@@ -181,14 +176,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = checkpointed(rows.select(
         F.monotonically_increasing_id().alias("_row"), "doc_id", "_spans",
         F.when(F.size("_spans") > 0, F.col("_t")).alias("_text")))
-    held = found.where("size(_spans) > 0")
-    one, less = F.lit(1).alias("n"), F.lit(-1).alias("n")
-    # a term that a document holds inside entities alone doesn't count there
-    counts = docs.select(F.explode(_terms(F.col(text_col).cast("string"))).alias("term"), one).unionByName(
-        held.select(F.explode(_terms(F.col("_text"))).alias("term"), less)).unionByName(
-        held.select(F.explode(_terms(_blanked(F.col("_text"), F.col("_spans")))).alias("term"), one)).groupBy(
-        "term").agg(F.sum("n").alias("n_t"))
-    terms = disclosing_terms(found, found.count(), counts, disclosure, support).groupBy("_row").agg(
+    terms = disclosing_terms(found, found.count(), docs, text_col, disclosure, support).groupBy("_row").agg(
         F.collect_set("term").alias("_terms"))  # at most the different words of one document
     more = F.when(F.col("_terms").isNotNull(), let(_blanked(F.col("_text"), F.col("_spans")), lambda t: _matches(
         t, TERM, 4, lambda m: F.array_contains(F.col("_terms"), F.lower(m))))).otherwise(F.array().cast(SPAN))

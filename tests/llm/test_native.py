@@ -1,5 +1,7 @@
 """Exact dedup, quality rules, personal data, sharding."""
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -156,6 +158,56 @@ def test_terms_that_are_part_of_their_entity(spark):
     assert {r.doc_id: shown(r, docs) for r in rows} == {i: {"Anna", "Keller"} if i < 6 else set() for i in docs}
 
 
+def test_terms_of_the_whole_document(spark):
+    docs = {i: f"note {i} of {'abcdef'[i]}\nBo Li, KD48213\n李明\nbo@example.org\nsee it" for i in range(6)}
+    docs |= {100 + i: f"note {i} of it, see" for i in range(60)}
+    # Zed stands with the entity on one line and on others: all six documents count
+    docs |= {200 + i: f"Zed zed@firm.com {i}" if i < 2 else f"Zed {i}\nzed@firm.com" for i in range(6)}
+    docs |= {400 + i: "copy of Quixote\nq@firm.com" for i in range(20)}   # one text
+    rows = pii.find(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    want = {i: {"Bo", "Li", "KD48213", "李明"} if i < 6 else {"Zed"} if 200 <= i < 206 else set() for i in docs}
+    assert {r.doc_id: shown(r, docs) for r in rows} == want
+
+
+def brute_terms(docs):
+    term = re.compile(r"[^\W_]+")
+    base = {i: brute_spans(t) for i, t in docs.items()}
+    rest = {i: "".join(" " if any(a <= k < b for a, _, b in base[i]) else c for k, c in enumerate(t or ""))
+            for i, t in docs.items()}
+    terms = {i: {m.lower() for m in term.findall(t)} for i, t in rest.items()}
+    holders = {}
+    for i, spans in base.items():
+        for a, _, b in spans:
+            holders.setdefault(docs[i][a:b], set()).add(i)
+    n_t = Counter(t for x in terms.values() for t in x)
+    out = {i: set() for i in docs}
+    for own in holders.values():
+        n_te = Counter(t for i in own for t in terms[i])
+        for t, n in n_te.items():
+            texts = {docs[i] for i in own if t in terms[i]}
+            if len(texts) >= 3 and len(own) < len(docs) and (
+                    1 - math.log(n / n_t[t]) / math.log(len(own) / len(docs)) >= 0.9):
+                for i in own:
+                    out[i] |= {t} & terms[i]
+    return {i: sorted((m.start(), m.end()) for m in term.finditer(rest[i]) if m.group().lower() in x)
+            for i, x in out.items()}
+
+
+def test_terms_against_brute_force(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(25)] + ["a", "Öl", "x9", "7"]
+    mails = [f"w{i}.a@m{i % 3}.org" for i in range(6)]
+    docs = {i: "\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(3))
+            for i in range(150)}
+    for i in range(60):
+        k = rng.randrange(6)
+        docs[i] += f"\nname{k} {mails[k]}" if rng.random() < 0.5 else f" {mails[k]}\nName{k} +49 30 123456{k}"
+    docs |= {200 + i: docs[i % 5] for i in range(20)} | {300: None, 301: ""}
+    rows = pii.find(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)).collect()
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 4] for r in rows}
+    assert got == brute_terms(docs) and any(got.values())
+
+
 def test_pii_edges(edge_docs, no_docs, spark):
     rows = pii.find(edge_docs).collect()
     assert len(rows) == edge_docs.count()
