@@ -198,11 +198,35 @@ def _families(members: DataFrame, percent: int) -> DataFrame:
         run, "family long, set long").distinct()
 
 
+def _classed(rows: DataFrame, words: int) -> DataFrame:
+    """(__id, __set, text) of rows (doc_id, text). Of rows of one Arrow batch that
+    repeat both, one is left."""
+    def run(batches):
+        for batch, sets in _texts(batches, words):
+            own = [_class_of(s) for s in sets]
+            one = {k: i for i, k in enumerate(zip(batch.column("doc_id").to_pylist(), own))}
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(own, pa.int64()), batch.column("text")],
+                names=["__id", "__set", "text"]).take(pa.array(list(one.values()), pa.int64()))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "text").mapInArrow(run, f"__id {kind}, __set long, text string")
+
+
+def _firsts(batches: Iterator[pa.RecordBatch]):
+    """Sorted batches without the rows that repeat the first two columns."""
+    last = None
+    for batch in batches:
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        keep = [a != b for a, b in zip(keys, [last, *keys])]
+        last = keys[-1] if keys else last
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def _verified(families: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
               percent: int) -> DataFrame:
     """(a, b): a spanning forest of the links inside every family."""
     def run(batches):
-        for _, rows in _runs(batches, 1):
+        for _, rows in _runs(_firsts(batches), 1):
             sets = shingle_sets([t for _, t in rows], words)
             order = sorted(range(len(rows)), key=lambda i: sets[i].tobytes()[:64])
             items = [(len(sets[i]), bitmap(sets[i])) for i in order]
@@ -223,9 +247,10 @@ def _verified(families: DataFrame, classes: DataFrame, docs: DataFrame, words: i
     path = new_path(spark, "families")
     families.join(classes.select("set", "doc_id"), "set").write.parquet(path)
     members = spark.read.parquet(path)
-    # rows that repeat an id have different texts: the class tells which is meant
-    some = sieved(docs, "doc_id", members, "doc_id").where("__maybe")
-    texts = some.join(members.hint("shuffle_hash"), "doc_id").select("family", "set", "text")
+    # rows that repeat an id, a null one too, may have different texts: the class tells which is meant
+    some = _classed(sieved(docs, "doc_id", members, "doc_id").where("__maybe"), words)
+    texts = some.join(members.hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("doc_id"))
+                      & (F.col("__set") == F.col("set"))).select("family", "set", "text")
     return texts.repartition("family").sortWithinPartitions("family", "set").mapInArrow(
         run, "a long, b long")
 
@@ -277,7 +302,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives no rows. Similarities from 50 percent are supported. Runs
     jobs when called; intermediate tables are written to the shared folder.
     """
-    spark = docs.sparkSession
+    return _linked(docs, id_col, text_col, words, percent).drop("set")
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """doc_id, set, n_shingles, component_id of every row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signatures = checkpointed(_signatures(docs, words, percent))
     classes = checkpointed(signatures.where("n > 0").groupBy("set").agg(
@@ -299,7 +328,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = named.join(least, "component").select("set", "component_id")
     out = signatures.select("doc_id", "set", "n").join(by_set, "set", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"),
+    return out.select("doc_id", "set", F.col("n").alias("n_shingles"),
                       F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -323,18 +352,29 @@ def _across(large: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame
     return left.unionByName(right).join(classes, "set")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **kinds) -> DataFrame:
+def _set_of(words: int):
+    """The class of each text, as a function of columns."""
+    def run(text: pa.Array) -> pa.Array:
+        return pa.array([_class_of(s) for s in shingle_sets(text.to_pylist(), words)], pa.int64())
+    return F.arrow_udf(run, "long")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest
-    id. Rows that repeat this id all stay, and so do texts without words."""
-    named = link_components(docs, id_col, **kinds)
+    id. Rows of the component that repeat this id all stay, and so do texts without
+    words. Rows that repeat an id, a null one too, stay or go by their own texts.
+    """
+    named = _linked(docs, id_col, text_col, words, percent)
     gone = named.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__gone")).distinct()
+        F.col("doc_id").alias("__gone"), F.col("set").alias("__set")).distinct()
     path = new_path(docs.sparkSession, "near-copies")
     gone.write.parquet(path)
     gone = docs.sparkSession.read.parquet(path)
     rows = sieved(docs, id_col, gone, "__gone")
-    doubtful = rows.where("__maybe").join(
-        gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(gone["__gone"]), "left_anti")
+    doubtful = rows.where("__maybe").withColumn("__own", _set_of(words)(F.col(text_col).cast("string"))).join(
+        gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__gone")) & (F.col("__own") == F.col("__set")),
+        "left_anti").drop("__own")
     return rows.where("NOT __maybe").unionByName(doubtful).select(*docs.columns)
 
 

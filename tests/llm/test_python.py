@@ -215,6 +215,34 @@ def test_join_edges(edge_docs, no_docs):
     assert len(shingles.shingle_sets([None, "", "a", "a b c d e f"])[3]) == 2
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    texts = [t for _, t in near_copies(40, 11)]
+    for ids in (lambda i: i % 5 or None, lambda i: None if i % 3 else i, lambda i: i // 7, lambda i: None):
+        rows = [(ids(i), t) for i, t in enumerate(texts)]
+        component = {i: c for i, (_, c) in brute_components(list(enumerate(texts))).items()}
+        least = {}
+        for i, (d, _) in enumerate(rows):
+            own = [x for x in (least.get(component[i]), d) if x is not None]
+            least[component[i]] = min(own) if own else None
+        want = [(d, t, least[component[i]]) for i, (d, t) in enumerate(rows)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = jaccard_join.link_components(docs).collect()
+        assert Counter((r.doc_id, r.component_id) for r in got) == Counter((d, c) for d, _, c in want)
+        kept = jaccard_join.one_of_each(docs).collect()
+        assert Counter(map(tuple, kept)) == Counter((d, t) for d, t, c in want if d == c)
+
+
+def test_rows_with_null_or_repeated_ids_stay_for_themselves(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(3, a), (7, a + " more"), (7, b), (8, c), (None, c.replace(" ", "  ")), (None, d), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = jaccard_join.one_of_each(docs).collect()
+    assert Counter(map(tuple, kept)) == Counter([(3, a), (7, b), (8, c), (None, d), (None, "")])
+    named = spark.createDataFrame([(str(i) if i else None, 1, t) for i, t in rows], "k string, text int, body string")
+    kept = jaccard_join.one_of_each(named, "k", "body")
+    assert kept.columns == ["k", "text", "body"] and kept.count() == 5
+
+
 # WARC
 
 def test_archives_round_trip(spark, tmp_path):
