@@ -187,7 +187,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return long.select("col_a", "col_b", F.col("corr").alias("corr"))
 
 
-def mean_bootstrap_ci(df: DataFrame, value: str, group: str, replicates: int = 200, seed: int = 42,
+def mean_bootstrap_ci(df: DataFrame, value: str, group: str, replicates: int = 1000, seed: int = 42,
                       level: float = 0.95) -> DataFrame:
     """Bootstrap interval of the group mean by Poisson resampling.
 

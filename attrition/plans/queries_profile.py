@@ -71,7 +71,7 @@ def q_mean_by_target(spark, sf):
 
 @query("mean_by_target_ci")
 def q_mean_by_target_ci(spark, sf):
-    return pf.mean_bootstrap_ci(model_df(spark, sf), "tenure", "target", replicates=200, seed=42)
+    return pf.mean_bootstrap_ci(model_df(spark, sf), "tenure", "target", replicates=1000, seed=42)
 
 
 def _box_sql(src_cte: str, keys: list[str]) -> str:

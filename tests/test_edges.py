@@ -15,8 +15,10 @@ from attrition.operators import evaluate as ev
 from attrition.operators import explain as xp
 from attrition.operators import model as ml
 from attrition.operators import primitives as pr
+from attrition.operators import profile as pf
 from attrition.operators import split as sp
 from attrition.operators.scoring import score_with_model
+from attrition.plans import queries_profile as qp
 
 NAN = float("nan")
 
@@ -156,3 +158,12 @@ def test_model_depends_on_rows_not_on_their_layout(spark):
         model = ml.fit_boosted(layout, ["cat"], ["x", "z"], {"maxIter": 3}, weight_col=None, id_col="id")
         scores.append({r.id: r.prob_churn for r in score_with_model(df, model, 0.5).collect()})
     assert scores[0] == scores[1]     # and 70 categories fit
+
+
+def test_bootstrap_interval_has_a_thousand_replicates(spark):
+    sf = "/root/testdata/sf0.001"
+    rounded = lambda df: {tuple(round(x, 6) for x in r) for r in df.collect()}
+    got = rounded(qp.q_mean_by_target_ci(spark, sf))
+    by = {n: rounded(pf.mean_bootstrap_ci(qp.model_df(spark, sf), "tenure", "target", replicates=n))
+          for n in (200, 1000)}
+    assert got == by[1000] != by[200]
