@@ -213,7 +213,7 @@ def q_fit_baseline(spark, sf):
     out = None
     for name, w in (("unweighted", None), ("weighted", "weight")):
         m = ml.fit_boosted(train, CATEGORICAL_COLUMNS, NUM_FEATURES,
-                           {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1,
+                           {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3,
                             "subsamplingRate": 1.0, "featureSubsetStrategy": "all"}, weight_col=w)
         s = score_with_model(test, m, 0.5).select(F.col("target").alias("label"),
                                                   F.col("prob_churn").alias("score"))

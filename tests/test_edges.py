@@ -18,6 +18,7 @@ from attrition.operators import primitives as pr
 from attrition.operators import profile as pf
 from attrition.operators import split as sp
 from attrition.operators.scoring import score_with_model
+from attrition.plans import queries_model as qm
 from attrition.plans import queries_profile as qp
 
 NAN = float("nan")
@@ -167,3 +168,14 @@ def test_bootstrap_interval_has_a_thousand_replicates(spark):
     by = {n: rounded(pf.mean_bootstrap_ci(qp.model_df(spark, sf), "tenure", "target", replicates=n))
           for n in (200, 1000)}
     assert got == by[1000] != by[200]
+
+
+def test_baseline_has_the_external_boosters_defaults(spark, monkeypatch):
+    seen, fit = [], ml.fit_boosted
+
+    def quick(train, cat, num, params, **kw):
+        seen.append((params["maxIter"], params["maxDepth"], params["stepSize"]))
+        return fit(train, cat, num, {**params, "maxIter": 1}, **kw)
+    monkeypatch.setattr(qm.ml, "fit_boosted", quick)
+    assert qm.q_fit_baseline(spark, "/root/testdata/sf0.001").count() == 2
+    assert seen == [(100, 6, 0.3)] * 2
