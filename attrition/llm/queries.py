@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from . import (
+    conversations,
     exact_dedup,
     html_text,
     jaccard_join,
+    minhash,
     mixing,
     pieces,
     pii,
@@ -13,6 +15,7 @@ from . import (
     shard,
     substring_dedup,
     warc,
+    whitening,
 )
 
 QUERIES = {
@@ -26,10 +29,15 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_pieces": pieces.op9_pieces,
     "op10_shard": shard.op10_shard,
+    "op11_conversations": conversations.op11_conversations,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_minhash": minhash.op13_minhash,
 }
 
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op5_jaccard_join": jaccard_join.SQL,
     "op6_warc": warc.SQL,
+    "op11_conversations": conversations.SQL,
+    "op13_minhash": minhash.SQL,
 }
