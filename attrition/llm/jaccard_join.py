@@ -21,7 +21,7 @@ Documents link when the Jaccard similarity of their sets of 5-word shingles is
    into parts by hash. After the parts, links are sought between the members
    outside the block's largest component and all parts; what is connected
    already needs none, so a huge group of near copies stays linear.
-6. Components of all links, by alternating large and small stars.
+6. Components of all links.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, checkpointed, new_path, read_table, sieved
+from .components import components
 from .shingles import shingle_sets
 from .signature_tree import bitmap, candidates, trees
 
@@ -255,41 +256,6 @@ def _verified(families: DataFrame, classes: DataFrame, docs: DataFrame, words: i
         run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) of all nodes of links (a, b); a component is named by its
-    smallest node. Alternating large and small stars; each round is written to
-    the shared folder, and rounds end when nothing changes."""
-    spark = links.sparkSession
-
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        if large:
-            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        else:
-            both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        near = both.join(least, "a")
-        if large:
-            return near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-
-    def state(edges: DataFrame):
-        r = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return tuple(r)
-
-    edges = checkpointed(links.where("a <> b").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = state(edges)
-    while before[0]:
-        edges = checkpointed(star(star(edges, True), False))
-        now = state(edges)
-        if now == before:
-            break
-        before = now
-    nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-
-
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, checkpointed, new_path, read_table, sieved
-from .jaccard_join import components
+from .components import components
 from .shingles import mix, shingle_sets
 
 WORDS = 4
@@ -51,6 +51,7 @@ MISS = 1e-7                # least posterior probability of a link for a pair to
 PART = 1_024               # members of a part
 PART_TOKENS = 1 << 20      # words of the texts in a part; a longer text goes alone with the pivot
 PORTION = 1 << 16          # shingles that are hashed at once
+SLICE = 1_024              # rows of an Arrow batch whose sets are in memory at once
 
 _N = BANDS * ROWS + SIGNATURE
 _FACTORS = mix(np.arange(1, _N + 1, dtype=np.uint64)) | np.uint64(1)
@@ -93,10 +94,10 @@ def _band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, set, n, keys, sig) of every row of (doc_id, text); of rows of one Arrow batch
+    """(doc_id, set, n, keys, sig) of every row of (doc_id, text); of rows of one slice
     with equal sets only one has keys and sig."""
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             sets = shingle_sets(batch.column("text").to_pylist(), words)
             own = [class_of(s) for s in sets]
             one = {c: i for i, c in enumerate(own) if c}
@@ -287,7 +288,7 @@ def _texts(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """(set, text) of the classes in ``members`` (set, doc_id). Rows that repeat an id, a null
     one too, may have different texts: the class of its own text tells whether a row is meant."""
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             own = [class_of(s) for s in shingle_sets(batch.column("text").to_pylist(), words)]
             one = sorted({c: i for i, c in enumerate(own)}.values())
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), batch.column("text")],
