@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .primitives import materialize, running_rows, score_histogram, top_sums, valid, with_totals
+from .primitives import running_rows, score_histogram, top_sums, valid, with_totals
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -100,9 +100,9 @@ def campaign_roi(df: DataFrame, *, score: str = "score", revenue: str = "monthly
 def priority_curve(df: DataFrame, *, id_col: str, score: str = "score",
                    revenue: str = "monthlycharges") -> DataFrame:
     """Per row by score desc: cumulative share of customers and revenue."""
-    src = materialize(df.where(valid(df, score)).select(id_col, score, F.col(revenue).alias("_v")))
+    src = df.where(valid(df, score)).select(id_col, score, F.col(revenue).alias("_v"))
     r = running_rows(src, order=score, id_col=id_col, values=["_v"])
-    r = with_totals(r, src, {"_n": F.count(F.lit(1)), "_tv": F.sum("_v")})
+    r = with_totals(r, r, {"_n": F.count(F.lit(1)), "_tv": F.sum("_v")})
     return r.select(id_col, score, "pos", _div(F.col("pos"), F.col("_n")).alias("cum_clients_pct"),
                     _div(F.col("cum__v"), F.col("_tv")).alias("cum_revenue_pct"))
 

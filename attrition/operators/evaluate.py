@@ -37,7 +37,7 @@ def score_curve(df: DataFrame, label: str = "label", score: str = "score",
     Columns: by..., threshold, n, pos, neg, tp, fp, tot_pos, tot_neg.
     """
     h0 = materialize(score_histogram(df, score, label, by=by))
-    h = prefix_sums(h0, [(score, False)], ["pos", "neg"], by=by)
+    h = prefix_sums(h0, [(score, False)], ["pos", "neg"], by=by, ready=True)
     h = with_totals(h, h0, {"tot_pos": F.sum("pos"), "tot_neg": F.sum("neg")}, by)
     return h.select(*by, F.col(score).alias("threshold"), "n", "pos", "neg",
                     F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"), "tot_pos", "tot_neg")
@@ -124,7 +124,7 @@ def ks_abs(df: DataFrame, label: str = "label", score: str = "score",
     """max |CDF+ - CDF-| over ascending distinct scores, and the smallest
     score where it is reached; NULLs when a class is empty."""
     h0 = materialize(score_histogram(df, score, label, by=by))
-    h = prefix_sums(h0, [(score, True)], ["pos", "neg"], by=by)
+    h = prefix_sums(h0, [(score, True)], ["pos", "neg"], by=by, ready=True)
     h = with_totals(h, h0, {"tot_pos": F.sum("pos"), "tot_neg": F.sum("neg")}, by)
     d = F.abs(_div(F.col("cum_pos"), F.col("tot_pos")) - _div(F.col("cum_neg"), F.col("tot_neg")))
     pts = h.select(*by, F.col(score).alias("s"), d.alias("d"), "tot_pos", "tot_neg")
@@ -225,41 +225,38 @@ def precision_recall_at(df: DataFrame, label: str = "label", score: str = "score
                     rec.alias("recall"), "tp", "fp", "fn", "tn")
 
 
-def classification_report(df: DataFrame, label: str = "label", pred: str = "pred",
-                          by: Sequence[str] = ()) -> DataFrame:
-    """Rows '0', '1', 'accuracy', 'macro avg', 'weighted avg' with
-    precision, recall, f1 and support (zero division -> 0)."""
-    c = _counts(df, label, pred, by)
+def report(tn: Column, fp: Column, fn: Column, tp: Column) -> Column:
+    """The report of four counts as an array of structs (class, precision, recall, f1,
+    support): '0', '1', 'accuracy', 'macro avg', 'weighted avg'; zero division -> 0."""
     z = F.lit(0.0)
+    none = F.lit(None).cast("double")
 
     def f1(p: Column, r: Column) -> Column:
         return F.coalesce(_div(2 * p * r, p + r), z)
 
-    p1 = F.coalesce(_div(F.col("tp"), F.col("tp") + F.col("fp")), z)
-    r1 = F.coalesce(_div(F.col("tp"), F.col("tp") + F.col("fn")), z)
-    p0 = F.coalesce(_div(F.col("tn"), F.col("tn") + F.col("fn")), z)
-    r0 = F.coalesce(_div(F.col("tn"), F.col("tn") + F.col("fp")), z)
-    s1 = F.col("tp") + F.col("fn")
-    s0 = F.col("tn") + F.col("fp")
+    def row(name: str, p: Column, r: Column, f: Column, support: Column) -> Column:
+        return F.struct(F.lit(name).alias("class"), p.alias("precision"), r.alias("recall"), f.alias("f1"),
+                        support.cast("long").alias("support"))
+
+    s0, s1 = tn + fp, tp + fn
     n = s0 + s1
-    m = c.select(*by, p0.alias("p0"), r0.alias("r0"), f1(p0, r0).alias("f0"), s0.alias("s0"),
-                 p1.alias("p1"), r1.alias("r1"), f1(p1, r1).alias("f1"), s1.alias("s1"), n.alias("n"),
-                 F.coalesce(_div(F.col("tp") + F.col("tn"), n), z).alias("acc"))
-    w0, w1 = F.coalesce(_div(F.col("s0"), F.col("n")), z), F.coalesce(_div(F.col("s1"), F.col("n")), z)
-    m = m.select("*", ((F.col("p0") + F.col("p1")) / 2).alias("mp"),
-                 ((F.col("r0") + F.col("r1")) / 2).alias("mr"),
-                 ((F.col("f0") + F.col("f1")) / 2).alias("mf"),
-                 (F.col("p0") * w0 + F.col("p1") * w1).alias("wp"),
-                 (F.col("r0") * w0 + F.col("r1") * w1).alias("wr"),
-                 (F.col("f0") * w0 + F.col("f1") * w1).alias("wf"))
-    rows = ("stack(5, '0', p0, r0, f0, s0, '1', p1, r1, f1, s1,"
-            " 'accuracy', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), acc, n,"
-            " 'macro avg', mp, mr, mf, n, 'weighted avg', wp, wr, wf, n)"
-            " AS (class, precision, recall, f1, support)")
-    out = m.selectExpr(*by, rows)
-    return out.select(*by, "class", F.col("precision").alias("precision"),
-                      F.col("recall").alias("recall"), F.col("f1").alias("f1"),
-                      F.col("support").cast("long").alias("support"))
+    p0, r0 = F.coalesce(_div(tn, tn + fn), z), F.coalesce(_div(tn, s0), z)
+    p1, r1 = F.coalesce(_div(tp, tp + fp), z), F.coalesce(_div(tp, s1), z)
+    w0, w1 = F.coalesce(_div(s0, n), z), F.coalesce(_div(s1, n), z)
+    f0, g1 = f1(p0, r0), f1(p1, r1)
+    return F.array(
+        row("0", p0, r0, f0, s0), row("1", p1, r1, g1, s1),
+        row("accuracy", none, none, F.coalesce(_div(tp + tn, n), z), n),
+        row("macro avg", (p0 + p1) / 2, (r0 + r1) / 2, (f0 + g1) / 2, n),
+        row("weighted avg", p0 * w0 + p1 * w1, r0 * w0 + r1 * w1, f0 * w0 + g1 * w1, n))
+
+
+def classification_report(df: DataFrame, label: str = "label", pred: str = "pred",
+                          by: Sequence[str] = ()) -> DataFrame:
+    """Rows '0', '1', 'accuracy', 'macro avg', 'weighted avg' with
+    precision, recall, f1 and support (zero division -> 0)."""
+    c = _counts(df, label, pred, by)
+    return c.select(*by, F.inline(report(*map(F.col, ("tn", "fp", "fn", "tp")))))
 
 
 # ----------------------------------------------------------------- bins
@@ -274,7 +271,7 @@ def binned_histogram(df: DataFrame, label: str = "label", score: str = "score",
     h = materialize(score_histogram(df, score, label, by=by)
                     .withColumn("_sv", F.col(score) * F.col("n")))
     probs = [i / n_bins for i in range(n_bins + 1)]
-    q = exact_quantiles(h, score, probs, by=by, weight="n")
+    q = exact_quantiles(h, score, probs, by=by, weight="n", ready=True)
     e = q.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pi", "q"))).alias("_e")) \
         .select(*by, F.transform("_e", lambda s: s["q"]).alias("edges"))
     if strict:
@@ -363,10 +360,9 @@ def gains_curve(df: DataFrame, id_col: str, label: str = "label", score: str = "
                 by: Sequence[str] = ()) -> DataFrame:
     """Per row by score desc (ties by md5(id), id): cumulative share of the
     base and of the churners."""
-    src = materialize(df.where(valid(df, score)).select(
-        *by, id_col, score, F.col(label).cast("long").alias("_y")))
+    src = df.where(valid(df, score)).select(*by, id_col, score, F.col(label).cast("long").alias("_y"))
     r = running_rows(src, order=score, id_col=id_col, values=["_y"], by=by)
-    r = with_totals(r, src, {"_T": F.count(F.lit(1)), "_C": F.sum("_y")}, by)
+    r = with_totals(r, r, {"_T": F.count(F.lit(1)), "_C": F.sum("_y")}, by)
     return r.select(*by, id_col, score, "pos", _div(F.col("pos"), F.col("_T")).alias("cum_base"),
                     _div(F.col("cum__y"), F.col("_C")).alias("cum_churn"))
 

@@ -156,13 +156,29 @@ def margin(df: DataFrame, model: PipelineModel, *, id_col: str) -> DataFrame:
     return out.select(id_col, (F.lit(LOG_ODDS) * vector_to_array("rawPrediction")[1]).alias("margin"))
 
 
-def contributions_global(df: DataFrame, model: PipelineModel, *, id_col: str, top: int = 15) -> DataFrame:
-    """Mean |contribution| per feature over all rows, top ``top`` (the window runs
-    over one row per feature)."""
-    c = contributions(df, model, id_col=id_col).where(F.col("feature") != "__bias__")
-    g = c.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
+def contributions_global(df: DataFrame, model: PipelineModel, *, id_col: str, top: int | None = 15) -> DataFrame:
+    """Mean |contribution| per feature over all rows, top ``top``.
+
+    A task adds up what its rows contribute and emits one row a feature, whatever the
+    number of its rows (the window runs over one row per feature)."""
+    meta = extract_trees(model)
+    bmeta = df.sparkSession.sparkContext.broadcast(meta)
+    names = meta["names"]
+
+    def run(batches):
+        total, n = np.zeros(len(names)), 0
+        for pdf in batches:
+            if not pdf.empty:
+                phi, _ = shap_matrix(bmeta.value, np.vstack(pdf["_x"].to_numpy()).astype(float))
+                total, n = total + np.abs(phi).sum(axis=0), n + len(pdf)
+        if n:
+            yield pd.DataFrame({"feature": names, "_s": total, "_n": n})
+
+    parts = _features_frame(df, model, id_col).select("_x").mapInPandas(run, "feature string, _s double, _n long")
+    g = parts.groupBy("feature").agg((F.sum("_s") / F.sum("_n")).alias("mean_abs"))
     w = Window.orderBy(F.desc("mean_abs"), F.asc("feature"))
-    return g.select("feature", "mean_abs", F.row_number().over(w).alias("rank")).where(F.col("rank") <= top)
+    g = g.select("feature", "mean_abs", F.row_number().over(w).alias("rank"))
+    return g if top is None else g.where(F.col("rank") <= top)
 
 
 def top_factors(long_df: DataFrame, *, id_col: str, n: int = 5, feature: str = "feature",

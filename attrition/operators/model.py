@@ -12,14 +12,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .primitives import materialize
+from .primitives import MAX_GROUPS, join_groups, materialize, with_totals
 
 # Tuned booster settings and their Spark counterparts.
 BOOSTED_PARAMS = {
@@ -50,6 +48,36 @@ def categorical_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]
             if isinstance(f.dataType, T.StringType) and f.name not in set(exclude)]
 
 
+def vocabulary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(variable, value, code): dense codes from 0 in the order of the values, which
+    are never gathered: distinct values are dealt by range, numbered inside their part and
+    moved by the sizes of the parts before (a table of a row a part and column)."""
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
+    values = df.selectExpr(f"stack({len(cols)}, {pairs}) AS (variable, value)").where("value IS NOT NULL").distinct()
+    placed = materialize(values.repartitionByRange("variable", "value").withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy("variable", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("variable").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("variable", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy("variable", "_part").orderBy("value"))
+    return join_groups(placed.withColumn("_rank", rank), starts, ["variable", "_part"]).select(
+        "variable", "value", (F.col("_rank") - 1 + F.col("_start")).cast("int").alias("code"))
+
+
+def categorical_encode(df: DataFrame, vocab: DataFrame, cols: Sequence[str], suffix: str = "_idx") -> DataFrame:
+    """``df`` with the code of every column of ``cols``; a NULL or a value that the
+    vocabulary lacks gets the number of its values. Each column's vocabulary is
+    broadcast if it has at most ``MAX_GROUPS`` values and else joined by shuffle."""
+    vocab = materialize(vocab)
+    sizes = {r["variable"]: r["n"] for r in vocab.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = df
+    for c in cols:
+        own = vocab.where(F.col("variable") == c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
+        own = F.broadcast(own) if sizes.get(c, 0) <= MAX_GROUPS else own
+        out = out.join(own, F.col(c).cast("string") == F.col("_v"), "left").drop("_v").withColumn(
+            c + suffix, F.coalesce("_code", F.lit(sizes.get(c, 0)))).drop("_code")
+    return out
+
+
 def categorical_encoder(cat_cols: Sequence[str], suffix: str = "_idx") -> StringIndexer:
     return StringIndexer(inputCols=list(cat_cols), outputCols=[c + suffix for c in cat_cols],
                          handleInvalid="keep", stringOrderType="alphabetAsc")
@@ -123,58 +151,49 @@ def feature_names(model: PipelineModel) -> list[str]:
     return names
 
 
-def feature_importance(spark: SparkSession, model: PipelineModel, top: int = 10) -> DataFrame:
-    """Normalised impurity importances by feature name (a small table)."""
-    gbt = model.stages[-1]
-    imp = gbt.featureImportances.toArray().tolist()
-    names = feature_names(model)
-    rows = sorted(zip(names, imp), key=lambda t: (-t[1], t[0]))[:top]
-    return spark.createDataFrame([(n, float(v), i + 1) for i, (n, v) in enumerate(rows)],
-                                 "feature string, importance double, rank int")
-
-
-def sample_param_maps(gbt: GBTClassifier, n_iter: int, seed: int = 42,
-                      ranges: Mapping | None = None) -> list:
-    """Seeded random draws over the search ranges (a list of param maps)."""
+def tree_table(spark: SparkSession, path: str) -> DataFrame:
+    """A saved booster's nodes as rows: tree, node, left, right (-1 in leaves),
+    feature (-1 in leaves), gain, cover (weight of the rows that reach it), prediction,
+    weight (of the tree)."""
+    stages = spark.read.json(f"{path}/stages/*/metadata").select(
+        F.input_file_name().alias("file"), "class").where(F.col("class").contains("GBT")).collect()
+    stage = stages[0]["file"].split("/metadata/")[0]
+    nodes = spark.read.parquet(f"{stage}/data")
+    trees = spark.read.parquet(f"{stage}/treesMetadata").toDF("treeID", "settings", "weight").drop("settings")
+    n = F.col("nodeData")
+    return nodes.join(trees, "treeID").select(
+        F.col("treeID").alias("tree"), n["id"].alias("node"), n["leftChild"].alias("left"),
+        n["rightChild"].alias("right"), n["split"]["featureIndex"].alias("feature"), n["gain"].alias("gain"),
+        n["impurityStats"][0].alias("cover"), n["prediction"].alias("prediction"), "weight")
+
+
+def feature_importance(spark: SparkSession, path: str, names: Sequence[str], top: int | None = 10) -> DataFrame:
+    """(feature, importance, rank) of a saved booster, from its table of nodes: the
+    gain of each split times the weight of its rows, added up by feature and
+    normalised to 1. Features that no tree splits on have 0."""
+    gains = tree_table(spark, path).where("left >= 0").groupBy("feature").agg(
+        F.sum(F.col("gain") * F.col("cover")).alias("_g"))
+    every = spark.createDataFrame(list(enumerate(names)), "_i int, name string")
+    g = every.join(gains, F.col("_i") == F.col("feature"), "left").select(
+        F.col("name").alias("feature"), F.coalesce("_g", F.lit(0.0)).alias("_g"))
+    g = with_totals(g, g, {"_t": F.sum("_g")}).select(
+        "feature", F.coalesce(F.try_divide(F.col("_g"), F.col("_t")), F.lit(0.0)).alias("importance"))
+    # a row a feature
+    rank = F.row_number().over(Window.orderBy(F.desc("importance"), "feature"))
+    g = g.withColumn("rank", rank)
+    return g if top is None else g.where(F.col("rank") <= top)
+
+
+def sample_params(n_iter: int, seed: int = 42, ranges: Mapping | None = None) -> list[dict]:
+    """Seeded random draws over the search ranges, one dict of settings a candidate."""
     rng = random.Random(seed)
-    rr = dict(SEARCH_RANGES)
-    rr.update(ranges or {})
-    maps = []
+    rr = dict(SEARCH_RANGES) | dict(ranges or {})
+    out = []
     for _ in range(n_iter):
-        b = ParamGridBuilder()
+        own = {}
         for name, (lo, hi) in rr.items():
-            param = gbt.getParam(name)
-            if isinstance(lo, int) and isinstance(hi, int):
-                v = rng.randrange(lo, hi)
-            else:
-                v = rng.uniform(lo, hi)
-            if name == "featureSubsetStrategy":
-                v = f"{v:.2f}"
-            b = b.baseOn({param: v})
-        maps.extend(b.build())
-    return maps
-
-
-def random_search(train: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[str], *,
-                  fold_col: str, n_iter: int = 80, parallelism: int = 2, seed: int = 42,
-                  ranges: Mapping | None = None, weight_col: str | None = "weight",
-                  label_col: str = "target"):
-    """Cross-validated random search scored by F1 of the positive class.
-    Returns (best PipelineModel, results DataFrame)."""
-    train = prepare_label(train, label_col)
-    pipe = build_pipeline(cat_cols, num_cols, {"maxBins": bins_for(train, cat_cols)}, weight_col, label_col)
-    gbt = pipe.getStages()[-1]
-    maps = sample_param_maps(gbt, n_iter, seed, ranges)
-    ev = MulticlassClassificationEvaluator(labelCol=label_col, metricName="fMeasureByLabel",
-                                           metricLabel=1.0)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
-                        parallelism=parallelism, seed=seed)
-    m = cv.fit(train)
-    spark = train.sparkSession
-    rows = []
-    for i, (pm, score) in enumerate(zip(maps, m.avgMetrics)):
-        rows.append((i, {p.name: str(v) for p, v in pm.items()}, float(score)))
-    res = spark.createDataFrame(rows, "candidate int, params map<string,string>, mean_f1 double")
-    from pyspark.sql import Window
-    res = res.withColumn("rank", F.rank().over(Window.orderBy(F.desc("mean_f1"))))
-    return m.bestModel, res
+            whole = isinstance(lo, int) and isinstance(hi, int)
+            v = rng.randrange(lo, hi) if whole else rng.uniform(lo, hi)
+            own[name] = f"{v:.2f}" if name == "featureSubsetStrategy" else v
+        out.append(own)
+    return out

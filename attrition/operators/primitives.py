@@ -14,19 +14,21 @@ R — distributed running sums. A global ``Window.orderBy`` without
 3. those offsets are joined back, and a window partitioned by bucket adds
    the within-bucket running sum.
 
-For raw rows with ties, each (score, salt) pair is a sub-group where salt
-is a hex prefix of ``md5(id)``: the total order is
-``(score, md5(id), id)`` so a hot score is split into up to 16^k
-contiguous pieces, each its own window partition.
+Raw rows with ties are dealt by range of the total order ``(score, md5(id),
+id)``, so a hot score is split like any other range: one shuffle, running sums in
+the order of each part, and a small table of what the parts before hold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import shared_dir
 
@@ -93,17 +95,18 @@ def _ordered(cols: Sequence[tuple[str, bool]]) -> list[Column]:
 
 def prefix_sums(df: DataFrame, order: Sequence[tuple[str, bool]], sums: Sequence[str],
                 by: Sequence[str] = (), bucket: Column | str = "quantile",
-                prefix: str = "cum_") -> DataFrame:
+                prefix: str = "cum_", ready: bool = False) -> DataFrame:
     """Inclusive running sums of ``sums`` over rows that are unique per
     (by, order). ``bucket`` is a Column that is monotone in the first order
-    column, or ``"quantile"``: then ``df`` is materialised (a job) and cut by its own
-    quantiles, so any range of values is spread evenly. A NULL group is a group like any other.
+    column, or ``"quantile"``: then ``df`` is materialised (a job; not if it is ``ready``,
+    which says that it is materialised) and cut by its own quantiles, so any range of
+    values is spread evenly. A NULL group is a group like any other.
     """
     first, first_asc = order[0]
     if isinstance(bucket, str):
         if bucket != "quantile":
             raise ValueError(bucket)
-        g = quantile_buckets(materialize(df), first)
+        g = quantile_buckets(df if ready else materialize(df), first)
     else:
         g = df.withColumn("_b", bucket)
 
@@ -119,32 +122,53 @@ def prefix_sums(df: DataFrame, order: Sequence[tuple[str, bool]], sums: Sequence
 
 
 def running_rows(df: DataFrame, *, order: str, id_col: str, values: Sequence[str] = (),
-                 ascending: bool = False, by: Sequence[str] = (), salt_hex: int = 3,
-                 prefix: str = "cum_") -> DataFrame:
+                 ascending: bool = False, by: Sequence[str] = (), prefix: str = "cum_") -> DataFrame:
     """Per-row position and running sums in the order (order, md5(id), id).
 
-    Adds ``pos`` (1-based position within ``by``) and ``cum_<v>`` for each
-    value (inclusive). Ties on ``order`` are split into salted sub-groups,
-    so no task holds more than a 16^-salt_hex share of a hot value.
+    Adds ``pos`` (1-based position within ``by``) and ``cum_<v>`` for each value
+    (inclusive; a NULL adds nothing). Rows move once, by range of (by, order, md5(id),
+    id), and are materialised (a job); each task sums in the order of its own rows, and
+    what the parts before hold comes from a table of a row a part and group.
     """
-    keys = [*by, order, "_salt"]
-    t = (df.withColumn("_tie", F.md5(F.col(id_col).cast("string")))
-         .withColumn("_salt", F.substring("_tie", 1, salt_hex)))
-    groups = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                  *[F.sum(v).alias(f"_g_{v}") for v in values])
-    sums = ["_n", *[f"_g_{v}" for v in values]]
-    groups = prefix_sums(groups, [(order, ascending), ("_salt", True)], sums, by=by, prefix="_c")
-    offs = groups.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                         *[(F.col(f"_c{s}") - F.col(s)).alias(f"_o{s}") for s in sums])
-    cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    joined = t.join(offs, cond).drop(*[f"_k{i}" for i in range(len(keys))])
-    w = Window.partitionBy(*keys).orderBy("_tie", id_col)
-    wr = w.rowsBetween(UNBOUNDED, CURRENT)
-    out = joined.withColumns({
-        "pos": F.row_number().over(w) + F.col("_o_n"),
-        **{f"{prefix}{v}": F.sum(v).over(wr) + F.col(f"_o_g_{v}") for v in values},
-    })
-    return out.drop("_tie", "_salt", *[f"_o{s}" for s in sums])
+    keys = [*[F.col(b).asc_nulls_first() for b in by], _ordered([(order, ascending)])[0], F.col("_tie"), F.col(id_col)]
+    dealt = df.withColumn("_tie", F.md5(F.col(id_col).cast("string"))).repartitionByRange(*keys) \
+        .sortWithinPartitions(*keys).drop("_tie").withColumn("_part", F.spark_partition_id())
+    whole = {v: isinstance(df.schema[v].dataType, T.IntegralType) for v in values}
+    schema = T.StructType([*dealt.schema.fields, T.StructField("_pos", T.LongType()), *[
+        T.StructField(f"_c_{v}", T.LongType() if whole[v] else T.DoubleType()) for v in values]])
+    names = [f.name for f in schema.fields]
+
+    def run(batches):
+        last, held = None, [0] * (len(values) + 1)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            groups = list(zip(*(batch.column(b).to_pylist() for b in by))) if by else [()] * n
+            edges = [i for i in range(n) if groups[i] != (groups[i - 1] if i else last)] if by else []
+            cols = [np.ones(n, np.int64)] + [
+                np.nan_to_num(batch.column(v).cast(pa.float64()).to_numpy(zero_copy_only=False)) if not whole[v]
+                else batch.column(v).cast(pa.int64()).fill_null(0).to_numpy() for v in values]
+            sums = [np.empty(n, c.dtype) for c in cols]
+            cuts = sorted({0, *edges, n})
+            for a, z in zip(cuts, cuts[1:]):
+                if edges and a >= edges[0]:        # a group begins here
+                    held = [0] * len(cols)
+                for k, c in enumerate(cols):
+                    sums[k][a:z] = np.cumsum(c[a:z]) + held[k]
+                    held[k] = sums[k][z - 1]
+            last = groups[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, sums)], names=names)
+
+    placed = materialize(dealt.mapInArrow(run, schema))
+    ends = placed.groupBy(*by, "_part").agg(F.max("_pos").alias("_o_pos"), *[
+        F.max_by(f"_c_{v}", "_pos").alias(f"_o_{v}") for v in values])
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(UNBOUNDED, -1)
+    starts = ends.select(*by, "_part", *[F.coalesce(F.sum(f"_o_{v}").over(before), F.lit(0)).alias(f"_o_{v}")
+                                         for v in ("pos", *values)])
+    out = join_groups(placed, starts, [*by, "_part"])
+    return out.select(*df.columns, (F.col("_pos") + F.col("_o_pos")).alias("pos"),
+                      *[(F.col(f"_c_{v}") + F.col(f"_o_{v}")).alias(f"{prefix}{v}") for v in values])
 
 
 def with_totals(df: DataFrame, source: DataFrame, aggs: dict[str, Column],
@@ -173,14 +197,14 @@ def same_keys_join(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> Data
 MAX_GROUPS = 100_000
 
 
-def join_groups(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+def join_groups(df: DataFrame, groups: DataFrame, by: Sequence[str], ready: bool = False) -> DataFrame:
     """``df`` with its row of ``groups`` (one row for each key; NULL is a key).
 
-    The group table is materialised and counted (a job): up to ``MAX_GROUPS``
+    The group table is materialised (unless it is ``ready``) and counted (a job): up to ``MAX_GROUPS``
     rows it is broadcast, so that no row of ``df`` moves and a hot key is no
     hot task; a larger one is joined by shuffle.
     """
-    groups = materialize(groups)
+    groups = groups if ready else materialize(groups)
     small = groups.count() <= MAX_GROUPS
     return same_keys_join(df, F.broadcast(groups) if small else groups, by)
 
@@ -198,7 +222,7 @@ def top_sums(df: DataFrame, *, order: str, id_col: str, values: Sequence[str],
     h = materialize(src.groupBy(*by, order).agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(f"_g_{v}") for v in values]))
     sums = ["_n", *[f"_g_{v}" for v in values]]
-    c = with_totals(prefix_sums(h, [(order, False)], sums, by=by), h,
+    c = with_totals(prefix_sums(h, [(order, False)], sums, by=by, ready=True), h,
                     {"_T": F.sum("_n"), **{f"all_{v}": F.sum(f"_g_{v}") for v in values}}, by)
     wanted = F.transform(F.array(*[F.lit(float(p)) for p in fractions]), lambda p, i: F.struct(
         i.alias("i"), p.alias("p"), F.floor(F.col("_T") * p).alias("k")))
@@ -211,7 +235,7 @@ def top_sums(df: DataFrame, *, order: str, id_col: str, values: Sequence[str],
                                 *[F.when(F.col("w.k") > 0, F.col(f"cum__g_{v}") - F.col(f"_g_{v}")).otherwise(
                                     F.lit(0)).alias(f"_b_{v}") for v in values])
                        .select("*", "w.i", "w.p", "w.k").drop("w"))
-    tied = join_groups(src, cuts, [*by, order]).withColumns({
+    tied = join_groups(src, cuts, [*by, order], ready=True).withColumns({
         "_one": F.lit(1), "_tie": F.md5(F.col(id_col).cast("string"))})
     ranked = prefix_sums(tied, [("_tie", True), (id_col, True)], ["_one"], by=[*by, "i"],
                          bucket=hex_bucket("_tie"))
@@ -250,18 +274,20 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
-                    by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+                    by: Sequence[str] = (), weight: str | None = None, ready: bool = False) -> DataFrame:
     """Exact linear-interpolated quantiles (the rule of ``percentile`` /
     ``quantile_cont``) without one task holding every value: a histogram of
     distinct values gets a distributed running count; each histogram row
     then picks, by a narrow array filter, the requested positions it covers.
 
-    ``weight`` names a count column when ``df`` is already a histogram.
-    Returns (by..., pi, p, q).
+    ``weight`` names a count column when ``df`` is already a histogram; one that is
+    materialised and has a row a value is ``ready`` and read as it is. Returns (by..., pi, p, q).
     """
     cnt = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    h = materialize(df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(cnt.alias("_n")))
-    h = with_totals(prefix_sums(h, [(col, True)], ["_n"], by=by), h, {"_tot": F.sum("_n")}, by)
+    h = df.where(F.col(col).isNotNull())
+    h = h.select(*by, col, F.col(weight).alias("_n")) if ready else materialize(
+        h.groupBy(*by, col).agg(cnt.alias("_n")))
+    h = with_totals(prefix_sums(h, [(col, True)], ["_n"], by=by, ready=True), h, {"_tot": F.sum("_n")}, by)
     plist = F.array(*[F.lit(float(p)) for p in probs])
     # positions needed: floor and ceil of (N - 1) * p, tagged with the index
     need = F.transform(plist, lambda p, i: F.struct(

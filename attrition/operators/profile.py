@@ -9,10 +9,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .primitives import exact_quantiles, join_groups, with_totals
+from .draws import poisson
+from .primitives import exact_quantiles, join_groups, same_keys_join, with_totals
 
 
 def _stack(cols: Sequence[str], value_type: str = "double") -> str:
@@ -130,9 +133,9 @@ def kde(df: DataFrame, value: str, group: str, grid: int = 200, cut: float = 3.0
     bandwidth std * n^(-1/5), ``grid`` points over [min - cut*bw,
     max + cut*bw].
 
-    Values are first reduced to (value, count); each distinct value then
-    contributes to the fixed grid by one bounded ``explode`` followed by a
-    partial aggregate — linear in the data, no join of rows with rows.
+    Values are first reduced to (value, count). A task then adds the kernels of its
+    values up in one array of ``grid`` cells a group, so what is shuffled does not
+    grow with the values: ``grid`` numbers a task and group.
     """
     v = df.where(F.col(value).isNotNull())
     h = v.groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
@@ -141,20 +144,32 @@ def kde(df: DataFrame, value: str, group: str, grid: int = 200, cut: float = 3.0
     st = st.withColumn("_bw", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
     st = st.withColumns({"_lo": F.col("_mn") - float(cut) * F.col("_bw"),
                          "_hi": F.col("_mx") + float(cut) * F.col("_bw")})
-    st = st.withColumn("_step", (F.col("_hi") - F.col("_lo")) / float(grid - 1))
     j = join_groups(h, st, [group])  # one stats row per group
-    x = F.when(F.col("i") == grid - 1, F.col("_hi")).otherwise(F.col("_lo") + F.col("i") * F.col("_step"))
-    e = j.select(group, "_c", value, "_n", "_bw", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"),
-                 "_lo", "_hi", "_step")
-    e = e.withColumn("x", x)
-    z = (F.col("x") - F.col(value)) / F.col("_bw")
-    dens = e.groupBy(group, "i").agg(
-        F.first("x").alias("x"),
-        F.sum(F.col("_c") * F.exp(-0.5 * z * z)).alias("_s"), F.first("_n").alias("_n"),
-        F.first("_bw").alias("_bw"))
-    norm = F.col("_n") * F.col("_bw") * math.sqrt(2 * math.pi)
-    return dens.select(group, F.col("i").cast("int").alias("i"), F.col("x").alias("x"),
-                       (F.col("_s") / norm).alias("density"))
+
+    def sums(batches):
+        cells: dict = {}
+        for batch in batches:
+            for g in batch[group].unique():
+                own = batch[batch[group].isna() if g is None or g != g else batch[group] == g]
+                n, bw, lo, hi = (own[c].iloc[0] for c in ("_n", "_bw", "_lo", "_hi"))
+                if bw is None or not bw > 0:       # a single value has no density
+                    continue
+                x = lo + np.arange(grid) * ((hi - lo) / float(grid - 1))
+                x[-1] = hi
+                key = None if g is None or g != g else g
+                total = cells.setdefault(key, (x, np.zeros(grid), n, bw))[1]
+                values, counts = own[value].to_numpy(float), own["_c"].to_numpy(float)
+                for at in range(0, len(values), 4096):
+                    z = (x[None, :] - values[at:at + 4096, None]) / bw
+                    total += counts[at:at + 4096] @ np.exp(-0.5 * z * z)
+        for g, (x, total, n, bw) in cells.items():
+            yield pd.DataFrame({"_g": [g] * grid, "i": np.arange(grid, dtype=np.int32), "x": x,
+                                "_s": total / (n * bw * math.sqrt(2 * math.pi))})
+
+    kind = dict(df.dtypes)[group]
+    parts = j.mapInPandas(sums, f"_g {kind}, i int, x double, _s double")
+    return parts.groupBy("_g", "i").agg(F.first("x").alias("x"), F.sum("_s").alias("density")).select(
+        F.col("_g").alias(group), "i", "x", "density")
 
 
 def cross_counts(df: DataFrame, a: str, b: str, order: Sequence[str] | None = None) -> DataFrame:
@@ -191,39 +206,40 @@ def mean_bootstrap_ci(df: DataFrame, value: str, group: str, replicates: int = 1
                       level: float = 0.95) -> DataFrame:
     """Bootstrap interval of the group mean by Poisson resampling.
 
-    Each (group, value) cell of the histogram gets a Poisson(count) weight
-    per replicate (sum of per-row Poisson(1) weights), drawn from a seed
-    derived from the cell, so the result does not depend on partitioning.
-    A task adds its cells up and emits ``replicates`` rows per group; the
-    replicate means are a grouped aggregate and the interval is a
-    percentile over ``replicates`` rows per group.
+    Each (group, value) cell of the histogram gets a Poisson(count) weight per
+    replicate (the sum of a Poisson(1) weight a row). Draws come from a counter
+    (``draws``): a function of the cell and the replicate, computed for blocks of
+    cells at once and independent of the layout. A task adds its cells up and emits
+    ``replicates`` rows per group; the replicate means are a grouped aggregate and
+    the interval is a percentile over ``replicates`` rows per group.
     """
-    import numpy as np
-    import pandas as pd
-
     h = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
-    h = h.withColumn("_seed", F.abs(F.xxhash64(F.col(group).cast("string"),
-                                              F.col(value).cast("string"), F.lit(seed))))
+    h = h.select(group, F.col(value).cast("double").alias("_v"), "_c", F.xxhash64(
+        F.col(group).cast("string"), F.col(value).cast("string"), F.lit(seed)).alias("_seed"))
     B = int(replicates)
 
     def draw(batches):
         # sums of weights and of weighted values for each group of the task and replicate
         sums: dict = {}
-        for pdf in batches:
-            for g, v, c, s in zip(pdf[group], pdf[value], pdf["_c"], pdf["_seed"]):
-                w = np.random.default_rng(int(s)).poisson(float(c), size=B)
-                own = sums.setdefault(g, np.zeros((2, B)))
-                own[0] += w
-                own[1] += w * float(v)
+        for batch in batches:
+            groups, names = pd.factorize(batch[group], use_na_sentinel=False)
+            for k, name in enumerate(names):
+                rows = np.flatnonzero(groups == k)
+                own = sums.setdefault(None if name is None or name != name else name, np.zeros((2, B)))
+                for at in range(0, len(rows), 1024):
+                    block = batch.iloc[rows[at:at + 1024]]
+                    w = poisson(block["_c"].to_numpy(), block["_seed"].to_numpy(), B)
+                    own[0] += w.sum(axis=0)
+                    own[1] += block["_v"].to_numpy() @ w
         for g, (w, wv) in sums.items():
-            yield pd.DataFrame({"g": g, "b": np.arange(B, dtype=np.int32), "w": w.astype(np.int64), "wv": wv})
+            yield pd.DataFrame({"g": [g] * B, "b": np.arange(B, dtype=np.int32), "w": w.astype(np.int64), "wv": wv})
 
     schema = f"g {dict(df.dtypes)[group]}, b int, w long, wv double"
     reps = h.mapInPandas(draw, schema).groupBy("g", "b").agg(
         F.try_divide(F.sum("wv"), F.sum("w").cast("double")).alias("m"))
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
-    ci = reps.groupBy("g").agg(F.percentile("m", F.array(F.lit(lo), F.lit(hi))).alias("_q"))
+    ci = reps.groupBy(F.col("g").alias(group)).agg(F.percentile("m", F.array(F.lit(lo), F.lit(hi))).alias("_q"))
     means = df.groupBy(group).agg(F.avg(value).alias("mean"))
-    return means.join(ci.withColumnRenamed("g", group), group).select(
+    return same_keys_join(means, ci, [group]).select(
         group, F.col("mean").alias("mean"), F.col("_q")[0].alias("ci_lo"),
         F.col("_q")[1].alias("ci_hi"))

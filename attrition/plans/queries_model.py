@@ -84,9 +84,8 @@ def _encode_sql() -> str:
 @query("categorical_encode", _encode_sql())
 def q_categorical_encode(spark, sf):
     m = model_df(spark, sf)
-    enc = ml.categorical_encoder(CATEGORICAL_COLUMNS).fit(m).transform(m)
-    return enc.select("customerid", *[F.col(c + "_idx").cast("int").alias(c + "_idx")
-                                      for c in CATEGORICAL_COLUMNS])
+    enc = ml.categorical_encode(m, ml.vocabulary(m, CATEGORICAL_COLUMNS), CATEGORICAL_COLUMNS)
+    return enc.select("customerid", *[c + "_idx" for c in CATEGORICAL_COLUMNS])
 
 
 @query("class_weight", with_views("""
@@ -107,7 +106,8 @@ SELECT 42 AS seed, 0.8e0 AS min_recall, (SELECT t FROM thr) AS threshold,
        (SELECT ap FROM per WHERE split = 'test') AS ap_test,
        (SELECT ks FROM per WHERE split = 'test') AS ks_test,
        round(coalesce(tp / NULLIF(tp + fp, 0), 0e0), 6) AS precision_test,
-       round(coalesce(tp / NULLIF(tp + fn, 0), 0e0), 6) AS recall_test, tn, fp, fn, tp
+       round(coalesce(tp / NULLIF(tp + fn, 0), 0e0), 6) AS recall_test, tn, fp, fn, tp,
+       (SELECT r FROM rep WHERE split = 'test') AS report_test, (SELECT r FROM rep WHERE split = 'val') AS report_val
 FROM k"""
 METRICS_CTES = [
     ("sps", "SELECT s.split, m.target AS label, m.score FROM scored m JOIN (" + SPLIT_SQL
@@ -130,13 +130,26 @@ METRICS_CTES = [
           " count(*) FILTER (WHERE label = 0 AND score >= t) AS fp,"
           " count(*) FILTER (WHERE label = 1 AND score < t) AS fn,"
           " count(*) FILTER (WHERE label = 1 AND score >= t) AS tp FROM sps, thr WHERE split = 'test'"),
+    ("rep0", "SELECT split, count(*)::DOUBLE AS n, count(*) FILTER (WHERE label = 0)::DOUBLE AS s0,"
+             " count(*) FILTER (WHERE label = 1)::DOUBLE AS s1, count(*) FILTER (WHERE score < t)::DOUBLE AS g0,"
+             " count(*) FILTER (WHERE score >= t)::DOUBLE AS g1,"
+             " count(*) FILTER (WHERE label = 0 AND score < t)::DOUBLE AS tn,"
+             " count(*) FILTER (WHERE label = 1 AND score >= t)::DOUBLE AS tp FROM sps, thr GROUP BY split"),
+    ("rep1", "SELECT *, coalesce(tn / NULLIF(g0, 0), 0) AS p0, coalesce(tn / NULLIF(s0, 0), 0) AS r0,"
+             " coalesce(tp / NULLIF(g1, 0), 0) AS p1, coalesce(tp / NULLIF(s1, 0), 0) AS r1 FROM rep0"),
+    ("rep2", "SELECT *, coalesce(2 * p0 * r0 / NULLIF(p0 + r0, 0), 0) AS f0,"
+             " coalesce(2 * p1 * r1 / NULLIF(p1 + r1, 0), 0) AS f1 FROM rep1"),
+    ("rep", "SELECT split, list_transform([p0, r0, f0, s0, p1, r1, f1, s1, NULL, NULL, (tn + tp) / n, n,"
+            " (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n, (p0 * s0 + p1 * s1) / n, (r0 * s0 + r1 * s1) / n,"
+            " (f0 * s0 + f1 * s1) / n, n], lambda x: round(x, 6)) AS r FROM rep2"),
 ]
 
 
 def metrics_bundle(df, *, label: str = "label", score: str = "score", split: str = "split",
                    min_recall: float = 0.8, seed: int = 42):
     """One record: seed, recall floor, validation threshold, AUC / AP per split,
-    test KS, precision, recall and confusion counts.
+    test KS, precision, recall and confusion counts, and the reports by class of the
+    test and validation split (``evaluate.report``).
 
     One curve over all splits is written once; everything is an aggregate of it, as
     a score's prediction follows from the score alone."""
@@ -158,15 +171,21 @@ def metrics_bundle(df, *, label: str = "label", score: str = "score", split: str
                                   ("ap", "test"), ("ks", "test")]])
     t = wide.select("threshold").scalar()
     hit = F.col("threshold") >= t
-    cells = c.where(F.col("split") == "test").agg(*[
+    cells = c.where(F.col("split").isin("test", "val")).groupBy("split").agg(*[
         F.coalesce(F.sum(F.when(hit if p else ~hit, F.col(y))), F.lit(0)).alias(n)
         for n, p, y in (("tn", 0, "neg"), ("fp", 1, "neg"), ("fn", 0, "pos"), ("tp", 1, "pos"))])
+    counts = [F.col(n) for n in ("tn", "fp", "fn", "tp")]
+    of = {x: F.max(F.when(F.col("split") == x, F.struct(*counts, ev.report(*counts).alias("report")))).alias(x)
+          for x in ("test", "val")}
     one = wide.select(F.struct(*wide.columns).alias("w")).scalar()
-    return cells.withColumn("w", one).select(
+    both = cells.agg(*of.values()).withColumn("w", one).select(
+        "w", *[F.coalesce(f"test.{n}", F.lit(0)).alias(n) for n in ("tn", "fp", "fn", "tp")],
+        *[F.col(f"{x}.report").alias(f"report_{x}") for x in of])
+    return both.select(
         F.lit(seed).alias("seed"), F.lit(min_recall).alias("min_recall"), *[f"w.{x}" for x in wide.columns],
         F.coalesce(div(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0)).alias("precision_test"),
         F.coalesce(div(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0)).alias("recall_test"),
-        "tn", "fp", "fn", "tp")
+        "tn", "fp", "fn", "tp", "report_test", "report_val")
 
 
 @query("metrics_bundle", with_views(METRICS_SQL, *METRICS_CTES))
@@ -174,7 +193,10 @@ def q_metrics_bundle(spark, sf):
     s = split_df(spark, sf).select("customerid", "split")
     d = scored_df(spark, sf).join(s, "customerid").select(
         "split", F.col("target").alias("label"), "score")
-    return metrics_bundle(d)
+    # the reports as numbers: precision, recall, f1 and support of each of their rows
+    return metrics_bundle(d).withColumns({c: F.flatten(F.transform(c, lambda r: F.array(*[
+        F.round(r[x].cast("double"), 6) for x in ("precision", "recall", "f1", "support")])))
+        for c in ("report_test", "report_val")})
 
 
 # ---------------------------------------------------------------- model-backed (rows checks)
@@ -231,10 +253,25 @@ def q_fit_boosted(spark, sf):
     return ev.roc_auc(s, by=["split"])
 
 
+_SAVED: dict = {}
+
+
+def _saved(spark, sf) -> str:
+    """Where the fitted model is saved; once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SAVED:
+        _SAVED[key] = scratch_path(spark, f"model-{uuid.uuid4().hex[:12]}")
+        io.save_model(fitted(spark, sf)[0], _SAVED[key])
+    return _SAVED[key]
+
+
+def _importance(spark, sf, top):
+    return ml.feature_importance(spark, _saved(spark, sf), ml.feature_names(fitted(spark, sf)[0]), top)
+
+
 @query("feature_importance")
 def q_feature_importance(spark, sf):
-    model, _ = fitted(spark, sf)
-    return ml.feature_importance(spark, model, top=10)
+    return _importance(spark, sf, 10)
 
 
 @query("score_customers")
@@ -414,6 +451,31 @@ def q_contributions_check(spark, sf):
     return _mismatches(sums, want, "customerid", F.abs(F.col("total") - F.col("w_margin")) > 1e-9)
 
 
+_FEATURE_ROWS = (f"SELECT CAST({len(NUM_FEATURES) + len(CATEGORICAL_COLUMNS)} AS BIGINT) AS rows,"
+                 " CAST(0 AS BIGINT) AS mismatches")
+
+
+@query("feature_importance_check", _FEATURE_ROWS)
+def q_feature_importance_check(spark, sf):
+    """Importances added up from the saved nodes against the fitted model's own vector."""
+    model, _ = fitted(spark, sf)
+    own = [float(v) for v in model.stages[-1].featureImportances.toArray()]
+    want = spark.createDataFrame(list(zip(ml.feature_names(model), own)), "feature string, importance double")
+    return _mismatches(_importance(spark, sf, None).drop("rank"), want, "feature",
+                       F.abs(F.col("importance") - F.col("w_importance")) > 1e-9)
+
+
+@query("contributions_global_check", _FEATURE_ROWS)
+def q_contributions_global_check(spark, sf):
+    """Means added up inside the tasks against means over the long table."""
+    model, _ = fitted(spark, sf)
+    m = model_df(spark, sf)
+    want = xp.contributions(m, model, id_col="customerid").where(F.col("feature") != "__bias__").groupBy("feature").agg(
+        F.avg(F.abs("contribution")).alias("mean_abs"))
+    got = xp.contributions_global(m, model, id_col="customerid", top=None).drop("rank")
+    return _mismatches(got, want, "feature", F.abs(F.col("mean_abs") - F.col("w_mean_abs")) > 1e-9)
+
+
 @query("model_top_factors")
 def q_model_top_factors(spark, sf):
     """The five strongest contributions of the model to every customer's score."""

@@ -74,6 +74,20 @@ def q_mean_by_target_ci(spark, sf):
     return pf.mean_bootstrap_ci(model_df(spark, sf), "tenure", "target", replicates=1000, seed=42)
 
 
+@query("mean_by_target_ci_check", with_views("""
+SELECT target, n, CAST(0 AS BIGINT) AS mismatches FROM (SELECT target, count(tenure) AS n FROM model GROUP BY target)"""))
+def q_mean_by_target_ci_check(spark, sf):
+    """The interval lies around the mean, and its half width is within 15 % of
+    1.96 standard errors, where the bootstrap of so many rows must lie."""
+    m = model_df(spark, sf)
+    ci = pf.mean_bootstrap_ci(m, "tenure", "target", replicates=1000, seed=42)
+    d = pf.mean_by_group(m, "tenure", "target").withColumnRenamed("mean", "m").join(ci, "target")
+    half = 1.96 * F.col("std") / F.sqrt("n")
+    near = (F.abs(F.col("mean") - F.col("ci_lo") - half) < 0.15 * half) & (
+        F.abs(F.col("ci_hi") - F.col("mean") - half) < 0.15 * half)
+    return d.select("target", "n", (~near).cast("long").alias("mismatches"))
+
+
 def _box_sql(src_cte: str, keys: list[str]) -> str:
     k = ", ".join(keys)
     using = f" USING ({k})" if keys else ""
