@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-PART_BYTES = 1 << 21   # text that is hashed at once; a longer text goes alone
+PART_BYTES = 1 << 18   # text that is hashed at once; a longer text goes alone
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
