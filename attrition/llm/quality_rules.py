@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, read_table
+from .common import WORD, checkpointed, read_table
 
 # Fixed values of the base rules.
 SYMBOLS = "[#*$%&|<>]"
@@ -197,9 +197,10 @@ def learn_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most")
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select(
         F.col("doc_id").alias("_id"), (F.col("quality") == 0).alias("_bad"))
-    # bounded by max_labelled rows of two short columns
-    some = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(
-        F.broadcast(sample), "_id").select("_id", "_bad", statistics(F.col("_t")).alias("_s"))
+    # bounded by max_labelled rows of two short columns; an id that repeats teaches once, by its least text
+    some = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).join(
+        F.broadcast(sample), "_id").groupBy("_id", "_bad").agg(F.min("_t").alias("_t"))
+    some = checkpointed(some.select("_id", "_bad", statistics(F.col("_t")).alias("_s")))
     of = features(F.col("_s"))
     got = some.where(~base_failed(F.col("_s"))).select(
         "_id", "_bad", *[c.alias(f) for f, c in of.items()]).collect()
