@@ -127,6 +127,10 @@ def _blocks(docs: DataFrame, signatures: DataFrame, words: int, percent: int) ->
     path = new_path(spark, "prefix-tokens")
     _tokens(docs, words, percent, last).write.parquet(path)
     rows = spark.read.parquet(path)
+    several = rows.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("token")
+    path = new_path(spark, "shared-tokens")
+    rows.join(several, "token").write.parquet(path)      # few of them all
+    rows = spark.read.parquet(path)
     found = rows.groupBy("token").agg(
         F.min("set").alias("block"), F.max("set").alias("other"), F.count(F.lit(1)).alias("times"),
         F.min("n").alias("small"), F.max("n").alias("large"), F.min("rest").alias("rest"))
