@@ -17,7 +17,7 @@ anywhere else. At scale only a small rest of the corpus needs a suffix index:
    of one suffix is dropped at once, and expansion stops at ``length``: what is
    left are windows that occur twice.
    Groups of more than ``GROUP`` runs are too large for one portion: their windows
-   are counted by hash in Spark.
+   are counted in Spark, by the hashes of their anchor and of all their bytes.
 4. Each document gets its intervals, and its remaining bytes.
 """
 
@@ -35,8 +35,8 @@ from .shingles import _BYTE, _powers, mix
 
 LENGTH = 200
 GRAM = 64
-PART_BYTES = 1 << 20      # text that is scanned at once; a longer text goes in pieces
-PORTION = 1 << 20         # text that gets one suffix order
+PART_BYTES = 1 << 18      # text that is scanned at once; a longer text goes in pieces
+PORTION = 1 << 19         # text that gets one suffix order
 GROUP = 8_192             # runs of one anchor in a portion (of 336 bytes at most, so under 3 MB)
 PLACE = np.uint64((1 << 24) - 1)
 
@@ -192,34 +192,62 @@ def _meet(rows: DataFrame) -> DataFrame:
         meet, "kind long, anchor long, " + RUN.format(id=kind.simpleString()))
 
 
+def _suffix_order(raw: np.ndarray, length: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """(suffix array by the first ``length`` symbols or more, size, names): ``names`` tell,
+    by suffix, which suffixes share their first ``size`` symbols, at least half of ``length``.
+
+    Prefix doubling; a suffix that nothing else begins like any more keeps its place, so
+    each round sorts only what is still alike.
+    """
+    n = len(raw)
+    wide = np.concatenate([raw, np.zeros(6, raw.dtype)])
+    key = np.zeros(n, np.uint64)
+    for k in range(7):
+        key = (key << np.uint64(9)) | wide[k:k + n]
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    del key, wide
+    first = np.flatnonzero(new).astype(np.int32)
+    rank = np.empty(n, np.int32)
+    rank[order] = first[np.cumsum(new) - 1]
+    depth, seeds = 7, (1, raw.astype(np.int32)) if length < 7 else None
+    while depth < length + 1:
+        if depth * 2 >= length and seeds is None:
+            seeds = (depth, rank.copy())
+        alike = ~new | np.concatenate([~new[1:], [False]])
+        at = np.flatnonzero(alike)                          # places whose suffix is like a neighbour's
+        if not len(at):
+            break
+        own = order[at]
+        behind = own + depth
+        pair = rank[own].astype(np.int64) * (n + 1)
+        inside = behind < n
+        pair[inside] += rank[behind[inside]] + 1
+        by = np.argsort(pair, kind="stable")
+        own, pair = own[by], pair[by]
+        order[at] = own
+        lead = np.concatenate([[True], pair[1:] != pair[:-1]])
+        rank[own] = at[np.flatnonzero(lead)][np.cumsum(lead) - 1]
+        new[at] = lead
+        depth *= 2
+    return order, *(seeds or (depth, rank))
+
+
 def repeated_windows(texts: list[bytes], length: int) -> list[np.ndarray]:
     """For each text the starts of its windows of ``length`` bytes that occur more
     than once in all texts."""
-    raw = np.concatenate([np.frombuffer(t + b"\0", np.uint8) for t in texts]).astype(np.uint64) + np.uint64(1)
+    raw = np.concatenate([np.frombuffer(t + b"\0", np.uint8) for t in texts]).astype(np.uint16) + np.uint16(1)
     sizes = np.array([len(t) + 1 for t in texts])
     ends = np.cumsum(sizes)
     raw[ends - 1] = 0                       # the end of a text
     n = len(raw)
-    # suffix order by the first `depth` symbols, doubled until it covers `length`
-    padded = np.concatenate([raw, np.zeros(7, np.uint64)])
-    key = np.zeros(n, np.uint64)
-    for k in range(7):
-        key = (key << np.uint64(9)) | padded[k:k + n]
-    depth, seeds = 7, (1, raw.astype(np.int64)) if length < 7 else None
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    while depth < length + 1:
-        if depth * 2 >= length and seeds is None:
-            seeds = (depth, rank)
-        behind = np.concatenate([rank[depth:], np.full(min(depth, n), -1)])[:n] + 1
-        rank = np.unique(rank * (n + 1) + behind, return_inverse=True)[1].astype(np.int64)
-        depth *= 2
-    order = np.argsort(rank, kind="stable")            # suffix array
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    order, size, names = _suffix_order(raw, length)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     after = place[np.minimum(order + 1, n - 1)]         # suffix without its first symbol
     symbol = raw[order]                                 # which backward extension puts before it
     # intervals of suffixes with a common prefix, of two suffixes or more
-    size, names = seeds
     interval = names[order]
     alive = np.arange(n)
 
@@ -229,8 +257,8 @@ def repeated_windows(texts: list[bytes], length: int) -> list[np.ndarray]:
         fresh = np.cumsum(np.concatenate([[True], ~same])) - 1
         return alive[keep], fresh[keep]
 
-    alive, name = expanded(alive, interval, np.zeros(n, np.int64)) if n > 1 else (alive[:0], alive[:0])
-    interval = np.full(n, -1)
+    alive, name = expanded(alive, interval, np.zeros(n, np.int8)) if n > 1 else (alive[:0], alive[:0])
+    interval = np.full(n, -1, np.int32)
     interval[alive] = name
     # suffixes whose tail is alive may be alive one symbol longer
     while size < length and len(alive):
@@ -278,7 +306,7 @@ def _compare(mixed: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             if len(portion) > 1:
                 for row, starts in zip(portion, repeated_windows([r[5] for r in portion], length)):
                     if row[1] == 1:
-                        out.extend((row[2], row[3], row[4] + a, row[4] + b, None) for a, b in _spans(starts, length))
+                        out.extend((row[2], row[3], row[4] + a, row[4] + b, None, None) for a, b in _spans(starts, length))
             portion, size = [], 0
 
         def windows(rows):
@@ -287,8 +315,8 @@ def _compare(mixed: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                 total, inverse = _hashes(text)
                 m = len(text) - length + 1
                 h = mix((total[length:length + m] - total[:m]) * inverse[:m]).view(np.int64).tolist()
-                out.extend((r[2], r[3], r[4] + i, r[4] + i + length, x) if r[1] == 1 else
-                           (r[2], None, r[4] + i, None, x) for i, x in enumerate(h))
+                out.extend((r[2], r[3], r[4] + i, r[4] + i + length, r[0], x) if r[1] == 1 else
+                           (r[2], None, r[4] + i, None, r[0], x) for i, x in enumerate(h))
 
         def end_group():
             nonlocal group, size, large
@@ -305,7 +333,7 @@ def _compare(mixed: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             cols = list(zip(*out))
             return pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], ids), *[pa.array(c, pa.int64()) for c in cols[1:]]],
-                names=["doc_id", "text_hash", "begin", "end", "window"])
+                names=["doc_id", "text_hash", "begin", "end", "anchor", "window"])
 
         ids = None
         for batch in batches:
@@ -327,7 +355,7 @@ def _compare(mixed: DataFrame, docs: DataFrame, length: int) -> DataFrame:
             yield table()
 
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
-        compare, f"doc_id {kind}, text_hash long, begin long, end long, window long")
+        compare, f"doc_id {kind}, text_hash long, begin long, end long, anchor long, window long")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -344,9 +372,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     _compare(runs.where("kind > 0"), docs, length).write.parquet(path)
     found = spark.read.parquet(path)
     counted = found.where("window IS NOT NULL")
-    again = counted.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
-    return whole.unionByName(found.where("window IS NULL").drop("window")).unionByName(
-        counted.where("text_hash IS NOT NULL").join(again, "window").drop("window"))
+    # equal in the hashes of anchor and window, 128 bits in all
+    again = counted.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return whole.unionByName(found.where("window IS NULL").drop("anchor", "window")).unionByName(
+        counted.where("text_hash IS NOT NULL").join(again, ["anchor", "window"]).drop("anchor", "window"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
