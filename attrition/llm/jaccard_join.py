@@ -117,15 +117,17 @@ def _tokens(docs: DataFrame, words: int, percent: int, last: np.ndarray) -> Data
     return docs.select("text").mapInArrow(run, "token long, set long, n int, rest int")
 
 
-def _blocks(docs: DataFrame, signatures: DataFrame, words: int, percent: int) -> DataFrame:
-    """(block, set): all pairs of sets that may link are in a block together."""
+def _blocks(docs: DataFrame, signatures: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(block, set): all pairs of sets that may link are in a block together. Prefixes
+    come from the rows that stand for a class (and few others, which add nothing)."""
     spark = docs.sparkSession
     often = signatures.where("often IS NOT NULL").select(
         F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy(F.col("x.often").alias("token")).agg(
         F.sum("x.times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT)
     last = np.sort(np.array([r["token"] for r in often.select("token").collect()], np.int64).view(np.uint64))
     path = new_path(spark, "prefix-tokens")
-    _tokens(docs, words, percent, last).write.parquet(path)
+    some = sieved(docs, "doc_id", classes, "doc_id").where("__maybe")
+    _tokens(some, words, percent, last).write.parquet(path)
     rows = spark.read.parquet(path)
     several = rows.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("token")
     path = new_path(spark, "shared-tokens")
@@ -281,7 +283,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     signatures = checkpointed(_signatures(docs, words, percent))
     classes = checkpointed(signatures.where("n > 0").groupBy("set").agg(
         F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bits").alias("bits")))
-    blocks = checkpointed(_blocks(docs, signatures, words, percent))
+    blocks = checkpointed(_blocks(docs, signatures, classes, words, percent))
     sized = blocks.join(classes.select("set", "n"), "set").groupBy("block").agg(
         F.greatest(F.ceil(F.sum("n") / PART_TOKENS), F.ceil(F.count(F.lit(1)) / PART_MEMBERS)).alias("parts"))
     placed = checkpointed(blocks.join(sized, "block").withColumn("part", F.pmod(F.xxhash64("set"), "parts")))
