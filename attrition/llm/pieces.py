@@ -8,8 +8,12 @@ character, so the lattice of a text is a chain of the lattices of its words: the
 best path is the chain of the words' best paths, and the N best differ from it
 only in the N - 1 words whose second path costs least.
 
-Viterbi runs over all new words of a batch at once (numpy); A* runs for the
-few words that an N-best list needs. Both are kept for the words seen last.
+Viterbi runs over all new words of a batch at once (numpy); a word of more than
+``LONG`` characters (base64, a page without blanks) goes alone, in time and memory in
+proportion to its length. A* runs for the few words that an N-best list needs: entries
+are links to the entry they came from, of equal ones that nearest to the goal goes
+first, and no place is expanded more than N times, as no later visit can be among the
+N best. Results are kept for the words seen last.
 """
 
 from __future__ import annotations
@@ -31,7 +35,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 BATCH_CHARS = 1 << 20     # characters that are encoded at once
 CACHE_WORDS = 800_000     # words whose best paths a Python worker keeps
+CACHE_CHARS = 1 << 25     # and their characters
 CACHE_LISTS = 50_000      # words whose N-best lists it keeps
+LONG = 512                # characters from which a word goes alone and has no list kept
 
 MARK = "▁"           # stands for a blank
 NEVER = -1e8              # longer pieces below this score are in no segmentation
@@ -82,50 +88,91 @@ class Vocabulary:
 
     def clear(self) -> None:
         self.at, self.lists = {}, {}
-        self.n_words = 0
+        self.n_words = self.n_chars = 0
         self.ids, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.best, self.gap = np.zeros(0), np.zeros(0)
 
+    def into(self, word: str, end: int) -> list[tuple[int, float, tuple[int, ...]]]:
+        """The edges that end at a place of the word's lattice: start, score, ids; the
+        shortest first."""
+        out = []
+        for start in range(end - 1, max(0, end - self.longest) - 1, -1):
+            got = self.score.get(word[start:end])
+            if got:
+                out.append((start, got[0], (got[1],)))
+            elif start == end - 1:
+                raw = word[start].encode("utf-8", "surrogatepass")
+                out.append((start, self.byte_score * len(raw), tuple(self.byte_ids[b] for b in raw)))
+        return out
+
     def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end of the word's lattice its edges: start, score, ids."""
-        out = [[] for _ in range(len(word) + 1)]
+        """For each end of the word's lattice its edges."""
+        return [[], *(self.into(word, end) for end in range(1, len(word) + 1))]
+
+    def path(self, word: str) -> tuple[list[int], float, float]:
+        """Best ids of a word, their score and that of the second best path (or -inf)."""
+        one, two, back = [0.0], [-np.inf], [(0, ())]
         for end in range(1, len(word) + 1):
-            for start in range(max(0, end - self.longest), end):
-                got = self.score.get(word[start:end])
-                if got:
-                    out[end].append((start, got[0], (got[1],)))
-            if word[end - 1] not in self.score:
-                raw = word[end - 1].encode("utf-8", "surrogatepass")
-                out[end].append((end - 1, self.byte_score * len(raw), tuple(self.byte_ids[b] for b in raw)))
-        return out
+            a = b = -np.inf
+            step = None
+            for start, x, own in self.into(word, end):
+                c, d = one[start] + x, two[start] + x
+                if c > a:
+                    a, b, step = c, max(a, d), (start, own)
+                else:
+                    b = max(b, c, d)
+            one.append(a)
+            two.append(b)
+            back.append(step)
+        at, parts = len(word), []
+        while at:
+            at, own = back[at]
+            parts.append(own)
+        return [i for own in reversed(parts) for i in own], one[-1], two[-1]
 
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of a word with their scores, best first.
 
-        Equal scores go by fewer pieces, then by the order they were met in.
+        Of equal scores the one comes first whose last pieces are the longest.
         """
         if (word, n) in self.lists:
             return self.lists[word, n]
-        edges = self.edges(word)
-        forward = [0.0] + [-np.inf] * len(word)
+        forward = [0.0]
         for end in range(1, len(word) + 1):
-            forward[end] = max((forward[s] + x for s, x, _ in edges[end]), default=-np.inf)
+            forward.append(max(forward[s] + x for s, x, _ in self.into(word, end)))
+        visits = [0] * (len(word) + 1)
+        # entries: minus the score of the best path through, place, number, score behind, ids of the edge, next entry
         count = itertools.count()
-        heap, out = [(-forward[-1], 0, next(count), len(word), 0.0, ())], []
+        heap, out = [(-forward[-1], len(word), next(count), 0.0, (), None)], []
         while heap and len(out) < n:
-            _, pieces, _, at, behind, ids = heapq.heappop(heap)
+            entry = heapq.heappop(heap)
+            _, at, _, behind, _, _ = entry
+            if visits[at] == n:
+                continue
+            visits[at] += 1
             if at == 0:
-                out.append((behind, ids))
+                ids = []
+                while entry is not None:
+                    ids.extend(entry[4])
+                    entry = entry[5]
+                out.append((behind, tuple(ids)))
                 continue
-            for start, score, own in edges[at]:
-                heapq.heappush(heap, (-(forward[start] + score + behind), pieces + 1, next(count),
-                                      start, behind + score, own + ids))
-        self.lists[word, n] = out
+            for start, score, own in self.into(word, at):
+                if visits[start] < n:
+                    heapq.heappush(heap, (-(forward[start] + score + behind), start, next(count), behind + score,
+                                          own, entry))
+        if len(word) <= LONG:
+            self.lists[word, n] = out
         return out
 
     def learn(self, words: list[str]) -> None:
         """Best path, its score and the distance to the second one of new words."""
-        words.sort(key=len, reverse=True)
+        for w in [w for w in words if len(w) > LONG]:
+            ids, best, second = self.path(w)
+            self._keep([w], np.array(ids, np.int32), np.array([len(ids)]), np.array([best]), np.array([best - second]))
+        words = sorted((w for w in words if len(w) <= LONG), key=len, reverse=True)
+        if not words:
+            return
         text = "".join(words)
         chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         size = np.array([len(w) for w in words], np.int64)
@@ -189,14 +236,18 @@ class Vocabulary:
         got, n_ids = got[order], np.bincount(owner, minlength=len(words))
         if self.join(got.tolist()) != text:
             raise ValueError("two pieces share a key")
+        last = place + size
+        self._keep(words, got, n_ids, one[last], one[last] - two[last])
+
+    def _keep(self, words: list[str], ids: np.ndarray, n_ids: np.ndarray, best: np.ndarray, gap: np.ndarray) -> None:
         for i, w in enumerate(words):
             self.at[w] = self.n_words + i
         self.n_words += len(words)
-        last = place + size
-        self.ids = np.concatenate([self.ids, got])
+        self.n_chars += sum(map(len, words))
+        self.ids = np.concatenate([self.ids, ids])
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(n_ids)])
-        self.best = np.concatenate([self.best, one[last]])
-        self.gap = np.concatenate([self.gap, one[last] - two[last]])
+        self.best = np.concatenate([self.best, best])
+        self.gap = np.concatenate([self.gap, gap])
 
     def join(self, ids) -> str:
         """The pieces of ids in a row; runs of bytes are read as UTF-8."""
@@ -220,17 +271,19 @@ def marked(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
-def _lowest_sums(lists: list[list[float]], n: int) -> list[float]:
-    """The n lowest sums of one number from each ascending list that begins with 0."""
-    sums = [0.0]
+def _lowest_sums(lists: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The n lowest sums of one number from each ascending list that begins with 0,
+    and the places of these numbers."""
+    sums = [(0.0, ())]
     for x in lists:
-        sums = sorted(a + b for a in sums for b in x)[:n]
+        sums = sorted(((a + b, (*p, k)) for a, p in sums for k, b in enumerate(x)), key=lambda s: s[0])[:n]
     return sums
 
 
-def encode_texts(v: Vocabulary, texts: list[str], n: int) -> tuple[list, list, list]:
-    """For each text its best ids, their score and the scores of its n best segmentations."""
-    if v.n_words > CACHE_WORDS:
+def encoded(v: Vocabulary, texts: list[str], n: int) -> tuple[list, list, list, list]:
+    """For each text its best ids, their score, the scores of its n best segmentations
+    and how these differ from the best: lists of (place in ids, number of ids, other ids)."""
+    if v.n_words > CACHE_WORDS or v.n_chars > CACHE_CHARS:
         v.clear()
     if len(v.lists) > CACHE_LISTS:
         v.lists = {}
@@ -238,7 +291,7 @@ def encode_texts(v: Vocabulary, texts: list[str], n: int) -> tuple[list, list, l
     new = set().union(*words).difference(v.at) if words else set()
     if new:
         v.learn(sorted(new))
-    all_ids, best, lists = [], [], []
+    all_ids, best, lists, edits = [], [], [], []
     for own in words:
         at = np.fromiter(map(v.at.__getitem__, own), np.int64, len(own))
         n_ids = v.begin[at + 1] - v.begin[at]
@@ -250,14 +303,33 @@ def encode_texts(v: Vocabulary, texts: list[str], n: int) -> tuple[list, list, l
         gaps = v.gap[at]
         near = np.argsort(gaps, kind="stable")[:n - 1] if len(own) < 4 * n else np.argpartition(gaps, n)[:n]
         near = sorted(near, key=lambda i: (gaps[i], i))[:n - 1]
-        choices = []
+        costs, others = [], []
         for i in near:
             if np.isfinite(gaps[i]):
                 got = v.n_best(own[i], n)
-                choices.append([got[0][0] - s for s, _ in got])
+                first = tuple(v.ids[v.begin[at[i]]:v.begin[at[i] + 1]].tolist())
+                rest = [x for x in got if x[1] != first][:n - 1]
+                costs.append([0.0] + [got[0][0] - s for s, _ in rest])
+                others.append((int(ends[i] - n_ids[i]), int(n_ids[i]), [None] + [list(x) for _, x in rest]))
+        sums = _lowest_sums(costs, n)
         best.append(score)
-        lists.append([score - x for x in _lowest_sums(choices, n)[:n]])
-    return all_ids, best, lists
+        lists.append([score - x for x, _ in sums])
+        edits.append([[(place, size, ids[k]) for (place, size, ids), k in zip(others, picks) if k]
+                      for _, picks in sums])
+    return all_ids, best, lists, edits
+
+
+def encode_texts(v: Vocabulary, texts: list[str], n: int) -> tuple[list, list, list]:
+    """Best ids, scores and scores of the n best segmentations."""
+    return encoded(v, texts, n)[:3]
+
+
+def edited(ids: list[int], changes) -> list[int]:
+    """The ids of one of the n best segmentations, from the best and its changes."""
+    out = list(ids)
+    for place, size, other in sorted(changes, reverse=True):
+        out[place:place + size] = other
+    return out
 
 
 def segmentations(v: Vocabulary, text: str, n: int) -> list[tuple[float, list[int]]]:
@@ -294,16 +366,18 @@ def _model_bytes(path: str) -> bytes:
 
 def encode(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
-    """doc_id, ids, n_pieces, score, nbest_scores, lossless for every row of ``docs``.
+    """doc_id, ids, n_pieces, score, nbest_scores, nbest_changes, lossless for every row of ``docs``.
 
     ``ids`` is the best segmentation and ``score`` its score; ``nbest_scores``
-    those of the ``n_best`` best, fewer if the text has fewer. ``lossless`` says
+    those of the ``n_best`` best, fewer if the text has fewer, and ``nbest_changes`` how
+    their ids differ from the best (``edited`` puts them together). ``lossless`` says
     that decoding gives the text again, which fails only for texts with the
     mark U+2581. Null and empty texts have no pieces, score 0 and one
     segmentation. Characters without a piece are spelt in bytes. Whole texts are
     encoded, of any length; other columns are ignored.
     """
     raw = _model_bytes(model)
+    changes = pa.list_(pa.list_(pa.struct([("place", pa.int32()), ("size", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(raw)
@@ -315,7 +389,7 @@ def encode(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST, id_col: st
                 while done + len(some) < len(batch) and (not some or chars < BATCH_CHARS):
                     some.append(texts[done + len(some)].as_py() or "")
                     chars += len(some[-1])
-                got, best, lists = encode_texts(v, some, n_best)
+                got, best, lists, edits = encoded(v, some, n_best)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
                 tops = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
@@ -323,14 +397,16 @@ def encode(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST, id_col: st
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got).astype(np.int32))),
                     pa.array(np.diff(ends).astype(np.int32)), pa.array(np.array(best)),
                     pa.ListArray.from_arrays(pa.array(tops), pa.array(np.concatenate(lists))),
+                    pa.array([[[dict(zip(("place", "size", "ids"), c)) for c in k] for k in e] for e in edits], changes),
                     pa.array([decode_ids(v, x.tolist()) == t for x, t in zip(got, some)]),
-                ], names=["doc_id", "ids", "n_pieces", "score", "nbest_scores", "lossless"])
+                ], names=["doc_id", "ids", "n_pieces", "score", "nbest_scores", "nbest_changes", "lossless"])
                 done += len(some)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_pieces int, score double, "
-                                "nbest_scores array<double>, lossless boolean")
+                                "nbest_scores array<double>, nbest_changes array<array<struct<place: int, size: int, "
+                                "ids: array<int>>>>, lossless boolean")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
