@@ -89,9 +89,8 @@ def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _tokens(docs: DataFrame, words: int, percent: int, last: np.ndarray) -> DataFrame:
-    """(token, set, n, rest) of the prefix of every set; ``last`` (sorted) come
-    behind all other tokens. ``rest`` is how many tokens of the set there are from
-    this one on."""
+    """(set, n, tokens): the prefix of every set in order; ``last`` (sorted) come behind
+    all other tokens."""
     last = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches):
@@ -107,14 +106,12 @@ def _tokens(docs: DataFrame, words: int, percent: int, last: np.ndarray) -> Data
                 own.append(which)
                 sizes.append(len(s))
             if lead:
-                counts = [len(s) for s in lead]
-                first = np.concatenate([np.arange(n, n - k, -1) for n, k in zip(sizes, counts)])
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in lead])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(lead).view(np.int64)),
-                    pa.array(np.repeat(np.array(own, np.int64), counts)),
-                    pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(first.astype(np.int32))],
-                    names=["token", "set", "n", "rest"])
-    return docs.select("text").mapInArrow(run, "token long, set long, n int, rest int")
+                    pa.array(own, pa.int64()), pa.array(sizes, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lead).view(np.int64)))],
+                    names=["set", "n", "tokens"])
+    return docs.select("text").mapInArrow(run, "set long, n long, tokens array<long>")
 
 
 def _blocks(docs: DataFrame, signatures: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -128,14 +125,19 @@ def _blocks(docs: DataFrame, signatures: DataFrame, classes: DataFrame, words: i
     path = new_path(spark, "prefix-tokens")
     some = sieved(docs, "doc_id", classes, "doc_id").where("__maybe")
     _tokens(some, words, percent, last).write.parquet(path)
-    rows = spark.read.parquet(path)
-    several = rows.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("token")
+    prefixes = spark.read.parquet(path)
+    several = prefixes.select(F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("times")).where("times > 1").select("token")
+    # n and how many tokens of the set there are from this one on, in one number
+    rows = prefixes.select("set", "n", F.posexplode("tokens").alias("at", "token")).select(
+        "token", "set", (F.shiftleft("n", 32) + F.col("n") - F.col("at")).alias("sizes"))
     path = new_path(spark, "shared-tokens")
     rows.join(several, "token").write.parquet(path)      # few of them all
     rows = spark.read.parquet(path)
+    n, rest = F.shiftright("sizes", 32), F.col("sizes").bitwiseAND((1 << 32) - 1)
     found = rows.groupBy("token").agg(
         F.min("set").alias("block"), F.max("set").alias("other"), F.count(F.lit(1)).alias("times"),
-        F.min("n").alias("small"), F.max("n").alias("large"), F.min("rest").alias("rest"))
+        F.min(n).alias("small"), F.max(n).alias("large"), F.min(rest).alias("rest"))
     # Where only two rows have a token, their sizes must fit, and what follows in
     # both must suffice for the overlap. (Of a linked pair the first common token passes.)
     fit = ((F.col("small") * 100 >= F.col("large") * percent)
