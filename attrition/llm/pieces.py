@@ -33,8 +33,9 @@ from .common import read_table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
-BATCH_CHARS = 1 << 20     # characters that are encoded at once
-CACHE_WORDS = 800_000     # words whose best paths a Python worker keeps
+BATCH_CHARS = 1 << 18     # characters that are encoded at once
+LEARN_CHARS = 1 << 17     # characters of words that go through Viterbi at once
+CACHE_WORDS = 400_000     # words whose best paths a Python worker keeps
 CACHE_CHARS = 1 << 25     # and their characters
 CACHE_LISTS = 50_000      # words whose N-best lists it keeps
 LONG = 512                # characters from which a word goes alone and has no list kept
@@ -171,8 +172,14 @@ class Vocabulary:
             ids, best, second = self.path(w)
             self._keep([w], np.array(ids, np.int32), np.array([len(ids)]), np.array([best]), np.array([best - second]))
         words = sorted((w for w in words if len(w) <= LONG), key=len, reverse=True)
-        if not words:
-            return
+        sizes = np.cumsum([len(w) for w in words])
+        cuts = np.searchsorted(sizes, np.arange(LEARN_CHARS, sizes[-1] if len(words) else 0, LEARN_CHARS)).tolist()
+        for a, z in zip([0, *cuts], [*cuts, len(words)]):
+            if a < z:
+                self._learn(words[a:z])
+
+    def _learn(self, words: list[str]) -> None:
+        """Viterbi over all words at once, which come longest first."""
         text = "".join(words)
         chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         size = np.array([len(w) for w in words], np.int64)
