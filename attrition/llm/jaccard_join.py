@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, checkpointed, new_path, read_table, sieved
@@ -89,29 +89,31 @@ def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _tokens(docs: DataFrame, words: int, percent: int, last: np.ndarray) -> DataFrame:
-    """(set, n, tokens): the prefix of every set in order; ``last`` (sorted) come behind
-    all other tokens."""
+    """(set, n, tokens, behind): the prefix of every set in order; ``last`` (sorted) come
+    behind all other tokens and are so many of them."""
     last = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches):
         behind = last.value
         for _, sets in _texts(batches, words):
-            lead, own, sizes = [], [], []
+            lead, own, sizes, wide = [], [], [], []
             for which, s in {_class_of(s): s for s in sets if len(s)}.items():
-                need = _prefix(len(s), percent)
+                need, few = _prefix(len(s), percent), 0
                 if len(behind):
-                    at = np.minimum(np.searchsorted(behind, s), len(behind) - 1)
-                    s = s[np.argsort(behind[at] == s, kind="stable")]
+                    late = behind[np.minimum(np.searchsorted(behind, s), len(behind) - 1)] == s
+                    few = max(0, need - int(len(s) - late.sum()))
+                    s = s[np.argsort(late, kind="stable")]
                 lead.append(s[:need])
+                wide.append(few)
                 own.append(which)
                 sizes.append(len(s))
             if lead:
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in lead])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(own, pa.int64()), pa.array(sizes, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lead).view(np.int64)))],
-                    names=["set", "n", "tokens"])
-    return docs.select("text").mapInArrow(run, "set long, n long, tokens array<long>")
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lead).view(np.int64))),
+                    pa.array(wide, pa.int32())], names=["set", "n", "tokens", "behind"])
+    return docs.select("text").mapInArrow(run, "set long, n long, tokens array<long>, behind int")
 
 
 def _blocks(docs: DataFrame, signatures: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -126,25 +128,32 @@ def _blocks(docs: DataFrame, signatures: DataFrame, classes: DataFrame, words: i
     some = sieved(docs, "doc_id", classes, "doc_id").where("__maybe")
     _tokens(some, words, percent, last).write.parquet(path)
     prefixes = spark.read.parquet(path)
-    several = prefixes.select(F.explode("tokens").alias("token")).groupBy("token").agg(
-        F.count(F.lit(1)).alias("times")).where("times > 1").select("token")
-    # n and how many tokens of the set there are from this one on, in one number
-    rows = prefixes.select("set", "n", F.posexplode("tokens").alias("at", "token")).select(
-        "token", "set", (F.shiftleft("n", 32) + F.col("n") - F.col("at")).alias("sizes"))
-    path = new_path(spark, "shared-tokens")
-    rows.join(several, "token").write.parquet(path)      # few of them all
-    rows = spark.read.parquet(path)
+    size, behind = F.size("tokens"), F.col("behind")
+
+    def rows(tokens, first):
+        """(token, set, sizes); sizes is n and how many tokens of the set there are from this
+        one on, in one number."""
+        return prefixes.select("set", "n", first.alias("first"),
+                               F.posexplode(tokens).alias("at", "token")).select(
+            "token", "set", (F.shiftleft("n", 32) + F.col("n") - F.col("first") - F.col("at")).alias("sizes"))
+
     n, rest = F.shiftright("sizes", 32), F.col("sizes").bitwiseAND((1 << 32) - 1)
-    found = rows.groupBy("token").agg(
-        F.min("set").alias("block"), F.max("set").alias("other"), F.count(F.lit(1)).alias("times"),
-        F.min(n).alias("small"), F.max(n).alias("large"), F.min(rest).alias("rest"))
+    found = {"block": F.min("set"), "other": F.max("set"), "times": F.count(F.lit(1)),
+             "small": F.min(n), "large": F.max(n), "rest": F.min(rest)}
     # Where only two rows have a token, their sizes must fit, and what follows in
     # both must suffice for the overlap. (Of a linked pair the first common token passes.)
     fit = ((F.col("small") * 100 >= F.col("large") * percent)
            & (F.col("rest") * (100 + percent) >= (F.col("small") + F.col("large")) * percent))
-    shared = found.where((F.col("block") < F.col("other")) & ((F.col("times") > 2) | fit))
-    return rows.select("token", "set").join(shared.select("token", "block"), "token").select(
-        "block", "set").distinct()
+    shared = (F.col("block") < F.col("other")) & ((F.col("times") > 2) | fit)
+    # One shuffle for most tokens, whose groups are small; the widespread ones, few
+    # enough to broadcast, are added up in the tasks and never gathered.
+    own = Window.partitionBy("token")
+    most = rows(F.slice("tokens", F.lit(1), size - behind), F.lit(0)).withColumns(
+        {k: c.over(own) for k, c in found.items()}).where(shared)
+    wide = rows(F.slice("tokens", size - behind + 1, behind), size - behind)
+    blocks = wide.groupBy("token").agg(*[c.alias(k) for k, c in found.items()]).where(shared).select("token", "block")
+    return most.select("block", "set").unionByName(
+        wide.join(F.broadcast(blocks), "token").select("block", "set")).distinct()
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int):
