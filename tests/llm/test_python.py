@@ -73,11 +73,41 @@ def test_mixing_meets_targets(spark, small):
 
 def test_mix_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    plan = {r.doc_id: r for r in mixing.plan(docs, whole_documents=True, block_words=300).collect()}
+    plan = {r.doc_id: r for r in mixing.plan(docs, block_words=300).collect()}
     rows = mixing.mix(docs, block_words=300).collect()
     assert Counter(r.doc_id for r in rows) == {i: len(r.shards) for i, r in plan.items() if r.shards}
-    assert all(r.taken == len(r.shards) * r.size for r in plan.values())
     assert {r.mix_shard for r in rows} == set(range(mixing.SHARDS))
+    word, whole, words = re.compile(r"[^\x20\x09-\x0D]+"), {r.doc_id: r.text for r in docs.collect()}, Counter()
+    for r in rows:
+        words[r.doc_id] += len(word.findall(r.text))
+        assert whole[r.doc_id].startswith(r.text)
+    assert words == {i: r.taken for i, r in plan.items() if r.taken}
+    cut = Counter(plan[r.doc_id].source for r in rows if r.text != whole[r.doc_id])
+    assert cut and max(cut.values()) == 1
+
+
+def test_first_words(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(" a\n b  c ", 2), ("a b c", 1), ("x" * 9, 1), ("é\u00a0é b", 1)], "t string, n long")
+    got = [r[0] for r in df.select(mixing.first_words(F.col("t"), F.col("n"))).collect()]
+    assert got == [" a\n b", "a", "x" * 9, "é\u00a0é"]
+
+
+def test_mix_tells_rows_of_one_id_apart(spark):
+    docs = spark.createDataFrame([(i // 2, "w " * (3 + i), "ab"[i % 2]) for i in range(40)],
+                                 "doc_id long, text string, source string")
+    plan = mixing.plan(docs).collect()
+    rows = mixing.mix(docs).collect()
+    assert Counter((r.doc_id, r.source) for r in rows) == {
+        (r.doc_id, r.source): len(r.shards) for r in plan if r.shards}
+    assert sum(len(r.text.split()) for r in rows) == sum(r.taken for r in plan)
+
+
+def test_mix_without_broadcasts(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted(map(repr, mixing.plan(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST", 0)
+    assert sorted(map(repr, mixing.plan(docs).collect())) == want
 
 
 def test_mixing_edges(edge_docs, no_docs):
@@ -398,7 +428,7 @@ def test_pipeline_against_brute_force(spark, small):
     parts = brute_components(list(unique.items()))
     stay = {i for i, (n, c) in parts.items() if i == c}
     kept = docs.where(docs.doc_id.isin(sorted(stay)))
-    want = {r.doc_id: len(r.shards) for r in mixing.plan(kept, whole_documents=True).collect() if r.shards}
+    want = {r.doc_id: len(r.shards) for r in mixing.plan(kept).collect() if r.shards}
     out = corpus_pipeline.run(spark, SF).collect()
     assert Counter(r.doc_id for r in out) == want and all(r.lossless for r in out)
 
