@@ -66,8 +66,9 @@ def _texts(batches: Iterator[pa.RecordBatch], words: int):
 
 
 def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, set, n, bits) of every row, set 0 being the empty one. The first
-    row of a batch also has the tokens that are often in the batch's prefixes."""
+    """(doc_id, set, n, bits) of every row, set 0 being the empty one. Of equal sets in
+    a batch the first has the bitmap. The first row of a batch also has the tokens
+    that are often in the batch's prefixes."""
     def run(batches):
         for batch, sets in _texts(batches, words):
             own = [_class_of(s) for s in sets]
@@ -75,10 +76,12 @@ def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
             tokens, times = np.unique(np.concatenate(lead), return_counts=True) if lead else ([], [])
             often = [t for t in zip(tokens, times) if t[1] >= OFTEN]
             rest = [None] * (len(sets) - 1)
+            first = {k: i for i, k in reversed(list(enumerate(own)))}
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array(own, pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
+                pa.array([bitmap(s) if len(s) and first[k] == i else None
+                          for i, (k, s) in enumerate(zip(own, sets))], pa.binary()),
                 pa.array([[int(np.int64(np.uint64(t).view(np.int64))) for t, _ in often], *rest][:len(sets)],
                          pa.list_(pa.int64())),
                 pa.array([[int(n) for _, n in often], *rest][:len(sets)], pa.list_(pa.int64()))],
@@ -293,18 +296,21 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signatures = checkpointed(_signatures(docs, words, percent))
     classes = checkpointed(signatures.where("n > 0").groupBy("set").agg(
-        F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bits").alias("bits")))
+        F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
+    # shuffled by set once, where members are joined to it
+    bitmaps = signatures.where("bits IS NOT NULL").groupBy("set").agg(
+        F.min("n").alias("n"), F.min("bits").alias("bits"))
     blocks = checkpointed(_blocks(docs, signatures, classes, words, percent))
     sized = blocks.join(classes.select("set", "n"), "set").groupBy("block").agg(
         F.greatest(F.ceil(F.sum("n") / PART_TOKENS), F.ceil(F.count(F.lit(1)) / PART_MEMBERS)).alias("parts"))
     placed = checkpointed(blocks.join(sized, "block").withColumn("part", F.pmod(F.xxhash64("set"), "parts")))
     nothing = F.lit(None).cast("long")
-    inside = _families(placed.join(classes, "set").withColumns({"side": nothing, "label": nothing}), percent)
+    inside = _families(bitmaps.join(placed, "set").withColumns({"side": nothing, "label": nothing}), percent)
     links = checkpointed(_verified(inside, classes, docs, words, percent))
     large = placed.where("parts > 1")
     if not large.isEmpty():
         links = checkpointed(links.unionByName(_verified(
-            _families(_across(large, classes, components(links)), percent), classes, docs, words, percent)))
+            _families(_across(large, bitmaps, components(links)), percent), classes, docs, words, percent)))
     found = components(links)
     named = classes.select("set", "doc_id").join(found, F.col("set") == F.col("node"), "left").withColumn(
         "component", F.coalesce("component", "set"))
@@ -315,7 +321,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
                       F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _across(large: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+def _across(large: DataFrame, bitmaps: DataFrame, found: DataFrame) -> DataFrame:
     """Members of blocks in parts, dealt so that each member outside its block's
     largest component meets every part of the block."""
     rows = large.join(found, F.col("set") == F.col("node"), "left").select(
@@ -332,7 +338,7 @@ def _across(large: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame
     right = rows.join(odd_parts, "block").select(
         "block", (F.col("odd_part") * F.col("parts") + F.col("part")).alias("part"),
         F.lit(1).cast("long").alias("side"), "label", "set")
-    return left.unionByName(right).join(classes, "set")
+    return bitmaps.join(left.unionByName(right), "set")
 
 
 def _set_of(words: int):
