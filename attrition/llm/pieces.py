@@ -33,11 +33,11 @@ from .common import read_table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
-BATCH_CHARS = 1 << 18     # characters that are encoded at once
-LEARN_CHARS = 1 << 17     # characters of words that go through Viterbi at once
-CACHE_WORDS = 400_000     # words whose best paths a Python worker keeps
-CACHE_CHARS = 1 << 25     # and their characters
-CACHE_LISTS = 50_000      # words whose N-best lists it keeps
+BATCH_CHARS = 1 << 17     # characters that are encoded at once
+LEARN_CHARS = 1 << 15     # characters of words that go through Viterbi at once
+CACHE_WORDS = 200_000     # words whose best paths a Python worker keeps
+CACHE_CHARS = 1 << 22     # and their characters
+CACHE_LISTS = 10_000      # words whose N-best lists it keeps
 LONG = 512                # characters from which a word goes alone and has no list kept
 
 MARK = "▁"           # stands for a blank
