@@ -141,20 +141,30 @@ def _blocks(docs: DataFrame, signatures: DataFrame, classes: DataFrame, words: i
             "token", "set", (F.shiftleft("n", 32) + F.col("n") - F.col("first") - F.col("at")).alias("sizes"))
 
     n, rest = F.shiftright("sizes", 32), F.col("sizes").bitwiseAND((1 << 32) - 1)
-    found = {"block": F.min("set"), "other": F.max("set"), "times": F.count(F.lit(1)),
-             "small": F.min(n), "large": F.max(n), "rest": F.min(rest)}
-    # Where only two rows have a token, their sizes must fit, and what follows in
-    # both must suffice for the overlap. (Of a linked pair the first common token passes.)
-    fit = ((F.col("small") * 100 >= F.col("large") * percent)
-           & (F.col("rest") * (100 + percent) >= (F.col("small") + F.col("large")) * percent))
-    shared = (F.col("block") < F.col("other")) & ((F.col("times") > 2) | fit)
+    found = {"block": F.min("set"), "other": F.max("set")}
+    several = F.col("block") < F.col("other")
     # One shuffle for most tokens, whose groups are small; the widespread ones, few
     # enough to broadcast, are added up in the tasks and never gathered.
     own = Window.partitionBy("token")
     most = rows(F.slice("tokens", F.lit(1), size - behind), F.lit(0)).withColumns(
-        {k: c.over(own) for k, c in found.items()}).where(shared)
+        {k: c.over(own) for k, c in found.items()}).where(several).select(
+        "token", "set", n.alias("n"), rest.alias("rest"))
+    # Sets that link differ in size by ``percent`` at most, so a token's rows in order of
+    # size fall into chains wherever the next is larger than that, a block each.
+    by_size = own.orderBy("n", "set")
+    apart = F.lag("n").over(by_size) * 100 < F.col("n") * percent
+    chained = most.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int")).withColumn(
+        "chain", F.sum("apart").over(by_size))
+    of_chain = Window.partitionBy("token", "chain")
+    chained = chained.withColumns({k: c.over(of_chain) for k, c in {
+        **found, "times": F.count(F.lit(1)), "small": F.min("n"), "large": F.max("n"), "least": F.min("rest")}.items()})
+    # What follows in a set must suffice for the overlap with the smallest set there; where only
+    # two rows are left, in both. (Of a linked pair the first common token passes.)
+    enough = F.col("rest") * (100 + percent) >= (F.col("n") + F.col("small")) * percent
+    both = F.col("least") * (100 + percent) >= (F.col("small") + F.col("large")) * percent
+    most = chained.where(several & enough & ((F.col("times") > 2) | both))
     wide = rows(F.slice("tokens", size - behind + 1, behind), size - behind)
-    blocks = wide.groupBy("token").agg(*[c.alias(k) for k, c in found.items()]).where(shared).select("token", "block")
+    blocks = wide.groupBy("token").agg(*[c.alias(k) for k, c in found.items()]).where(several).select("token", "block")
     return most.select("block", "set").unionByName(
         wide.join(F.broadcast(blocks), "token").select("block", "set")).distinct()
 
@@ -302,7 +312,8 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
         F.min("n").alias("n"), F.min("bits").alias("bits"))
     blocks = checkpointed(_blocks(docs, signatures, classes, words, percent))
     sized = blocks.join(classes.select("set", "n"), "set").groupBy("block").agg(
-        F.greatest(F.ceil(F.sum("n") / PART_TOKENS), F.ceil(F.count(F.lit(1)) / PART_MEMBERS)).alias("parts"))
+        F.greatest(F.ceil(F.sum("n") / PART_TOKENS), F.ceil(F.count(F.lit(1)) / PART_MEMBERS)).alias("parts"),
+        F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
     placed = checkpointed(blocks.join(sized, "block").withColumn("part", F.pmod(F.xxhash64("set"), "parts")))
     nothing = F.lit(None).cast("long")
     inside = _families(bitmaps.join(placed, "set").withColumns({"side": nothing, "label": nothing}), percent)
