@@ -62,6 +62,18 @@ def ascii_lower(text: Column) -> Column:
         F.translate(text, UPPER, LOWER))
 
 
+ARROW_ROWS = 2_000        # rows of one Arrow batch with whole texts
+
+
+def small_batches(spark: SparkSession) -> None:
+    """At most ``ARROW_ROWS`` rows an Arrow batch in this session, fewer if it says so
+    already: the JVM and its Python worker each hold a batch of texts outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 SIEVE_WORDS = 1 << 17     # 64-bit words of a sieve: 2 MB with their numbers, whatever is in it
 
 

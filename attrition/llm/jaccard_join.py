@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, checkpointed, new_path, read_table, sieved
+from .common import LOWER, UPPER, checkpointed, new_path, read_table, sieved, small_batches
 from .components import components
 from .shingles import shingle_sets
 from .signature_tree import bitmap, candidates, trees
@@ -42,7 +42,7 @@ from .signature_tree import bitmap, candidates, trees
 WORDS = 5
 PERCENT = 80
 FREQUENT = 200_000        # tokens that the order puts last (8 bytes each, broadcast)
-OFTEN = 32                # sets of one batch that make a token a candidate for that
+OFTEN = 16                # sets of one batch that make a token a candidate for that
 PART_TOKENS = 1 << 20     # tokens of the sets in one part of a block
 PART_MEMBERS = 2_048
 
@@ -63,6 +63,7 @@ def _prefix(n: int, percent: int) -> int:
 def _texts(batches: Iterator[pa.RecordBatch], words: int):
     for batch in batches:
         yield batch, shingle_sets(batch.column("text").to_pylist(), words)
+    pa.default_memory_pool().release_unused()  # idle workers keep what they hold
 
 
 def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -303,6 +304,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """doc_id, set, n_shingles, component_id of every row."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signatures = checkpointed(_signatures(docs, words, percent))
     classes = checkpointed(signatures.where("n > 0").groupBy("set").agg(

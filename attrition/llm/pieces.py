@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
@@ -408,7 +408,9 @@ def encode(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST, id_col: st
                     pa.array([decode_ids(v, x.tolist()) == t for x, t in zip(got, some)]),
                 ], names=["doc_id", "ids", "n_pieces", "score", "nbest_scores", "nbest_changes", "lossless"])
                 done += len(some)
+        pa.default_memory_pool().release_unused()  # idle workers keep what they hold
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_pieces int, score double, "
