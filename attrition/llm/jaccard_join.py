@@ -43,7 +43,7 @@ WORDS = 5
 PERCENT = 80
 FREQUENT = 200_000        # tokens that the order puts last (8 bytes each, broadcast)
 OFTEN = 16                # sets of one batch that make a token a candidate for that
-PART_TOKENS = 1 << 20     # tokens of the sets in one part of a block
+PART_TOKENS = 1 << 22     # tokens of the sets in one part of a block, 2 MB of bitmaps
 PART_MEMBERS = 2_048
 
 
@@ -170,6 +170,13 @@ def _blocks(docs: DataFrame, signatures: DataFrame, classes: DataFrame, words: i
         wide.join(F.broadcast(blocks), "token").select("block", "set")).distinct()
 
 
+def _bitmaps(signatures: DataFrame, members: DataFrame) -> DataFrame:
+    """(set, n, bits) of the sets of ``members`` and few others, one row each."""
+    rows = signatures.where("bits IS NOT NULL").select("set", "n", "bits")
+    return sieved(rows, "set", members, "set").where("__maybe").groupBy("set").agg(
+        F.min("n").alias("n"), F.min("bits").alias("bits"))
+
+
 def _runs(batches: Iterator[pa.RecordBatch], keys: int):
     """(key, rows) of batches that are sorted by their first ``keys`` columns."""
     now, rows = None, []
@@ -309,21 +316,18 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     signatures = checkpointed(_signatures(docs, words, percent))
     classes = checkpointed(signatures.where("n > 0").groupBy("set").agg(
         F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
-    # shuffled by set once, where members are joined to it
-    bitmaps = signatures.where("bits IS NOT NULL").groupBy("set").agg(
-        F.min("n").alias("n"), F.min("bits").alias("bits"))
     blocks = checkpointed(_blocks(docs, signatures, classes, words, percent))
     sized = blocks.join(classes.select("set", "n"), "set").groupBy("block").agg(
         F.greatest(F.ceil(F.sum("n") / PART_TOKENS), F.ceil(F.count(F.lit(1)) / PART_MEMBERS)).alias("parts"),
         F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
     placed = checkpointed(blocks.join(sized, "block").withColumn("part", F.pmod(F.xxhash64("set"), "parts")))
     nothing = F.lit(None).cast("long")
-    inside = _families(bitmaps.join(placed, "set").withColumns({"side": nothing, "label": nothing}), percent)
+    inside = _families(_bitmaps(signatures, placed).join(placed, "set").withColumns({"side": nothing, "label": nothing}), percent)
     links = checkpointed(_verified(inside, classes, docs, words, percent))
     large = placed.where("parts > 1")
     if not large.isEmpty():
         links = checkpointed(links.unionByName(_verified(
-            _families(_across(large, bitmaps, components(links)), percent), classes, docs, words, percent)))
+            _families(_across(large, _bitmaps(signatures, large), components(links)), percent), classes, docs, words, percent)))
     found = components(links)
     named = classes.select("set", "doc_id").join(found, F.col("set") == F.col("node"), "left").withColumn(
         "component", F.coalesce("component", "set"))
