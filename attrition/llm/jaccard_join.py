@@ -304,7 +304,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that repeat an id are judged by their own texts; a null id is never the
     smallest unless all of a component are null. Other columns are ignored; an
     empty table gives no rows. Similarities from 50 percent are supported. Runs
-    jobs when called; intermediate tables are written to the shared folder.
+    jobs when called; intermediate tables are written to the shared folder. Lowers the
+    session's Arrow batches (``small_batches``).
     """
     return _linked(docs, id_col, text_col, words, percent).drop("set")
 

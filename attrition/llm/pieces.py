@@ -381,7 +381,8 @@ def encode(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST, id_col: st
     that decoding gives the text again, which fails only for texts with the
     mark U+2581. Null and empty texts have no pieces, score 0 and one
     segmentation. Characters without a piece are spelt in bytes. Whole texts are
-    encoded, of any length; other columns are ignored.
+    encoded, of any length; other columns are ignored. Lowers the session's Arrow batches
+    (``small_batches``).
     """
     raw = _model_bytes(model)
     changes = pa.list_(pa.list_(pa.struct([("place", pa.int32()), ("size", pa.int32()), ("ids", pa.list_(pa.int32()))])))
