@@ -202,7 +202,10 @@ def sanitise(text: Column, spans: Column) -> Column:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(read_table(spark, sf_dir, "documents"))
+
+    def count(kind: int) -> Column:
+        # one argument: Spark gives a second one the place in the array
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
-        "doc_id", *[F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}")
-                    for i, k in enumerate(KINDS[:4])],
+        "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])],
         F.sha2(_shown(F.col("base")), 256).alias("base_sha256"), _shown(F.col("spans")).alias("spans"))

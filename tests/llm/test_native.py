@@ -220,6 +220,17 @@ def test_pii_edges(edge_docs, no_docs, spark):
         assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
 
 
+def test_pii_query_counts_by_kind(spark, tmp_path):
+    card = "4785380592391139"   # each kind alone, pairs in both orders, one kind twice
+    docs = {1: f"card {card}", 2: f"{card} at 152.143.123.131", 3: f"152.143.123.131 at {card}", 4: "+1 (521) 555-6210",
+            5: "a@b.org", 6: "c@d.org a@b.org", 7: "none", 8: None, 9: f"1.2.3.4 {card}, +1 (521) 555-6210 a@b.org"}
+    rows = [*docs.items(), (2, docs[2]), (None, docs[6])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone)
+                  for r in QUERIES["op8_pii"](spark, str(tmp_path)).collect())
+    assert got == Counter((i, *[sum(k == j for _, k, _ in brute_spans(t)) for j in range(4)]) for i, t in rows)
+
+
 # sharding
 
 def test_shards_match_the_mixture(spark, small):
