@@ -18,8 +18,8 @@ _PLANS: dict[tuple[str, str, str], DataFrame] = {}
 def _memo(name: str, spark: SparkSession, sf_dir: str,
           build: Callable[[], DataFrame]) -> DataFrame:
     """Reuse the analysed plan object of a shared input within one
-    application (DataFrames are immutable; only the plan is shared, no
-    data is cached)."""
+    application (DataFrames are immutable; only the plan is shared, and no
+    data is cached unless ``build`` writes its rows)."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     if key not in _PLANS:
         _PLANS[key] = build()

@@ -36,9 +36,15 @@ FROM (SELECT customerid, target, n, ceil(n * 0.2e0) AS kt, pos
             FROM model))"""
 
 
+def model_rows(spark, sf):
+    """The model table, written once an application: split, fit and scores read it many
+    times, and each reading would join orders and line items anew."""
+    return _memo("model_rows", spark, sf, lambda: materialize(model_df(spark, sf)))
+
+
 def split_df(spark, sf):
-    return _memo("split", spark, sf, lambda: sp.stratified_split(
-        model_df(spark, sf), id_col="customerid", target="target", test=0.2, val=0.25, seed=42))
+    return _memo("split", spark, sf, lambda: materialize(sp.stratified_split(
+        model_rows(spark, sf), id_col="customerid", target="target", test=0.2, val=0.25, seed=42)))
 
 
 def fitted(spark, sf):
@@ -219,7 +225,7 @@ _VALUES = [*[f"CAST(m.{c} AS DOUBLE)" for c in NUM_FEATURES], *[f"CAST({_code_sq
 def q_assemble_features(spark, sf):
     model, _ = fitted(spark, sf)
     pre = model.stages[:-1]
-    x = model_df(spark, sf)
+    x = model_rows(spark, sf)
     for st in pre:
         x = st.transform(x)
     return x.select("customerid", F.col("target").cast("int").alias("target"),
@@ -277,7 +283,7 @@ def q_feature_importance(spark, sf):
 @query("score_customers")
 def q_score_customers(spark, sf):
     model, params = fitted(spark, sf)
-    out = score_customers(model_df(spark, sf).drop("target"), model, params)
+    out = score_customers(model_rows(spark, sf).drop("target"), model, params)
     return risk_band(out, score="prob_churn").select("customerid", "prob_churn", "pred_churn",
                                                      "threshold_used", "risk_band")
 
@@ -293,7 +299,7 @@ def q_test_predictions(spark, sf):
 def _form_rows(spark, sf):
     """Model rows expressed in form labels (inverse code maps), as the
     scoring form would submit them."""
-    m = model_df(spark, sf)
+    m = model_rows(spark, sf)
     inv = {c: {v: k for k, v in mp.items()} for c, mp in FORM_CODE_MAPS.items()}
     return map_codes(m, inv)
 
@@ -316,7 +322,7 @@ def q_score_stream(spark, sf):
     src = scratch_path(spark, f"stream-{run}/in")
     out = scratch_path(spark, f"stream-{run}/out")
     ckpt = scratch_path(spark, f"stream-{run}/ckpt")
-    batch = model_df(spark, sf).drop("target")
+    batch = model_rows(spark, sf).drop("target")
     io.write_table(batch, src, "parquet")
     q = score_stream(spark, src, batch.schema, model, params, out, ckpt)
     q.awaitTermination()
@@ -371,14 +377,14 @@ def q_top_factors(spark, sf):
 @query("contributions_local")
 def q_contributions_local(spark, sf):
     model, _ = fitted(spark, sf)
-    return xp.contributions(model_df(spark, sf), model, id_col="customerid") \
+    return xp.contributions(model_rows(spark, sf), model, id_col="customerid") \
         .select("customerid", "feature", F.round("contribution", 9).alias("contribution"))
 
 
 @query("contributions_global")
 def q_contributions_global(spark, sf):
     model, _ = fitted(spark, sf)
-    return xp.contributions_global(model_df(spark, sf), model, id_col="customerid", top=15) \
+    return xp.contributions_global(model_rows(spark, sf), model, id_col="customerid", top=15) \
         .select("feature", F.round("mean_abs", 9).alias("mean_abs"), "rank")
 
 
@@ -389,7 +395,7 @@ def q_contributions_global(spark, sf):
 def q_feature_space(spark, sf):
     model, _ = fitted(spark, sf)
     names = ml.feature_names(model)
-    x = xp._features_frame(model_df(spark, sf), model, "customerid")
+    x = xp._features_frame(model_rows(spark, sf), model, "customerid")
     return x.select("customerid", F.posexplode("_x").alias("i", "value")).withColumn(
         "feature", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1)).select(
         "customerid", "feature", "value")
@@ -445,9 +451,9 @@ def q_score_check(spark, sf):
 def q_contributions_check(spark, sf):
     """Bias and contributions of every customer add up to the model's log-odds."""
     model, _ = fitted(spark, sf)
-    sums = xp.contributions(model_df(spark, sf), model, id_col="customerid").groupBy("customerid").agg(
+    sums = xp.contributions(model_rows(spark, sf), model, id_col="customerid").groupBy("customerid").agg(
         F.sum("contribution").alias("total"))
-    want = xp.margin(model_df(spark, sf), model, id_col="customerid")
+    want = xp.margin(model_rows(spark, sf), model, id_col="customerid")
     return _mismatches(sums, want, "customerid", F.abs(F.col("total") - F.col("w_margin")) > 1e-9)
 
 
@@ -469,7 +475,7 @@ def q_feature_importance_check(spark, sf):
 def q_contributions_global_check(spark, sf):
     """Means added up inside the tasks against means over the long table."""
     model, _ = fitted(spark, sf)
-    m = model_df(spark, sf)
+    m = model_rows(spark, sf)
     want = xp.contributions(m, model, id_col="customerid").where(F.col("feature") != "__bias__").groupBy("feature").agg(
         F.avg(F.abs("contribution")).alias("mean_abs"))
     got = xp.contributions_global(m, model, id_col="customerid", top=None).drop("rank")
@@ -480,7 +486,7 @@ def q_contributions_global_check(spark, sf):
 def q_model_top_factors(spark, sf):
     """The five strongest contributions of the model to every customer's score."""
     model, _ = fitted(spark, sf)
-    return xp.top_factors(xp.contributions(model_df(spark, sf), model, id_col="customerid"),
+    return xp.top_factors(xp.contributions(model_rows(spark, sf), model, id_col="customerid"),
                           id_col="customerid", n=5)
 
 
@@ -535,7 +541,7 @@ def q_predict_run(spark, sf):
     scored customers to CSV."""
     path = scratch_path(spark, f"predict-{uuid.uuid4().hex[:12]}")
     _train_run(spark, sf, path)
-    new = model_df(spark, sf).drop("target")
+    new = model_rows(spark, sf).drop("target")
     io.write_table(new, f"{path}/new", "csv")
     params = io.params_dict(io.read_params(spark, f"{path}/params"))
     rows = io.read_table(spark, f"{path}/new", new.schema, "csv")

@@ -15,6 +15,8 @@ from attrition.operators import split as sp
 from attrition.operators.draws import poisson, uniforms
 from attrition.operators.evaluate import gains_curve, report
 from attrition.operators.search import SearchLedger
+from attrition.plans import queries_model as qm
+from attrition.plans.base import model_df
 from attrition.session import scratch_path
 from attrition.sources import io
 from attrition.streaming.scoring import score_stream
@@ -213,3 +215,24 @@ def test_stream_goes_on_after_a_stop(spark, rows, fitted):
     assert got.count() == 400 and got.select("id").distinct().count() == 400
     start().awaitTermination(120)          # nothing new: nothing twice
     assert spark.read.parquet(out).count() == 400
+
+
+def test_fit_layout_spreads_its_rows(spark):
+    rows = spark.range(120_000).select(F.col("id").cast("string").alias("customerid"), "id")
+    parts = [ml.fixed_layout(d, "customerid").withColumn("_p", F.spark_partition_id())
+             for d in (rows, rows.repartition(7))]
+    assert [p.agg(F.countDistinct("_p")).first()[0] for p in parts] == [3, 3]
+    a, b = (p.groupBy("_p").agg(F.count("*").alias("n"), F.sum("id").alias("s"), F.first("id").alias("f")) for p in parts)
+    assert sorted(a.collect()) == sorted(b.collect())
+    assert parts[0].agg(F.count("*"), F.countDistinct("id")).first()[:] == (120_000, 120_000)
+
+
+def test_model_rows_and_split_are_written_once(spark):
+    sf = "/root/testdata/sf0.001"
+    rows, split = qm.model_rows(spark, sf), qm.split_df(spark, sf)
+    assert model_df(spark, sf).inputFiles() and not rows.inputFiles() and not split.inputFiles()
+    assert sorted(map(str, rows.collect())) == sorted(map(str, model_df(spark, sf).collect()))
+    assert sorted(r.customerid for r in split.select("customerid").collect()) == sorted(
+        r.customerid for r in rows.select("customerid").collect())
+    for q in (qm.q_score_form_rows, qm.q_score_customers, qm.q_test_predictions, qm.q_contributions_local):
+        assert not q(spark, sf).inputFiles()
