@@ -86,7 +86,10 @@ def categorical_encoder(cat_cols: Sequence[str], suffix: str = "_idx") -> String
 def build_pipeline(cat_cols: Sequence[str], num_cols: Sequence[str], params: Mapping | None = None,
                    weight_col: str | None = None, label_col: str = "target",
                    features_col: str = "features") -> Pipeline:
-    """StringIndexer -> Imputer(median) -> VectorAssembler -> GBTClassifier."""
+    """StringIndexer -> Imputer(median) -> VectorAssembler -> GBTClassifier.
+
+    Node ids are not cached: walking a tree of a few levels costs less than a cached
+    column of ids a level, and the trees are the same."""
     idx = categorical_encoder(cat_cols)
     imp_out = [c + "_imp" for c in num_cols]
     imputer = Imputer(inputCols=list(num_cols), outputCols=imp_out, strategy="median")
@@ -95,7 +98,7 @@ def build_pipeline(cat_cols: Sequence[str], num_cols: Sequence[str], params: Map
     p = dict(BOOSTED_PARAMS)
     p.update(params or {})
     p.setdefault("maxBins", MIN_BINS)
-    gbt = GBTClassifier(featuresCol=features_col, labelCol=label_col, cacheNodeIds=True,
+    gbt = GBTClassifier(featuresCol=features_col, labelCol=label_col, cacheNodeIds=False,
                         checkpointInterval=10, **p)
     if weight_col:
         gbt.setWeightCol(weight_col)
@@ -119,10 +122,11 @@ def bins_for(train: DataFrame, cat_cols: Sequence[str]) -> int:
     return max(MIN_BINS, *(n + 1 for n in sizes))
 
 
-def fixed_layout(train: DataFrame, id_col: str, rows_per_part: int = 200_000) -> DataFrame:
+def fixed_layout(train: DataFrame, id_col: str, rows_per_part: int = 50_000) -> DataFrame:
     """The same rows, written once, in a layout that follows from the ids alone:
     parts by hash, sorted by id. Subsampling draws by part and place, so without
-    this a fit would depend on how its input happened to be partitioned."""
+    this a fit would depend on how its input happened to be partitioned. Every level of
+    every tree is a pass over the parts, so there are enough of them to keep the cores busy."""
     train = materialize(train)
     parts = max(1, -(-train.count() // rows_per_part))
     return materialize(train.repartition(parts, F.col(id_col)).sortWithinPartitions(id_col))
