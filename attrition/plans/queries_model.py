@@ -36,15 +36,17 @@ FROM (SELECT customerid, target, n, ceil(n * 0.2e0) AS kt, pos
             FROM model))"""
 
 
-def model_rows(spark, sf):
-    """The model table, written once an application: split, fit and scores read it many
-    times, and each reading would join orders and line items anew."""
-    return _memo("model_rows", spark, sf, lambda: materialize(model_df(spark, sf)))
-
-
 def split_df(spark, sf):
+    """The model table with its split, written once an application: fit and scores read it
+    many times, and each reading would join orders and line items anew. Rows that share an
+    id may be split either way, so it is also what keeps readings alike."""
     return _memo("split", spark, sf, lambda: materialize(sp.stratified_split(
-        model_rows(spark, sf), id_col="customerid", target="target", test=0.2, val=0.25, seed=42)))
+        model_df(spark, sf), id_col="customerid", target="target", test=0.2, val=0.25, seed=42)))
+
+
+def model_rows(spark, sf):
+    """The model table as it was written with its split."""
+    return split_df(spark, sf).select(*model_df(spark, sf).columns)
 
 
 def fitted(spark, sf):
