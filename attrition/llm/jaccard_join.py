@@ -3,13 +3,13 @@
 Documents link when the Jaccard similarity of their sets of 5-word shingles is
 0.8 or more; the join is exact.
 
-1. One pass makes each document's set, its digest and bitmap, and counts tokens
-   that many sets of one Arrow batch share. Documents with equal sets are one class.
+1. One pass makes each document's set, its digest and bitmap. Documents with equal
+   sets are one class. A second pass counts in how many classes each token is.
 2. Blocks: two sets that link share a token among the first |A| - ceil(0.8 |A|)
-   + 1 tokens of each, in any common order of all tokens. The order is by hash,
-   with the ``FREQUENT`` most widespread tokens of step 1 behind all others, so that
-   a passage in a third of all documents makes no block. (Which tokens these are
-   is a matter of speed alone; the list's length bounds what is broadcast.) A
+   + 1 tokens of each, in any common order of all tokens. The order is by hash, with
+   the ``FREQUENT`` most widespread tokens behind all others, the rarer first, so that
+   no passage of many documents makes a block that grows with the table. (Which tokens
+   these are is a matter of speed alone; the list's length bounds what is broadcast.) A
    class belongs to the block of the smallest class that it shares a token with.
 3. In each block the classes' bitmaps form signature trees (``signature_tree``)
    whose dual traversal leaves candidate pairs. Their connected groups are
@@ -37,12 +37,14 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, checkpointed, new_path, read_table, sieved, small_batches
 from .components import components
 from .shingles import shingle_sets
-from .signature_tree import bitmap, candidates, trees
+from .signature_tree import between, bitmap, candidates, joined, trees
 
 WORDS = 5
 PERCENT = 80
-FREQUENT = 200_000        # tokens that the order puts last (8 bytes each, broadcast)
-OFTEN = 16                # sets of one batch that make a token a candidate for that
+FREQUENT = 200_000        # tokens that the order puts last (12 bytes each, broadcast)
+OFTEN = 16                # sets that make a token a candidate for that
+SPAN_TOKENS = 1 << 18     # tokens that are counted at once, more where ``SPAN_BITS`` are too few
+SPAN_BITS = 12
 PART_TOKENS = 1 << 22     # tokens of the sets in one part of a block, 2 MB of bitmaps
 PART_MEMBERS = 2_048
 
@@ -68,46 +70,86 @@ def _texts(batches: Iterator[pa.RecordBatch], words: int):
 
 def _signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, set, n, bits) of every row, set 0 being the empty one. Of equal sets in
-    a batch the first has the bitmap. The first row of a batch also has the tokens
-    that are often in the batch's prefixes."""
+    a batch the first has the bitmap."""
     def run(batches):
         for batch, sets in _texts(batches, words):
             own = [_class_of(s) for s in sets]
-            lead = [s[:_prefix(len(s), percent)] for s in dict(zip(own, sets)).values()]
-            tokens, times = np.unique(np.concatenate(lead), return_counts=True) if lead else ([], [])
-            often = [t for t in zip(tokens, times) if t[1] >= OFTEN]
-            rest = [None] * (len(sets) - 1)
             first = {k: i for i, k in reversed(list(enumerate(own)))}
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array(own, pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([bitmap(s) if len(s) and first[k] == i else None
-                          for i, (k, s) in enumerate(zip(own, sets))], pa.binary()),
-                pa.array([[int(np.int64(np.uint64(t).view(np.int64))) for t, _ in often], *rest][:len(sets)],
-                         pa.list_(pa.int64())),
-                pa.array([[int(n) for _, n in often], *rest][:len(sets)], pa.list_(pa.int64()))],
-                names=["doc_id", "set", "n", "bits", "often", "times"])
+                          for i, (k, s) in enumerate(zip(own, sets))], pa.binary())],
+                names=["doc_id", "set", "n", "bits"])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, set long, n long, bits binary, "
-                                "often array<long>, times array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, set long, n long, bits binary")
 
 
-def _tokens(docs: DataFrame, words: int, percent: int, last: np.ndarray) -> DataFrame:
-    """(set, n, tokens, behind): the prefix of every set in order; ``last`` (sorted) come
-    behind all other tokens and are so many of them."""
+def _counted(docs: DataFrame, words: int, bits: int) -> DataFrame:
+    """(key, times): in how many sets the tokens are that ``OFTEN`` sets or more have, all
+    tokens counted. A key is the first 32 + ``bits`` bits of a token. Tokens are
+    gathered by their first ``bits`` bits, four bytes each, and counted by sorting them."""
+    def cut(batches):
+        ends = np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32)
+        for _, sets in _texts(batches, words):
+            own = {_class_of(s): s for s in sets if len(s)}
+            if own:
+                keys = np.sort(np.concatenate(list(own.values())) >> np.uint64(32 - bits))
+                at = np.searchsorted(keys, ends)
+                full = pa.array(np.flatnonzero(np.diff(at)))
+                tokens = pa.Array.from_buffers(pa.binary(), 1 << bits, [
+                    None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(keys.astype(np.uint32))])
+                yield pa.RecordBatch.from_arrays([full, tokens.take(full)], names=["span", "tokens"])
+
+    def count(batches):
+        for (span,), rows in _runs(batches, 1):
+            keys, times = np.unique(np.frombuffer(b"".join(t for t, in rows), np.uint32), return_counts=True)
+            many = times >= OFTEN
+            yield pa.RecordBatch.from_arrays([pa.array((span << 32) + keys[many].astype(np.int64)),
+                                              pa.array(times[many].astype(np.int64))], names=["key", "times"])
+    return docs.select("text").mapInArrow(cut, "span long, tokens binary").repartition("span").sortWithinPartitions(
+        "span").mapInArrow(count, "key long, times long")
+
+
+def _widespread(docs: DataFrame, classes: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The ``FREQUENT`` tokens that most sets of ``docs`` have, as sorted keys, their
+    ranks, the rarest first, and how many bits of a token follow its key."""
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    bits = min(SPAN_BITS, (total // SPAN_TOKENS).bit_length())
+    counted = checkpointed(_counted(docs, words, bits))
+    least, room = 0, FREQUENT
+    for times, n in sorted(map(tuple, counted.groupBy("times").count().collect()), reverse=True):
+        if room <= 0:
+            break
+        least, room = times, room - n
+    found = counted.where(F.col("times") >= least).orderBy(F.desc("times"), "key").limit(FREQUENT).toArrow()
+    keys = np.asarray(found["key"].combine_chunks()).view(np.uint64)
+    times = np.asarray(found["times"].combine_chunks())
+    order, rank = np.argsort(keys), np.empty(len(keys), np.int32)
+    rank[np.lexsort((keys, times))] = np.arange(len(keys), dtype=np.int32)
+    return keys[order], rank[order], 32 - bits
+
+
+def _tokens(docs: DataFrame, words: int, percent: int, last: tuple[np.ndarray, np.ndarray, int]) -> DataFrame:
+    """(set, n, tokens, behind): the prefix of every set in order; the tokens of ``last``
+    (``_widespread``) come behind all others by their ranks and are so many of them."""
     last = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches):
-        behind = last.value
+        behind, rank, more = last.value
         for _, sets in _texts(batches, words):
             lead, own, sizes, wide = [], [], [], []
             for which, s in {_class_of(s): s for s in sets if len(s)}.items():
-                need, few = _prefix(len(s), percent), 0
+                need, few, first = _prefix(len(s), percent), 0, s
                 if len(behind):
-                    late = behind[np.minimum(np.searchsorted(behind, s), len(behind) - 1)] == s
-                    few = max(0, need - int(len(s) - late.sum()))
-                    s = s[np.argsort(late, kind="stable")]
-                lead.append(s[:need])
+                    keys = s >> np.uint64(more)
+                    at = np.minimum(np.searchsorted(behind, keys), len(behind) - 1)
+                    late = behind[at] == keys
+                    if late.any():
+                        first = s[~late]
+                        few = max(0, need - len(first))
+                        first = np.concatenate([first, s[late][np.argsort(rank[at[late]], kind="stable")[:few]]])
+                lead.append(first[:need])
                 wide.append(few)
                 own.append(which)
                 sizes.append(len(s))
@@ -120,17 +162,13 @@ def _tokens(docs: DataFrame, words: int, percent: int, last: np.ndarray) -> Data
     return docs.select("text").mapInArrow(run, "set long, n long, tokens array<long>, behind int")
 
 
-def _blocks(docs: DataFrame, signatures: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+def _blocks(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """(block, set): all pairs of sets that may link are in a block together. Prefixes
     come from the rows that stand for a class (and few others, which add nothing)."""
     spark = docs.sparkSession
-    often = signatures.where("often IS NOT NULL").select(
-        F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy(F.col("x.often").alias("token")).agg(
-        F.sum("x.times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT)
-    last = np.sort(np.array([r["token"] for r in often.select("token").collect()], np.int64).view(np.uint64))
     path = new_path(spark, "prefix-tokens")
     some = sieved(docs, "doc_id", classes, "doc_id").where("__maybe")
-    _tokens(some, words, percent, last).write.parquet(path)
+    _tokens(some, words, percent, _widespread(some, classes, words)).write.parquet(path)
     prefixes = spark.read.parquet(path)
     size, behind = F.size("tokens"), F.col("behind")
 
@@ -213,11 +251,16 @@ def _families(members: DataFrame, percent: int) -> DataFrame:
     count, unless these are null."""
     def run(batches):
         for _, rows in _runs(batches, 2):
-            rows.sort(key=lambda r: (len(r[4]), r[4], r[2]))
+            rows.sort(key=lambda r: (r[0] or 0, len(r[4]), r[4], r[2]))
             union, pairs = _Union(len(rows)), False
-            for i, j in candidates(trees([(r[3], r[4]) for r in rows]), percent):
+            items, left = [(r[3], r[4]) for r in rows], sum(r[0] == 0 for r in rows)
+            if rows[0][0] is None:
+                found = candidates(trees(items), percent, joined(union.root))
+            else:
+                found = between(trees(items[:left]), trees(items[left:], left), percent, joined(union.root))
+            for i, j in found:
                 a, b = rows[i], rows[j]
-                if a[2] != b[2] and (a[0] is None or (a[0] != b[0] and a[1] != b[1])):
+                if a[2] != b[2] and (a[0] is None or a[1] != b[1]):
                     pairs = union.join(i, j) or pairs
             if not pairs:
                 continue
@@ -270,13 +313,13 @@ def _verified(families: DataFrame, classes: DataFrame, docs: DataFrame, words: i
             order = sorted(range(len(rows)), key=lambda i: sets[i].tobytes()[:64])
             items = [(len(sets[i]), bitmap(sets[i])) for i in order]
             union, a, b = _Union(len(rows)), [], []
-            for x, y in candidates(trees(items), percent):
+            for x, y in candidates(trees(items), percent, joined(union.root)):
                 i, j = order[x], order[y]
-                if union.root(i) == union.root(j):
+                if union.root(x) == union.root(y):
                     continue
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                    union.join(i, j)
+                    union.join(x, y)
                     a.append(rows[i][0])
                     b.append(rows[j][0])
             if a:
@@ -317,7 +360,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     signatures = checkpointed(_signatures(docs, words, percent))
     classes = checkpointed(signatures.where("n > 0").groupBy("set").agg(
         F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
-    blocks = checkpointed(_blocks(docs, signatures, classes, words, percent))
+    blocks = checkpointed(_blocks(docs, classes, words, percent))
     sized = blocks.join(classes.select("set", "n"), "set").groupBy("block").agg(
         F.greatest(F.ceil(F.sum("n") / PART_TOKENS), F.ceil(F.count(F.lit(1)) / PART_MEMBERS)).alias("parts"),
         F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")

@@ -45,6 +45,13 @@ def _parts(texts: list[str | None]):
         yield part
 
 
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted and without repeats (``np.unique`` fills a hash table first, at three times the cost)."""
+    hashes = np.sort(hashes)
+    new = hashes[1:] != hashes[:-1]
+    return hashes if new.all() else hashes[np.concatenate([[True], new])]
+
+
 def shingle_sets(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
     """For each text the sorted hashes of its distinct shingles of ``words``
     words; of a shorter text the hash of all its words; none without words."""
@@ -66,7 +73,7 @@ def shingle_sets(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
         for stop in last:
             n = stop - at
             if n >= words:
-                out.append(np.unique(grams[at:stop - words + 1]))
+                out.append(_distinct(grams[at:stop - words + 1]))
             elif n:
                 h = np.uint64(n)
                 for w in word[at:stop]:

@@ -48,25 +48,26 @@ class Node:
     half: int                    # the same at half the width
     half_slack: int
     children: tuple              # two nodes, or none
-    item: int                    # of a leaf
+    item: int                    # of an inner node that of its first leaf
+    one: bool = False            # its items are known to be in one group (``joined``)
 
     @staticmethod
     def leaf(item: int, n: int, raw: bytes) -> Node:
         bits, w = int.from_bytes(raw, "little"), 8 * len(raw)
         half = _fold(bits, w)
-        return Node(n, n, w, bits, n - bits.bit_count(), half, n - half.bit_count(), (), item)
+        return Node(n, n, w, bits, n - bits.bit_count(), half, n - half.bit_count(), (), item, True)
 
     @staticmethod
     def over(a: Node, b: Node) -> Node:
         return Node(min(a.lo, b.lo), max(a.hi, b.hi), a.w, a.bits | b.bits, max(a.slack, b.slack),
-                    a.half | b.half, max(a.half_slack, b.half_slack), (a, b), -1)
+                    a.half | b.half, max(a.half_slack, b.half_slack), (a, b), a.item)
 
 
-def trees(items: list[tuple[int, bytes]]) -> list[Node]:
+def trees(items: list[tuple[int, bytes]], first: int = 0) -> list[Node]:
     """One tree for each bitmap width; ``items`` are (size, bitmap) in an order
-    that has similar sets beside each other."""
+    that has similar sets beside each other, and numbered from ``first``."""
     by_width: dict[int, list[Node]] = {}
-    for i, (n, raw) in enumerate(items):
+    for i, (n, raw) in enumerate(items, first):
         by_width.setdefault(8 * len(raw), []).append(Node.leaf(i, n, raw))
     out = []
     for w in sorted(by_width):
@@ -124,3 +125,25 @@ def candidates(forest: list[Node], percent: int, skip=None) -> Iterator[tuple[in
         for b in forest[i:]:
             if b.w <= 2 * a.w:
                 yield from walk(a, b, percent, skip)
+
+
+def between(left: list[Node], right: list[Node], percent: int, skip=None) -> Iterator[tuple[int, int]]:
+    """All candidate pairs of an item of one forest and one of another."""
+    for a in left:
+        for b in right:
+            yield from walk(a, b, percent, skip)
+
+
+def joined(root):
+    """For ``skip``: pairs of nodes whose items ``root`` (of an item) has in one group already,
+    as far as is known. Inside a tree the pairs of a node's own items come before
+    those with its sibling, so its children have their marks by then."""
+    def one(p: Node) -> bool:
+        if not p.one and p.children[0].one and p.children[1].one:
+            p.one = root(p.children[0].item) == root(p.children[1].item)
+        return p.one
+
+    def skip(p: Node, q: Node) -> bool:
+        a, b = one(p), one(q)
+        return a and b and root(p.item) == root(q.item)
+    return skip

@@ -232,6 +232,61 @@ def test_tree_loses_no_pair():
     assert linked <= got and len(got) < len(sets) * (len(sets) - 1) / 4
 
 
+def test_pairs_of_one_group_are_not_walked_again():
+    import numpy as np
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2 ** 63, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[4:], rng.integers(0, 2 ** 63, 4, dtype=np.uint64)])) for _ in range(256)]
+    far = [np.unique(rng.integers(0, 2 ** 63, 200, dtype=np.uint64)) for _ in range(40)]
+    items = [(len(s), signature_tree.bitmap(s)) for s in sets + far]
+    union, walked = jaccard_join._Union(len(items)), 0
+    for i, j in signature_tree.candidates(signature_tree.trees(items), 80, signature_tree.joined(union.root)):
+        union.join(i, j)
+        walked += 1
+    every = list(signature_tree.candidates(signature_tree.trees(items), 80))
+    assert len(every) >= 256 * 255 // 2 and walked < 2 * 256
+    assert all(union.root(i) == union.root(j) for i, j in every)
+    left, right = signature_tree.trees(items[:100]), signature_tree.trees(items[100:], 100)
+    assert sorted(signature_tree.between(left, right, 80)) == sorted(
+        (min(p), max(p)) for p in every if min(p) < 100 <= max(p))
+
+
+def test_a_line_of_many_documents_makes_no_block_of_them(spark, monkeypatch):
+    rng = random.Random(2)
+    line = " ".join(f"line{i}" for i in range(14))
+    docs = [(i, " ".join([line] + [f"w{rng.randrange(10 ** 9)}" for _ in range(40)])) for i in range(300)]
+    docs += [(300 + i, t + " more") for i, t in docs[:20]]
+    families, members = jaccard_join._families, []
+
+    def noted(rows, percent):
+        members.extend(r["count"] for r in rows.groupBy("block", "part").count().collect())
+        return families(rows, percent)
+    monkeypatch.setattr(jaccard_join, "_families", noted)
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(30)  # ten rows a batch
+    rows = jaccard_join.link_components(table).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: i - 300 if i >= 300 else i for i, _ in docs}
+    assert sorted(members) == [2] * 20
+
+
+def test_widespread_tokens_are_counted_over_all_batches(spark, monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 6)
+    monkeypatch.setattr(jaccard_join, "SPAN_TOKENS", 100)
+    texts = [f"a b c d e f w{i} x y z" for i in range(40)] + [f"g h i j k v{i} x" for i in range(30)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(9)
+    sets = shingles.shingle_sets(texts)
+    classes = spark.createDataFrame([(len(s),) for s in sets], "n long")
+    keys, rank, more = jaccard_join._widespread(docs, classes, 5)
+    times = Counter(x for s in sets for x in s.tolist())
+    want = sorted((t, x) for x, t in times.items() if t >= jaccard_join.OFTEN)
+    assert len(want) == 3 and more < 32 and keys.tolist() == sorted(x >> more for _, x in want)
+    assert [k for _, k in sorted(zip(rank.tolist(), keys.tolist()))] == [x >> more for _, x in want]
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 2)
+    assert len(jaccard_join._widespread(docs, classes, 5)[0]) == 2
+    none = jaccard_join._widespread(docs.where("false"), classes.where("false"), 5)
+    assert len(none[0]) == len(none[1]) == 0 and keys.dtype == none[0].dtype == np.uint64
+
+
 def test_join_edges(edge_docs, no_docs):
     rows = jaccard_join.link_components(edge_docs).collect()
     assert len(rows) == edge_docs.count()
