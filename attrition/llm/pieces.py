@@ -66,6 +66,8 @@ class Vocabulary:
                    for i in range(m.vocab_size())]
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if m.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else p.encode("utf-8", "surrogatepass")
+                    for i, p in enumerate(self.pieces)]
         if len(self.byte_ids) < 256:
             raise ValueError("the model has no byte pieces, so it can't encode every text")
         # a lone character is always a piece; scored as never, it costs as the worst of the others
@@ -209,17 +211,18 @@ class Vocabulary:
         one[place] = 0.0
         longest = int(size[0])
         alive = np.searchsorted(-size, -np.arange(longest + 2), side="right")  # words of at least so many characters
+        sizes = np.arange(1, self.longest + 1)[:, None]
+        scores, rows, cols = score.ravel(), (sizes - 1) * len(chars), np.arange(len(words))
         for end in range(1, longest + 1):
-            w = alive[end]
-            a, b = np.full(w, -np.inf), np.full(w, -np.inf)
-            step = np.zeros(w, np.int64)
-            for n in range(1, min(end, self.longest) + 1):
-                x = score[n - 1, first[:w] + end - n]
-                c, d = one[place[:w] + end - n] + x, two[place[:w] + end - n] + x
-                better = c > a
-                b = np.maximum(np.where(better, a, np.maximum(b, c)), d)
-                a, step = np.where(better, c, a), np.where(better, n, step)
-            one[place[:w] + end], two[place[:w] + end], back[place[:w] + end] = a, b, step
+            w, n = alive[end], sizes[:end]
+            x = scores[rows[:end] + (first[:w] + end - n)]   # of the pieces of n characters that end here
+            start = place[:w] + end - n
+            c, d = one[start] + x, two[start] + x
+            step = c.argmax(axis=0)
+            here = place[:w] + end
+            one[here], back[here] = c[step, cols[:w]], step + 1
+            c[step, cols[:w]] = -np.inf
+            two[here] = np.maximum(c.max(axis=0), d.max(axis=0))
         # walk back along the best paths, all words at once
         at, who, steps = size.copy(), np.arange(len(words)), []
         while len(who):
@@ -258,12 +261,9 @@ class Vocabulary:
 
     def join(self, ids) -> str:
         """The pieces of ids in a row; runs of bytes are read as UTF-8."""
-        parts = [self.pieces[i] for i in ids]
-        if any(i in self.byte_of for i in ids):
-            raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of
-                           else self.pieces[i].encode("utf-8", "surrogatepass") for i in ids)
-            return raw.decode("utf-8", "replace")
-        return "".join(parts)
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join(map(self.pieces.__getitem__, ids))
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def _hash(chars: np.ndarray) -> np.uint64:
@@ -295,12 +295,15 @@ def encoded(v: Vocabulary, texts: list[str], n: int) -> tuple[list, list, list,
     if len(v.lists) > CACHE_LISTS:
         v.lists = {}
     words = [v.words(marked(t)) for t in texts]
-    new = set().union(*words).difference(v.at) if words else set()
+    places = [np.fromiter(map(v.at.get, own, itertools.repeat(-1)), np.int64, len(own)) for own in words]
+    missing = [np.flatnonzero(at < 0) for at in places]
+    new = {own[i] for own, some in zip(words, missing) for i in some}
     if new:
         v.learn(sorted(new))
+    for own, at, some in zip(words, places, missing):
+        at[some] = [v.at[own[i]] for i in some]
     all_ids, best, lists, edits = [], [], [], []
-    for own in words:
-        at = np.fromiter(map(v.at.__getitem__, own), np.int64, len(own))
+    for own, at in zip(words, places):
         n_ids = v.begin[at + 1] - v.begin[at]
         ends = np.cumsum(n_ids)
         total = int(ends[-1]) if len(own) else 0

@@ -494,3 +494,17 @@ def test_stages_keep_columns(edge_docs, no_docs, spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, edge_docs, SF).columns == edge_docs.columns, name
         assert stage(spark, no_docs, SF).count() == 0, name
+
+
+def test_words_learnt_together_have_the_paths_of_each_alone():
+    v = pieces.Vocabulary(pieces._model_bytes(pieces.MODEL))
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abeinrst\u2581\u00e9\u4e2d\U0001f600 .-") for _ in range(rng.choice([1, 2, 5, 9, 40, 300])))
+                    for _ in range(120)})
+    v.learn(words)
+    for w in words:
+        k = v.at[w]
+        ids, best, second = v.path(w)
+        assert v.best[k] == pytest.approx(best) and v.gap[k] == pytest.approx(best - second)
+        own = v.ids[v.begin[k]:v.begin[k + 1]].tolist()
+        assert own == ids and v.join(own) == b"".join(v.raw[i] for i in own).decode() == w
