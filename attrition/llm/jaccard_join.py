@@ -94,7 +94,9 @@ def _counted(docs: DataFrame, words: int, bits: int) -> DataFrame:
         for _, sets in _texts(batches, words):
             own = {_class_of(s): s for s in sets if len(s)}
             if own:
-                keys = np.sort(np.concatenate(list(own.values())) >> np.uint64(32 - bits))
+                keys = np.concatenate(list(own.values()))
+                keys >>= np.uint64(32 - bits)
+                keys.sort()
                 at = np.searchsorted(keys, ends)
                 full = pa.array(np.flatnonzero(np.diff(at)))
                 tokens = pa.Array.from_buffers(pa.binary(), 1 << bits, [
@@ -107,6 +109,7 @@ def _counted(docs: DataFrame, words: int, bits: int) -> DataFrame:
             many = times >= OFTEN
             yield pa.RecordBatch.from_arrays([pa.array((span << 32) + keys[many].astype(np.int64)),
                                               pa.array(times[many].astype(np.int64))], names=["key", "times"])
+        pa.default_memory_pool().release_unused()
     return docs.select("text").mapInArrow(cut, "span long, tokens binary").repartition("span").sortWithinPartitions(
         "span").mapInArrow(count, "key long, times long")
 
